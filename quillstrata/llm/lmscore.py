@@ -7,13 +7,14 @@ the chance of any collision is 3 in 10**4); pairs are told apart by about 50 bit
 
 The model is a log-frequency Bloom filter: a count c is quantised to the level 1 + floor(log(c) / log(LOG_BASE)), and a token
 or pair of level q is inserted q times, as (hash, 1) to (hash, q). A lookup probes (hash, 1), (hash, 2), ... until one is
-absent. Every segment fills its own slice. The slices together take FILTER_BITS at most (16 MB for tokens, 32 MB for
-pairs), are sized from the counted insertions, and are broadcast. Tokens and pairs enter it from a count of 2 on, and from a
+absent. Every segment fills its own slice. The slices together take FILTER_BITS at most (32 MB for tokens, 32 MB for
+pairs), are sized from the counted insertions, and are broadcast. Pairs enter it from a count of 2 on, and tokens and pairs from a
 higher count where they would otherwise fill more than half of the bound. log10 of the interpolated probability
 
-    p(w | v) = a(v) * low(v w) / high(v) + (1 - a(v)) * (low(w) + 1) / (N + V + 1)
+    p(w | v) = a(v) * count(v w) / count(v) + (1 - a(v)) * (count(w) + 1) / (N + V + 1)
 
-is summed over the text; low and high are the bounds of a level, so that the probabilities after v sum to 1 at most.
+is summed over the text; a count is the middle of its level. The weight a(v) depends on v's level; the weights are fitted by
+expectation-maximisation on FIT_ROWS training texts, leaving each text's own occurrence out (a count less one).
 
 base_score needs exact counts. The HEAD most frequent tokens' counts are broadcast as two sorted arrays (64 MB at most);
 rarer tokens, of which each has a small count, go to their segment's owner to be looked up, in bulk.
@@ -34,23 +35,26 @@ from pyspark.sql import functions as F
 
 from .common import END, blocks, cut, mix64, prepare, scan_parts, text_bytes, token_hashes
 
-LOG_BASE = 1.5
-LEVELS = 100
+LOG_BASE = 1.3
+LEVELS = 120
 HASHES = 4
-MIN_COUNT = 2
+#: Least count with which a token, and a pair, enters the filter.
+MIN_COUNT = (1, 2)
 #: log2 of the bits that the filter of tokens and the filter of pairs may take.
-FILTER_BITS = (27, 28)
+FILTER_BITS = (28, 28)
 #: Tokens whose exact counts are broadcast.
 HEAD = 4_000_000
 #: Tokens that a task gathers before it counts them.
 GATHER = 2_000_000
-#: Weight of pairs after a frequent token, and the count of a token that gets half of it.
-PAIR_WEIGHT, PAIR_HALF = 0.4, 20.0
+#: Training texts, and bytes of them, on which the weights of pairs are fitted.
+FIT_ROWS, FIT_BYTES = 400, 4 << 20
 START = np.uint64(0x51ED270B9F7C3A15)
 #: Low bytes kept of a token's and of a pair's hash, besides the segment.
 BYTES = (7, 5)
 
 _BOUNDS = LOG_BASE ** np.arange(LEVELS)
+#: The middle of the whole counts of each level; 0 for level 0.
+_MIDDLE = np.r_[0.0, (np.ceil(_BOUNDS) + np.maximum(np.ceil(_BOUNDS), np.ceil(_BOUNDS * LOG_BASE) - 1)) / 2]
 
 
 def levels(counts: np.ndarray) -> np.ndarray:
@@ -149,7 +153,7 @@ def counted(train: DataFrame, bits: int) -> DataFrame:
     """(kind 0 token or 1 pair, seg, low, n, distinct, total, hist) by segment, of a DataFrame of text."""
     sent = train.mapInArrow(lambda it: _gathered(it, bits), "kind int, seg int, low binary, n binary")
     dealt = sent.repartition(2 * scan_parts(train.sparkSession), "kind", "seg").sortWithinPartitions("kind", "seg")
-    return cut(dealt.mapInArrow(lambda it: _added(it, bits, MIN_COUNT), "kind int, seg int, low binary, n binary, distinct long, total long, hist array<long>"))
+    return cut(dealt.mapInArrow(lambda it: _added(it, bits, MIN_COUNT[1]), "kind int, seg int, low binary, n binary, distinct long, total long, hist array<long>"))
 
 
 class Filter:
@@ -190,10 +194,10 @@ class Filter:
         return out
 
 
-def choose(hist: np.ndarray, most_bits: int, bits: int) -> tuple[int, int]:
+def choose(hist: np.ndarray, least: int, most_bits: int, bits: int) -> tuple[int, int]:
     """Least level that enters the filter, and log2 of a slice's bits, from the histogram of levels."""
     level = np.arange(len(hist))
-    first = int(levels(np.array([MIN_COUNT]))[0])
+    first = int(levels(np.array([least]))[0])
     while True:
         inserted = int((hist * level)[first:].sum())
         if inserted * HASHES * 2 <= 1 << most_bits or first >= LEVELS - 1:
@@ -211,11 +215,12 @@ class Model:
         stats = {r["kind"]: r for r in stats}
         hist = [np.array([stats[k][f"h{i}"] for i in range(LEVELS + 1)]) if k in stats else np.zeros(LEVELS + 1, np.int64) for k in (0, 1)]
         self.bits = bits
+        self.weight = np.full(LEVELS, 0.1)
         self.n, self.v = (stats[0]["n"], stats[0]["v"]) if 0 in stats else (0, 0)
         from_top = np.cumsum(hist[0][::-1])[::-1]
         head_level = int(np.flatnonzero(from_top <= HEAD)[0])
         self.head_least = 1 if head_level <= 1 else int(np.ceil(_BOUNDS[head_level - 1]))
-        chosen = [choose(hist[k], FILTER_BITS[k], bits) for k in (0, 1)]
+        chosen = [choose(hist[k], MIN_COUNT[k], FILTER_BITS[k], bits) for k in (0, 1)]
         least = self.head_least
 
         def heads(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -248,21 +253,36 @@ class Model:
         at[at == len(self.head)] = 0
         return np.where(self.head[at] == h, self.head_n[at], 0)
 
-    def log_probs(self, h: np.ndarray, u: np.ndarray, back: np.ndarray, before: np.ndarray, both: np.ndarray) -> np.ndarray:
-        """log10 p of each token; u[back] is h."""
+    def parts(self, h: np.ndarray, u: np.ndarray, back: np.ndarray, before: np.ndarray, both: np.ndarray) -> tuple[np.ndarray, ...]:
+        """For each token: the level of what stands before it, and the counts of the token, of what stands before it and of the pair. u[back] is h."""
         level = self.filters[0].level(u)
-        low = np.where(level > 0, _BOUNDS[np.maximum(level, 1) - 1], 0.0)
-        high = np.where(level > 0, _BOUNDS[level], 1.0)
-        end = self.filters[0].level(np.array([END]))[0]
+        end = self.filters[0].level(np.array([END]))[0]  # every text's start is as frequent as its end
         at = np.searchsorted(u, before)
         at[at == len(u)] = 0
-        known = u[at] == before
-        before_high = np.where(known, high[at], _BOUNDS[end])  # every text's start is as frequent as its end
+        context = np.where(before == START, end, np.where(u[at] == before, level[at], 0))
         pu, pback = np.unique(both, return_inverse=True)
-        plevel = self.filters[1].level(pu)
-        pair = np.where(plevel > 0, _BOUNDS[np.maximum(plevel, 1) - 1], 0.0)[pback]
-        weight = PAIR_WEIGHT * before_high / (before_high + PAIR_HALF)
-        return np.log10(weight * np.minimum(1.0, pair / before_high) + (1 - weight) * (low[back] + 1) / (self.n + self.v + 1))
+        return context, _MIDDLE[level[back]], _MIDDLE[context], _MIDDLE[self.filters[1].level(pu)][pback]
+
+    def fit(self, texts: list[bytes], rounds: int = 20) -> None:
+        """The weights of pairs by the level of what stands before."""
+        if not texts:
+            return
+        h, counts = token_hashes(texts, end=True)
+        u, back = np.unique(h, return_inverse=True)
+        context, token, before, pair = self.parts(h, u, back, *pairs(h, counts))
+        single = np.maximum(token, 1.0) / (self.n + self.v)
+        double = np.minimum(1.0, np.maximum(pair - 1, 0.0) / np.maximum(before - 1, 1.0))
+        group, total = context // 4, np.bincount(context // 4, minlength=LEVELS) + 20.0
+        for _ in range(rounds):
+            a = self.weight[group]
+            mine = a * double / (a * double + (1 - a) * single)
+            self.weight = (np.bincount(group, mine, LEVELS) + 0.2) / total
+
+    def log_probs(self, h: np.ndarray, u: np.ndarray, back: np.ndarray, before: np.ndarray, both: np.ndarray) -> np.ndarray:
+        """log10 p of each token."""
+        context, token, over, pair = self.parts(h, u, back, before, both)
+        a = self.weight[context // 4]
+        return np.log10(a * np.minimum(1.0, pair / np.maximum(over, 1.0)) + (1 - a) * (token + 1) / (self.n + self.v + 1))
 
 
 _SCORED = "row long, id long, held_out boolean, n_tokens long, n_known long, logs double, score double, seg int, tokens binary, rows binary"
@@ -326,6 +346,8 @@ def score_corpus(docs: DataFrame, train: Column, id_col: str = "doc_id", text_co
     counts = counted(rows.where("not held_out").select("text"), bits)
     model = Model(counts, bits)
     n, v = model.n, model.v
+    few = rows.where("not held_out").select("id", F.col("text").cast("binary").alias("text")).where(f"length(text) <= {FIT_BYTES // FIT_ROWS}")
+    model.fit([bytes(r["text"]) for r in few.orderBy(F.xxhash64("id"), "text").limit(FIT_ROWS).collect()])
     shared = spark.sparkContext.broadcast(model)
     found = cut(rows.mapInArrow(lambda it: _scored(it, shared, bits), _SCORED))
     asks = found.where("seg is not null").select("seg", F.lit(1).alias("asks"), "tokens", "rows")
