@@ -36,6 +36,8 @@ DECAY = 0.6
 SKIPS = {3: 2, 4: 2}
 TABLE_BITS = 20
 LANDMARKS = 384
+#: Most suspicious words of which copies with a letter put in are trained on, too.
+MISSPELT = 300
 ROUNDS = 4
 #: Bytes of text scored at a time.
 BLOCK = 2 << 20
@@ -57,14 +59,14 @@ def _offsets() -> list[tuple[tuple[int, ...], float]]:
 OFFSETS = _offsets()
 
 
-def words(texts: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """The different words of the texts: their codes with edges, each code's word; and for all word occurrences the word and the text."""
+def words(texts: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """The different words of the texts: their codes with edges, each code's word; for all word occurrences the word and the text; the words' hashes."""
     code, ends = codes(texts, True)
     edge = np.diff(np.r_[0, (code != 0).astype(np.int8), 0])
     starts, stops = np.flatnonzero(edge == 1), np.flatnonzero(edge == -1)
     if not len(starts):
         none = np.zeros(0, np.int64)
-        return none, none, none, none
+        return none, none, none, none, none.astype(np.uint64)
     doc = np.searchsorted(ends, starts, "right")
     single = stops - starts == 1
     runs = np.diff(np.r_[0, single.astype(np.int8), 0])
@@ -80,7 +82,7 @@ def words(texts: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndar
     begin = np.cumsum(lengths) - lengths
     nth = np.arange(len(flat)) - np.repeat(begin, lengths)
     h = mix64(np.add.reduceat(mix64(flat * np.uint64(0x9E3779B97F4A7C15) + nth.astype(np.uint64)), begin))
-    _, one, back = np.unique(h, return_index=True, return_inverse=True)
+    known, one, back = np.unique(h, return_index=True, return_inverse=True)
     size = lengths[one]
     at = np.cumsum(size + 2) - size - 2
     own = np.repeat(np.arange(len(one)), size + 2)
@@ -88,7 +90,29 @@ def words(texts: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndar
     out[at] = FIRST_EDGE
     place = np.arange(int(size.sum())) - np.repeat(np.cumsum(size) - size, size)
     out[np.repeat(at + 1, size) + place] = flat[np.repeat(begin[one], size) + place]
-    return out, own, back, doc[~glued]
+    return out, own, back, doc[~glued], known
+
+
+def sample_words(texts: list[str], each: int = 200) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The different words of many texts, codes and words of codes, and the different (text, word); worked out for some texts at a time to spare memory."""
+    codes_, sizes, hashes, pairs = [], [], [], []
+    for at in range(0, len(texts), each):
+        code, own, back, doc, known = words(texts[at : at + each])
+        if not len(back):
+            continue
+        codes_.append(code.astype(np.uint8))
+        sizes.append(np.bincount(own).astype(np.int64))
+        pairs.append(np.unique(np.stack([doc + at, back + sum(map(len, hashes))], 1), axis=0))
+        hashes.append(known)
+    if not codes_:
+        none = np.zeros(0, np.int64)
+        return none, none, np.zeros((0, 2), np.int64)
+    code, size, pair = np.concatenate(codes_), np.concatenate(sizes), np.concatenate(pairs)
+    _, one, back = np.unique(np.concatenate(hashes), return_index=True, return_inverse=True)
+    begin = (np.cumsum(size) - size)[one]
+    size = size[one]
+    place = np.arange(int(size.sum())) - np.repeat(np.cumsum(size) - size, size)
+    return code[np.repeat(begin, size) + place].astype(np.int64), np.repeat(np.arange(len(one)), size), np.stack([pair[:, 0], back[pair[:, 1]]], 1)
 
 
 def subsequences(code: np.ndarray, own: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray, float]]:
@@ -125,7 +149,7 @@ def score_words(code: np.ndarray, own: np.ndarray, n: int, table: np.ndarray) ->
 def best_words(texts: list[str], table: np.ndarray) -> np.ndarray:
     """The highest word score of each text; NO_WORD without a word."""
     out = np.full(len(texts), NO_WORD)
-    code, own, back, doc = words(texts)
+    code, own, back, doc, _ = words(texts)
     if len(back):
         np.maximum.at(out, doc, score_words(code, own, int(own[-1]) + 1, table)[back])
     return out
@@ -149,6 +173,18 @@ def _rows(code: np.ndarray, own: np.ndarray, use: np.ndarray) -> tuple[np.ndarra
     return np.concatenate(r), np.concatenate(c), np.concatenate(v)
 
 
+def misspelt(code: np.ndarray, own: np.ndarray, use: np.ndarray, each: int, rng: np.random.Generator) -> tuple[np.ndarray, np.ndarray]:
+    """`each` copies of the chosen words with a random letter put in somewhere between first and last letter."""
+    ends = np.searchsorted(own, np.arange(int(own[-1]) + 2))
+    out, of = [], []
+    for w in use:
+        letters = code[ends[w] : ends[w + 1]]
+        for _ in range(each if len(letters) >= 6 else 0):
+            out.append(np.insert(letters, rng.integers(2, len(letters) - 1), rng.integers(1, 27)))
+            of.append(np.full(len(letters) + 1, len(of)))
+    return (np.concatenate(out), np.concatenate(of)) if out else (code[:0], own[:0])
+
+
 def train_svm(z: np.ndarray, y: np.ndarray, cost: np.ndarray, sweeps: int = 12) -> np.ndarray:
     """Linear SVM (hinge loss, own cost for each row) by dual coordinate descent; the last column of z is the bias."""
     w, alpha = np.zeros(z.shape[1]), np.zeros(len(z))
@@ -172,12 +208,11 @@ class Machine:
         y = np.array(toxic)
         if not len(texts) or y.min() == y.max():
             return
-        code, own, back, doc = words(texts)
-        if not len(back):
+        code, own, pair = sample_words(texts)  # each word once for each document
+        if not len(pair):
             return
         self.able = True
         n = int(own[-1]) + 1
-        pair = np.unique(np.stack([doc, back], 1), axis=0)  # each word once for each document
         bad = y[pair[:, 0]] == 1
         in_bad, in_good = np.bincount(pair[bad, 1], minlength=n), np.bincount(pair[~bad, 1], minlength=n)
         # the first choice: subsequences without a gap of four letters that clean documents lack
@@ -209,34 +244,43 @@ class Machine:
             use = np.r_[bad_words, good_words]
             label = np.r_[np.ones(len(bad_words)), -np.ones(len(good_words))]
             r, c, v = _rows(code, own, use)
+            odd, odd_own = misspelt(code, own, bad_words[:MISSPELT], 3, rng)
+            if len(odd):
+                r2, c2, v2 = _rows(odd, odd_own, np.arange(int(odd_own[-1]) + 1))
+                r, c, v = np.r_[r, r2 + len(use)], np.r_[c, c2], np.r_[v, v2]
+                label = np.r_[label, np.ones(int(odd_own[-1]) + 1)]
+            total = len(label)
             if marks is None:
                 half = LANDMARKS // 2
                 chosen = np.unique(np.r_[np.arange(min(half, len(bad_words))), len(bad_words) + rng.choice(len(good_words), min(half, len(good_words)), replace=False)])
-                marks = np.zeros((len(chosen), 1 << TABLE_BITS), np.float32)
-                for k, row in enumerate(chosen):
-                    np.add.at(marks[k], c[r == row], v[r == row])
-                used = np.flatnonzero(marks.any(0))
+                nth = np.full(total, -1)
+                nth[chosen] = np.arange(len(chosen))
+                own_mark = nth[r] >= 0
+                used = np.unique(c[own_mark])
                 place = np.full(1 << TABLE_BITS, -1)
                 place[used] = np.arange(len(used))
-                marks = marks[:, used].astype(float)
+                marks = np.zeros((len(chosen), len(used)))
+                np.add.at(marks, (nth[r[own_mark]], place[c[own_mark]]), v[own_mark])
                 e, q = np.linalg.eigh(marks @ marks.T)
                 fine = e > 1e-6 * e[-1]
                 root = q[:, fine] / np.sqrt(e[fine])
             on = place[c] >= 0
-            kernel = np.zeros((len(use), marks.shape[0]))
-            for lo in range(0, len(use), 2000):  # rows by rows, to keep dense blocks small
-                part = on & (r >= lo) & (r < lo + 2000)
-                dense = np.zeros((min(2000, len(use) - lo), len(used)))
+            kernel = np.zeros((total, marks.shape[0]))
+            order = np.argsort(r, kind="stable")
+            order = order[on[order]]
+            for lo in range(0, total, 256):  # rows by rows, to keep dense blocks small
+                part = order[np.searchsorted(r[order], lo) : np.searchsorted(r[order], lo + 256)]
+                dense = np.zeros((min(256, total - lo), len(used)))
                 np.add.at(dense, (r[part] - lo, place[c[part]]), v[part])
-                kernel[lo : lo + 2000] = dense @ marks.T
-            z = np.c_[kernel @ root, np.full(len(use), 0.3)]
-            cost = np.r_[np.minimum(4.0, weight), np.full(len(good_words), 2.0)]
+                kernel[lo : lo + 256] = dense @ marks.T
+            z = np.c_[kernel @ root, np.full(total, 0.3)]
+            cost = np.r_[np.minimum(4.0, weight), np.full(len(good_words), 2.0), np.full(total - len(use), 0.5)]
             w = train_svm(z, label, cost)
             self.table = np.zeros(1 << TABLE_BITS)
             self.table[used] = marks.T @ (root @ w[:-1])
             value = score_words(code, own, n, self.table)
         best = np.full(len(texts), NO_WORD)
-        np.maximum.at(best, doc, value[back])
+        np.maximum.at(best, pair[:, 0], value[pair[:, 1]])
         self._calibrate(best, y)
 
     @staticmethod
@@ -250,8 +294,8 @@ class Machine:
         return found[order], n[order].astype(float)
 
     def _calibrate(self, best: np.ndarray, y: np.ndarray) -> None:
-        """Logistic curve through the sample's scores, with the odds of the two kinds made even."""
-        weight = np.where(y == 1, 0.5 / max(1, (y == 1).sum()), 0.5 / max(1, (y == 0).sum()))
+        """Logistic curve through the sample's scores, with the odds of toxic and clean set to 3 to 7."""
+        weight = np.where(y == 1, 0.3 / max(1, (y == 1).sum()), 0.7 / max(1, (y == 0).sum()))
         x = np.maximum(best, NO_WORD)
         a, b = 2.0, 0.0
         for _ in range(60):
