@@ -16,7 +16,7 @@ higher count where they would otherwise fill more than half of the bound. log10
 is summed over the text; a count is the middle of its level. The weight a(v) depends on v's level; the weights are fitted by
 expectation-maximisation on FIT_ROWS training texts, leaving each text's own occurrence out (a count less one).
 
-base_score needs exact counts. The HEAD most frequent tokens' counts are broadcast as two sorted arrays (64 MB at most);
+base_score needs exact counts. The HEAD most frequent tokens' counts are broadcast as two sorted arrays (32 MB at most);
 rarer tokens, of which each has a small count, go to their segment's owner to be looked up, in bulk.
 
 Null and empty texts have the end token alone. Repeated rows count and are scored as often as they are there. Rows whose train
@@ -43,9 +43,11 @@ MIN_COUNT = (1, 2)
 #: log2 of the bits that the filter of tokens and the filter of pairs may take.
 FILTER_BITS = (28, 28)
 #: Tokens whose exact counts are broadcast.
-HEAD = 4_000_000
+HEAD = 2_000_000
 #: Tokens that a task gathers before it counts them.
-GATHER = 2_000_000
+GATHER = 1_500_000
+#: Bytes of text hashed at a time.
+BLOCK = 1 << 20
 #: Training texts, and bytes of them, on which the weights of pairs are fitted.
 FIT_ROWS, FIT_BYTES = 400, 4 << 20
 START = np.uint64(0x51ED270B9F7C3A15)
@@ -104,7 +106,7 @@ def _gathered(batches: Iterator[pa.RecordBatch], bits: int) -> Iterator[pa.Recor
             rows += [(kind, s, low[at].tobytes(), n[at].tobytes()) for s, at in _segments(h, bits)]
         return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows), (pa.int32(), pa.int32(), pa.binary(), pa.binary()))], ["kind", "seg", "low", "n"])
 
-    for b in blocks(batches, "text"):
+    for b in blocks(batches, "text", BLOCK):
         h, counts = token_hashes(text_bytes(b.column("text")), end=True)
         held[0].append(h)
         held[1].append(pairs(h, counts)[1])
@@ -293,7 +295,7 @@ def _scored(batches: Iterator[pa.RecordBatch], shared, bits: int) -> Iterator[pa
     row = TaskContext.get().partitionId() << 33
     names = [x.split(" ")[0] for x in _SCORED.split(", ")]
     kinds = [pa.int64(), pa.int64(), pa.bool_(), pa.int64(), pa.int64(), pa.float64(), pa.float64(), pa.int32(), pa.binary(), pa.binary()]
-    for b in blocks(batches, "text"):
+    for b in blocks(batches, "text", BLOCK):
         h, counts = token_hashes(text_bytes(b.column("text")), end=True)
         u, back = np.unique(h, return_inverse=True)
         c = m.head_count(u)
