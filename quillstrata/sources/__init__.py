@@ -1 +1,193 @@
-"""Sources of the engine."""
+"""Sources and sinks: company master, filing lists, documents, prices, universes, questions; Parquet, CSV and JSON."""
+
+from __future__ import annotations
+
+import io
+import json
+import time
+import urllib.parse
+import urllib.request
+import zipfile
+from collections.abc import Iterator
+
+import pandas as pd
+from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import functions as F
+from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
+
+from ..functions.text import code6, strip
+
+# Answers of the filing service.
+OK, NO_DATA = "000", "013"
+FILING = "rcept_no string, corp_code string, corp_name string, stock_code string, report_nm string, rcept_dt string, flr_nm string, rm string"
+#: Korean headers of price tables and their names here.
+PRICE_COLUMNS = {"날짜": "trade_date", "시가": "open_price", "고가": "high_price", "저가": "low_price", "종가": "close_price", "거래량": "volume", "거래대금": "trade_value", "등락률": "change_rate"}
+
+
+def with_retries(call, attempts: int = 3, most_wait: float = 10.0, sleep=time.sleep):
+    """call(), again after 1, 2, 4 ... seconds on errors; the last error is raised."""
+    for k in range(attempts):
+        try:
+            return call()
+        except OSError:
+            if k == attempts - 1:
+                raise
+            sleep(min(most_wait, 2.0**k))
+
+
+def _get(url: str, params: dict) -> dict:
+    with urllib.request.urlopen(f"{url}?{urllib.parse.urlencode(params)}", timeout=30) as r:
+        return json.loads(r.read())
+
+
+def pages_of(fetch, params: dict) -> Iterator[dict]:
+    """Rows of all pages: fetch(params with page_no) gives {status, total_page, message, list}. No data gives nothing; other states are errors."""
+    page, total = 1, 1
+    while page <= total:
+        got = fetch(params | {"page_no": page, "page_count": 100})
+        if got["status"] == NO_DATA:
+            return
+        if got["status"] != OK:
+            raise RuntimeError(f"filing list: {got['status']} {got.get('message', '')}")
+        yield from got["list"]
+        total = int(got.get("total_page", 1))
+        page += 1
+
+
+class _Part(InputPartition):
+    def __init__(self, params: dict):
+        self.params = params
+
+
+class FilingReader(DataSourceReader):
+    """One partition for each company and filing type; pages are read within it."""
+
+    def __init__(self, options: dict):
+        self.url = options["url"]
+        self.base = {k: options[k] for k in ("begin", "end") if k in options}
+        self.corps = (options.get("corp_codes") or "").split(",")
+        self.types = (options.get("types") or "").split(",")
+
+    def partitions(self) -> list[InputPartition]:
+        return [_Part(self.base | ({"corp_code": c} if c else {}) | ({"type": t} if t else {})) for c in self.corps for t in self.types]
+
+    def read(self, partition):
+        names = [x.split(" ")[0] for x in FILING.split(", ")]
+        if self.url.startswith("file:"):  # recorded answers: a JSON list of pages
+            with open(self.url[5:], encoding="utf-8") as f:
+                recorded = json.load(f)
+            fetch = lambda p: recorded[p["page_no"] - 1]
+        else:
+            fetch = lambda p: with_retries(lambda: _get(self.url, p))
+        for row in pages_of(fetch, partition.params):
+            yield tuple(row.get(n) for n in names)
+
+
+class FilingSource(DataSource):
+    """spark.read.format('filing_list').option('url', ...): a paged filing service or recorded pages."""
+
+    @classmethod
+    def name(cls) -> str:
+        return "filing_list"
+
+    def schema(self) -> str:
+        return FILING
+
+    def reader(self, schema) -> DataSourceReader:
+        return FilingReader(self.options)
+
+
+def read_filing_list(spark: SparkSession, url: str, **options) -> DataFrame:
+    spark.dataSource.register(FilingSource)
+    return spark.read.format("filing_list").option("url", url).options(**options).load()
+
+
+def filings_from_pages(pages: DataFrame, body: str = "body") -> DataFrame:
+    """Pages already stored as JSON text, one for each row, to filing rows; pages in other states are errors."""
+    row = ", ".join(x.replace(" ", ":") for x in FILING.split(", "))
+    got = pages.select(F.from_json(body, f"status string, message string, total_page int, list array<struct<{row}>>").alias("p"))
+    failed = F.raise_error(F.concat(F.lit("filing list: "), F.col("p.status"), F.lit(" "), F.coalesce("p.message", F.lit(""))))
+    rows = F.when(F.col("p.status") == OK, F.col("p.list")).when(F.col("p.status") == NO_DATA, F.slice("p.list", 1, 0)).otherwise(failed)
+    return got.select(F.explode(rows).alias("f")).select("f.*")
+
+
+def read_company_master(spark: SparkSession, path: str) -> DataFrame:
+    """Company master XML; blank codes are null, of several records of one company the last counts."""
+    rows = spark.read.format("xml").option("rowTag", "list").schema("corp_code string, corp_name string, stock_code string, modify_date string").load(path)
+    rows = rows.select(*(strip(F.col(c)).alias(c) for c in rows.columns)).withColumn("stock_code", F.nullif(F.col("stock_code"), F.lit("")))
+    last = rows.withColumn("_at", F.monotonically_increasing_id())
+    return last.groupBy("corp_code").agg(F.max_by(F.struct("corp_name", "stock_code", "modify_date"), "_at").alias("r")).select("corp_code", "r.*").where(F.length("corp_code") == 8)
+
+
+def read_documents(spark: SparkSession, path: str) -> DataFrame:
+    """Zipped documents to (rcept_no, raw, error): the member that begins with the number in the archive's name, else the largest; broken archives give the first 300 bytes as an error."""
+    files = spark.read.format("binaryFile").load(path).select(F.regexp_extract("path", r"([0-9A-Za-z_]+)\.[^./]*$", 1).alias("rcept_no"), "content")
+
+    def unzip(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for part in parts:
+            rows = []
+            for number, content in part.itertuples(index=False):
+                try:
+                    with zipfile.ZipFile(io.BytesIO(content)) as z:
+                        own = [i for i in z.infolist() if i.filename.startswith(number)]
+                        chosen = own[0] if own else max(z.infolist(), key=lambda i: i.file_size)
+                        rows.append((number, z.read(chosen), None))
+                except (zipfile.BadZipFile, ValueError):
+                    rows.append((number, None, content[:300].decode("utf-8", "replace")))
+            yield pd.DataFrame(rows, columns=["rcept_no", "raw", "error"])
+
+    return files.mapInPandas(unzip, "rcept_no string, raw binary, error string")
+
+
+def clean_prices(raw: DataFrame, stock_code: str | Column) -> DataFrame:
+    """Price tables with Korean headers: renamed, whole numbers as such, NaN as null; missing optional columns are null."""
+    out = raw.withColumnsRenamed({k: v for k, v in PRICE_COLUMNS.items() if k in raw.columns})
+    number = lambda c, t: F.when(~F.isnan(F.col(c).cast("double")), F.col(c).cast("double")).cast(t).alias(c) if c in out.columns else F.lit(None).cast(t).alias(c)
+    code = F.lit(stock_code) if isinstance(stock_code, str) else stock_code
+    return out.select(code6(code).alias("stock_code"), F.col("trade_date").cast("date").alias("trade_date"), *(number(c, "long") for c in ("open_price", "high_price", "low_price", "close_price", "volume")), number("trade_value", "decimal(20,0)"), number("change_rate", "decimal(8,4)"))
+
+
+def read_prices_csv(spark: SparkSession, path: str, stock_code: str) -> DataFrame:
+    return clean_prices(spark.read.option("header", True).csv(path), stock_code)
+
+
+def read_universe(spark: SparkSession, path: str) -> DataFrame:
+    """Universe CSV (stock_code, corp_name, sector), codes of six digits; an absent file gives no rows."""
+    schema = "stock_code string, corp_name string, sector string"
+    try:
+        rows = spark.read.schema(schema).option("header", True).csv(path)
+        return rows.withColumn("stock_code", code6(F.col("stock_code")))
+    except Exception as e:
+        if "PATH_NOT_FOUND" in str(e):
+            return spark.createDataFrame([], schema)
+        raise
+
+
+def read_questions(spark: SparkSession, path: str) -> DataFrame:
+    """Evaluation questions from JSON lines; blank lines are skipped."""
+    return spark.read.schema("id string, type string, question string, gold array<string>, why string").json(path)
+
+
+def read_jdbc(spark: SparkSession, url: str, table: str, column: str, lower, upper, parts: int, fetch: int = 10_000, **options) -> DataFrame:
+    """A JDBC table in `parts` ranges of a column, so that more than one executor reads it."""
+    own = {"url": url, "dbtable": table, "partitionColumn": column, "lowerBound": str(lower), "upperBound": str(upper), "numPartitions": str(parts), "fetchsize": str(fetch)}
+    return spark.read.format("jdbc").options(**own, **options).load()
+
+
+def write_parquet(df: DataFrame, path: str, by: list[str] | None = None) -> int:
+    """Overwrites path and tells how many rows were written, from the write itself."""
+    from pyspark.sql import Observation
+
+    seen = Observation()
+    out = df.observe(seen, F.count(F.lit(1)).alias("n")).write.mode("overwrite")
+    (out.partitionBy(*by) if by else out).parquet(path)
+    return seen.get["n"]
+
+
+def write_csv(df: DataFrame, path: str) -> None:
+    """One CSV file with a header, for small results."""
+    df.coalesce(1).write.mode("overwrite").option("header", True).csv(path)
+
+
+def write_json(df: DataFrame, path: str) -> None:
+    df.coalesce(1).write.mode("overwrite").json(path)
