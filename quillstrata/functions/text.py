@@ -7,6 +7,9 @@ import html
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql.types import StringType
+
+from ..session import ship
 
 SPACE = r"(?U)\s"
 
@@ -31,7 +34,7 @@ def lines(text: Column) -> Column:
 # --- bytes and markup ---
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(StringType())
 def _cp949(raw: pd.Series) -> pd.Series:
     def one(b):
         if b is None:
@@ -46,6 +49,7 @@ def _cp949(raw: pd.Series) -> pd.Series:
 
 def decode_bytes(raw: Column) -> Column:
     """UTF-8 where valid, else cp949, else UTF-8 with replacement signs. Python runs for invalid UTF-8 only."""
+    ship()
     valid = F.is_valid_utf8(raw.cast("binary").cast("string"))
     return F.when(valid, raw.cast("string")).otherwise(_cp949(F.when(~valid, raw)))
 
@@ -54,13 +58,14 @@ def decode_bytes(raw: Column) -> Column:
 ENTITIES = {"&nbsp;": " ", "&lt;": "<", "&gt;": ">", "&quot;": '"', "&apos;": "'", "&#39;": "'", "&copy;": "©", "&middot;": "·", "&reg;": "®", "&hellip;": "…", "&ndash;": "–", "&mdash;": "—", "&euro;": "€"}
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(StringType())
 def _unescape(text: pd.Series) -> pd.Series:
     return text.map(lambda x: None if x is None else html.unescape(x))
 
 
 def unescape(text: Column) -> Column:
     """HTML entities: the common ones in the JVM, a text with others as a whole in Python."""
+    ship()
     out = text
     for name, sign in ENTITIES.items():
         out = F.replace(out, F.lit(name), F.lit(sign))

@@ -10,6 +10,9 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType, DoubleType
+
+from ..session import ship
 
 
 def dot(a: Column, b: Column) -> Column:
@@ -62,7 +65,9 @@ def hashing_model(dims: int):
 def encoder(dims: int = 64, load: Callable = hashing_model, batch: int = 32):
     """A pandas UDF from text to unit vectors; load(dims) gives the model, once for each worker task, and is called with `batch` texts at a time."""
 
-    @F.pandas_udf("array<double>")
+    ship()
+
+    @F.pandas_udf(ArrayType(DoubleType()))
     def encode(parts: Iterator[pd.Series]) -> Iterator[pd.Series]:
         model = load(dims)
         for texts in parts:

@@ -16,6 +16,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
 
 from ..functions.text import code6, strip
+from ..session import ship
 
 # Answers of the filing service.
 OK, NO_DATA = "000", "013"
@@ -98,6 +99,7 @@ class FilingSource(DataSource):
 
 
 def read_filing_list(spark: SparkSession, url: str, **options) -> DataFrame:
+    ship(spark)
     spark.dataSource.register(FilingSource)
     return spark.read.format("filing_list").option("url", url).options(**options).load()
 
