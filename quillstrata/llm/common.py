@@ -2,10 +2,8 @@
 
 from __future__ import annotations
 
-import shutil
 import tempfile
 from collections.abc import Iterator
-from pathlib import Path
 
 import numpy as np
 import pyarrow as pa
@@ -13,6 +11,8 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..session import ship
+
 #: Documents of one Arrow batch handed to Python; keeps a worker's memory at some MB however large a partition is.
 BATCH_ROWS = 1000
 #: Bytes of text that a worker gathers before it works on them.
@@ -23,11 +23,7 @@ def prepare(spark: SparkSession) -> None:
     """Small Arrow batches; this package for the workers; a checkpoint folder: the cluster's spark.checkpoint.dir, or one of our own where it is unset."""
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(BATCH_ROWS))
     sc = spark.sparkContext
-    if not getattr(sc, "_quillstrata_sent", False):  # Spark's file server hands it to executors that lack it
-        package = Path(__file__).resolve().parents[1]
-        made = shutil.make_archive(f"{tempfile.mkdtemp(prefix='quillstrata-')}/{package.name}", "zip", package.parent, package.name)
-        sc.addPyFile(made)
-        sc._quillstrata_sent = True
+    ship(spark)
     if sc._jsc.sc().getCheckpointDir().isDefined():
         return
     sc.setCheckpointDir(sc.getConf().get("spark.checkpoint.dir") or tempfile.mkdtemp(prefix="quillstrata-checkpoint-"))
