@@ -13,7 +13,7 @@ higher count where they would otherwise fill more than half of the bound. log10
 
     p(w | v) = a(v) * count(v w) / count(v) + (1 - a(v)) * (count(w) + 1) / (N + V + 1)
 
-is summed over the text; a count is the middle of its level. The weight a(v) depends on v's level; the weights are fitted by
+is summed over the text; a count is the middle of its level, but for count(w) where the exact count is at hand (below). The weight a(v) depends on v's level; the weights are fitted by
 expectation-maximisation on FIT_ROWS training texts, leaving each text's own occurrence out (a count less one).
 
 base_score needs exact counts. The HEAD most frequent tokens' counts are broadcast as two sorted arrays (32 MB at most);
@@ -49,7 +49,7 @@ GATHER = 1_500_000
 #: Bytes of text hashed at a time.
 BLOCK = 1 << 20
 #: Training texts, and bytes of them, on which the weights of pairs are fitted.
-FIT_ROWS, FIT_BYTES = 400, 4 << 20
+FIT_ROWS, FIT_BYTES = 300, 30 << 20
 START = np.uint64(0x51ED270B9F7C3A15)
 #: Low bytes kept of a token's and of a pair's hash, besides the segment.
 BYTES = (7, 5)
@@ -263,7 +263,9 @@ class Model:
         at[at == len(u)] = 0
         context = np.where(before == START, end, np.where(u[at] == before, level[at], 0))
         pu, pback = np.unique(both, return_inverse=True)
-        return context, _MIDDLE[level[back]], _MIDDLE[context], _MIDDLE[self.filters[1].level(pu)][pback]
+        exact = self.head_count(u)
+        token = np.where(exact > 0, exact, _MIDDLE[level])
+        return context, token[back], _MIDDLE[context], _MIDDLE[self.filters[1].level(pu)][pback]
 
     def fit(self, texts: list[bytes], rounds: int = 20) -> None:
         """The weights of pairs by the level of what stands before."""

