@@ -24,11 +24,16 @@ def squeeze(c: Column) -> Column:
     return strip(F.regexp_replace(c, r"(?U)\s+", " "))
 
 
+def let(value: Column, body) -> Column:
+    """body(value), with value worked out once; in nested functions Spark would work it out at each mention."""
+    return F.get(F.transform(F.array(value), body), F.lit(0))
+
+
 def lines(text: Column) -> Column:
     """Lines at any line break; a last empty piece is none."""
-    cut = F.split(text, "\r\n|[\n\r\x0b\x0c\x1c\x1d\x1e\x85  ]")
-    last = F.size(cut)
-    return F.when(text.isNull() | (text == ""), F.array().cast("array<string>")).when(F.element_at(cut, -1) == "", F.slice(cut, 1, last - 1)).otherwise(cut)
+    cut = F.split(text, "\r\n|[\n\r\x0b\x0c\x1c\x1d\x1e\x85\u2028\u2029]")
+    whole = let(cut, lambda c: F.when(F.element_at(c, -1) == "", F.slice(c, 1, F.size(c) - 1)).otherwise(c))
+    return F.when(text.isNull() | (text == ""), F.array().cast("array<string>")).otherwise(whole)
 
 
 # --- bytes and markup ---
@@ -157,14 +162,20 @@ def label_form(line: Column) -> Column:
 
 
 def labelled(ls: Column) -> Column:
-    """[(i, line, form)] of all lines, i from 1; made once and handed to the functions below."""
-    return F.transform(ls, lambda x, k: F.struct((k + 1).alias("i"), strip(x).alias("line"), label_form(x).alias("form")))
+    """[(i, line, form, raw, value)] of all lines, i from 1: raw is the next line unless it stands for no value, value the same unless it is a label.
+
+    Made once for a document and handed to the functions below, which then only look at it."""
+    formed = F.transform(ls, lambda x: F.struct(strip(x).alias("line"), label_form(x).alias("form")))
 
+    def entry(all_: Column, x: Column, k: Column) -> Column:
+        return let(F.get(all_, k + 1), lambda after: F.struct((k + 1).alias("i"), x["line"].alias("line"), x["form"].alias("form"), F.when(is_value(after["line"]), after["line"]).alias("raw"), F.when(is_value(after["line"]) & ~after["form"].isin(*LABELS), after["line"]).alias("value")))
 
-def first_at(doc: Column, *forms: str, start: Column | int = 1) -> Column:
-    """Number of the first line from start on that is one of the labels; null without one."""
-    start = F.lit(start) if isinstance(start, int) else start
-    return F.get(F.filter(doc, lambda x: (x["i"] >= start) & x["form"].isin(*forms)), F.lit(0))["i"]
+    return let(formed, lambda all_: F.transform(all_, lambda x, k: entry(all_, x, k)))
+
+
+def first_at(doc: Column, *forms: str) -> Column:
+    """Number of the first line that is one of the labels; null without one."""
+    return F.get(F.filter(doc, lambda x: x["form"].isin(*forms)), F.lit(0))["i"]
 
 
 def line_at(doc: Column, i: Column) -> Column:
@@ -177,13 +188,12 @@ def is_value(x: Column) -> Column:
 
 def field(doc: Column, *labels: str, after: str | None = None) -> Column:
     """The line after a label; labels are tried in the order given, from the section label `after` on. Labels and signs for no value are not values."""
-    start = first_at(doc, after) if after else F.lit(1)
 
-    def one(label: str) -> Column:
-        x = line_at(doc, first_at(doc, label, start=start) + 1)
-        return F.when(start.isNotNull() & is_value(x) & ~label_form(x).isin(*LABELS), x)
+    def tried(start: Column | None) -> Column:
+        own = lambda label: F.get(F.filter(doc, lambda x: (x["form"] == label) if start is None else (x["form"] == label) & (x["i"] >= start)), F.lit(0))["value"]
+        return F.coalesce(*map(own, labels))
 
-    return F.coalesce(*(one(x) for x in labels))
+    return let(first_at(doc, after), tried) if after else tried(None)
 
 
 def money(raw: Column) -> Column:
@@ -197,9 +207,8 @@ def percent(raw: Column) -> Column:
 
 def iso_date(raw: Column) -> Column:
     """First yyyy mm dd, with or without separators, as yyyy-mm-dd; the calendar isn't asked."""
-    p = r"(\d{4})[-.\s/]?(\d{2})[-.\s/]?(\d{2})"
-    part = [F.regexp_extract(raw, p, k) for k in (1, 2, 3)]
-    return F.when(part[0] != "", F.concat_ws("-", *part))
+    found = F.regexp_extract(raw, r"\d{4}[-.\s/]?\d{2}[-.\s/]?\d{2}", 0)
+    return F.nullif(F.regexp_replace(found, r"^(\d{4})[-.\s/]?(\d{2})[-.\s/]?(\d{2})$", "$1-$2-$3"), F.lit(""))
 
 
 def clean_name(raw: Column) -> Column:
@@ -224,8 +233,7 @@ SUBSIDIARY_INTRO, SUBSIDIARY_TAIL, SUBSIDIARY_DEPTH = ("자회사인", "종속
 
 def body_start(doc: Column) -> Column:
     """Where a correction's corrected body begins: the second line that is its title; 1 in other filings."""
-    title = field(doc, CORRECTED_TITLE)
-    second = F.get(F.filter(doc, lambda x: x["line"] == title), F.lit(1))["i"]
+    second = let(field(doc, CORRECTED_TITLE), lambda title: F.get(F.filter(doc, lambda x: x["line"] == title), F.lit(1))["i"])
     return F.when(F.get(doc, F.lit(0))["form"] == CORRECTION_HEAD, F.coalesce(second, F.lit(1))).otherwise(1)
 
 
@@ -234,9 +242,11 @@ def subsidiary_name(doc: Column) -> Column:
     intros = F.filter(F.slice(doc, 1, SUBSIDIARY_DEPTH), lambda x: x["form"].isin(*SUBSIDIARY_INTRO))
 
     def name(x: Column) -> Column:
-        one, two = line_at(doc, x["i"] + 1), line_at(doc, x["i"] + 2)
-        second = F.when(is_value(two) & ~two.startswith(SUBSIDIARY_TAIL), two)
-        return F.when(is_value(one), F.when(~one.startswith(SUBSIDIARY_TAIL), one)).otherwise(second)
+        def pick(one: Column, two: Column) -> Column:
+            second = F.when(is_value(two) & ~two.startswith(SUBSIDIARY_TAIL), two)
+            return F.when(is_value(one), F.when(~one.startswith(SUBSIDIARY_TAIL), one)).otherwise(second)
+
+        return pick(x["raw"], F.when(line_at(doc, x["i"] + 1).isNotNull(), line_at(doc, x["i"] + 2)))
 
     return F.get(F.array_compact(F.transform(intros, name)), F.lit(0))
 

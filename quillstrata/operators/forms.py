@@ -31,49 +31,49 @@ def some(t: Column, there: Column) -> Column:
     return F.when(there, F.array(t)).otherwise(F.array().cast(f"array<{TRIPLE}>"))
 
 
-def supply(subject: Column, doc: Column) -> Column:
-    party = X.clean_name(X.field(doc, "계약상대", "계약상대방"))
-    t = triple(subject, SUPPLIES_TO, party, X.money(X.field(doc, "계약금액(원)")), None, X.iso_date(X.field(doc, "시작일", after="계약기간")), X.iso_date(X.field(doc, "종료일", after="계약기간")), X.clean_name(X.field(doc, "회사와의 관계")))
-    return some(t, party.isNotNull())
-
-
-def stake(subject: Column, doc: Column) -> Column:
-    issuers = X.split_companies(X.field(doc, "회사명", "회사명(국적)", after="발행회사"))
-    single = F.size(issuers) == 1
-    note, when = X.clean_name(X.field(doc, "회사와 관계", "회사와의 관계")), X.iso_date(X.field(doc, "취득예정일자"))
-    share = X.percent(X.field(doc, "지분비율(%)", after="취득후 소유주식수 및 지분비율"))
-    amount, ratio = F.when(single, X.money(X.field(doc, "취득금액(원)"))), F.when(single, X.percent(X.field(doc, "자기자본대비(%)")))
-    invests = F.transform(issuers, lambda x: triple(subject, INVESTS_IN, x, amount, ratio, when, None, note))
-    owns = some(triple(subject, OWNS_STAKE, F.get(issuers, F.lit(0)), None, share, when, None, note), single & share.isNotNull())
-    return F.concat(invests, owns)
-
-
-def guarantee(subject: Column, doc: Column) -> Column:
-    debtor = X.clean_name(X.field(doc, "채무자"))
-    t = triple(
-        subject, GUARANTEES_DEBT_OF, debtor, X.money(X.field(doc, "채무보증금액(원)", "채무(차입)금액(원)")), X.percent(X.field(doc, "자기자본대비(%)")),
-        X.iso_date(X.field(doc, "시작일", after="채무보증기간")), X.iso_date(X.field(doc, "종료일", after="채무보증기간")), X.clean_name(X.field(doc, "회사와의 관계")),
-    )
-    return some(t, debtor.isNotNull())
-
-
-def shareholders(filer: Column, doc: Column) -> Column:
+def supply(rows: DataFrame) -> tuple[DataFrame, Column]:
+    doc = F.col("_doc")
+    rows = rows.withColumns({"_object": X.field(doc, "계약상대", "계약상대방"), "_amount": X.money(X.field(doc, "계약금액(원)")), "_from": X.iso_date(X.field(doc, "시작일", after="계약기간")), "_to": X.iso_date(X.field(doc, "종료일", after="계약기간")), "_note": X.field(doc, "회사와의 관계")})
+    return rows, some(triple(F.col("_subject"), SUPPLIES_TO, F.col("_object"), F.col("_amount"), None, F.col("_from"), F.col("_to"), F.col("_note")), F.col("_object").isNotNull())
+
+
+def stake(rows: DataFrame) -> tuple[DataFrame, Column]:
+    doc = F.col("_doc")
+    rows = rows.withColumns({
+        "_issuers": X.split_companies(X.field(doc, "회사명", "회사명(국적)", after="발행회사")), "_note": X.field(doc, "회사와 관계", "회사와의 관계"), "_from": X.iso_date(X.field(doc, "취득예정일자")),
+        "_share": X.percent(X.field(doc, "지분비율(%)", after="취득후 소유주식수 및 지분비율")), "_amount": X.money(X.field(doc, "취득금액(원)")), "_ratio": X.percent(X.field(doc, "자기자본대비(%)")),
+    })
+    rows = rows.withColumn("_single", F.size("_issuers") == 1)
+    amount, ratio = F.when(F.col("_single"), F.col("_amount")), F.when(F.col("_single"), F.col("_ratio"))
+    invests = F.transform("_issuers", lambda x: triple(F.col("_subject"), INVESTS_IN, x, amount, ratio, F.col("_from"), None, F.col("_note")))
+    owns = some(triple(F.col("_subject"), OWNS_STAKE, F.get("_issuers", F.lit(0)), None, F.col("_share"), F.col("_from"), None, F.col("_note")), F.col("_single") & F.col("_share").isNotNull())
+    return rows, F.concat(invests, owns)
+
+
+def guarantee(rows: DataFrame) -> tuple[DataFrame, Column]:
+    doc = F.col("_doc")
+    rows = rows.withColumns({
+        "_object": X.field(doc, "채무자"), "_amount": X.money(X.field(doc, "채무보증금액(원)", "채무(차입)금액(원)")), "_ratio": X.percent(X.field(doc, "자기자본대비(%)")),
+        "_from": X.iso_date(X.field(doc, "시작일", after="채무보증기간")), "_to": X.iso_date(X.field(doc, "종료일", after="채무보증기간")), "_note": X.field(doc, "회사와의 관계"),
+    })
+    return rows, some(triple(F.col("_subject"), GUARANTEES_DEBT_OF, F.col("_object"), F.col("_amount"), F.col("_ratio"), F.col("_from"), F.col("_to"), F.col("_note")), F.col("_object").isNotNull())
+
+
+def shareholders(rows: DataFrame) -> tuple[DataFrame, Column]:
     """One relation for each person named in the section of individual changes; the first block of a name counts."""
-    section = X.first_at(doc, "개인별 세부변동사항")
-    start = F.coalesce(section, F.lit(1))
-    end = F.when(section.isNull(), F.size(doc) + 1).otherwise(X.section_end(doc, start))
-    blocks = F.filter(doc, lambda x: (x["i"] >= start) & (x["i"] < end) & (x["form"] == "성명"))
-    people = F.filter(F.transform(blocks, lambda x: F.struct(x["i"].alias("i"), X.clean_name(X.line_at(doc, x["i"] + 1)).alias("name"))), lambda p: p["name"].isNotNull() & ~X.label_form(p["name"]).isin(*X.LABELS))
-    people = F.filter(people, lambda p, k: ~F.exists(F.slice(people, 1, F.greatest(k, F.lit(0))), lambda q: q["name"] == p["name"]) | (k == 0))
-
-    def relation(p: Column) -> Column:
-        return X.clean_name(X.line_at(doc, X.first_at(doc, "최대주주 및 발행회사와의 관계", start=p["i"]) + 1))
+    doc = F.col("_doc")
+    rows = rows.withColumns({"_section": X.first_at(doc, "개인별 세부변동사항"), "_relations": F.filter(doc, lambda x: x["form"] == "최대주주 및 발행회사와의 관계")})
+    rows = rows.withColumns({"_start": F.coalesce("_section", F.lit(1)), "_end": F.when(F.col("_section").isNull(), F.size(doc) + 1).otherwise(X.section_end(doc, F.col("_section")))})
+    rows = rows.withColumn("_blocks", F.filter(doc, lambda x: (x["form"] == "성명") & (x["i"] >= F.col("_start")) & (x["i"] < F.col("_end")) & x["value"].isNotNull()))
+    first = F.filter("_blocks", lambda p: p["i"] == F.get(F.filter("_blocks", lambda q: q["value"] == p["value"]), F.lit(0))["i"])
+    note = lambda p: F.get(F.filter("_relations", lambda r: r["i"] >= p["i"]), F.lit(0))["raw"]
+    rows = rows.withColumn("_people", F.transform(first, lambda p: F.struct(p["value"].alias("name"), note(p).alias("note"))))
 
     def kind(note: Column) -> Column:
         flat = F.replace(note, F.lit(" "))
         return F.when(flat.contains("임원") & ~flat.contains("계열사"), OFFICER_OF).otherwise(RELATED_PARTY_OF)
 
-    return F.transform(people, lambda p: triple(p["name"], kind(relation(p)), filer, note=relation(p)))
+    return rows, F.transform("_people", lambda p: triple(p["name"], kind(p["note"]), F.col("_subject"), note=p["note"]))
 
 
 def parse_filings(filings: DataFrame, name_col: str = "corp_name", report_col: str = "report_nm", text_col: str = "doc_text") -> DataFrame:
@@ -96,7 +96,7 @@ def parse_filings(filings: DataFrame, name_col: str = "corp_name", report_col: s
     out = None
     for keyword, parser in [*parsers.items(), ("none", None)]:
         own = rows.where(F.col("_form") == keyword)
-        found = parser(F.col("_subject"), F.col("_doc")) if parser else F.array().cast(f"array<{TRIPLE}>")
+        own, found = parser(own) if parser else (own, F.array().cast(f"array<{TRIPLE}>"))
         own = own.select(*filings.columns, F.posexplode(F.concat(parent, found)).alias("seq", "_t")).select(*filings.columns, "seq", "_t.*")
         out = own if out is None else out.unionByName(own)
     return out

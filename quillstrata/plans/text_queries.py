@@ -66,7 +66,14 @@ def parsed(rows, report, text):
     return out.select("o_orderkey", "subject", "predicate", "object", "amount_krw", F.col("ratio_pct").alias("ratio_pct"), "start_date", "end_date", "note")
 
 
-NUMBER, DAY = F.format_number(F.floor(F.col("o_totalprice")), 0), F.date_format("o_orderdate", "yyyy-MM-dd")
+def number():
+    return F.format_number(F.floor(F.col("o_totalprice")), 0)
+
+
+def day():
+    return F.date_format("o_orderdate", "yyyy-MM-dd")
+
+
 SOURCE = "FROM orders JOIN customer ON o_custkey = c_custkey WHERE o_orderkey % 5 = 0"
 FILER = "'Filer ' || CAST(o_orderkey % 7 AS VARCHAR)"
 
@@ -75,7 +82,7 @@ FILER = "'Filer ' || CAST(o_orderkey % 7 AS VARCHAR)"
     strftime(o_orderdate, '%Y-%m-%d') AS start_date, strftime(o_orderdate + INTERVAL 30 DAY, '%Y-%m-%d') AS end_date, CASE WHEN c_custkey % 2 = 0 THEN c_mktsegment END AS note {SOURCE}""")
 def parse_supply(spark, d):
     note = F.when(F.col("c_custkey") % 2 == 0, F.col("c_mktsegment")).otherwise("-")
-    text = lines_of("1. 판매ㆍ공급계약 내용", "2. 계약내역", "계약금액(원)", NUMBER, "최근 매출액(원)", "1,000", "3. 계약상대", F.col("c_name"), "-회사와의 관계", note, "5. 계약기간", "시작일", DAY, "종료일", F.date_format(F.date_add("o_orderdate", 30), "yyyy-MM-dd"))
+    text = lines_of("1. 판매ㆍ공급계약 내용", "2. 계약내역", "계약금액(원)", number(), "최근 매출액(원)", "1,000", "3. 계약상대", F.col("c_name"), "-회사와의 관계", note, "5. 계약기간", "시작일", day(), "종료일", F.date_format(F.date_add("o_orderdate", 30), "yyyy-MM-dd"))
     return parsed(joined(spark, d), "단일판매ㆍ공급계약체결", text)
 
 
@@ -83,14 +90,14 @@ def parse_supply(spark, d):
     strftime(o_orderdate, '%Y-%m-%d') AS start_date, NULL::VARCHAR AS end_date, c_mktsegment AS note {SOURCE}""")
 def parse_guarantee(spark, d):
     ratio = F.concat((F.col("o_custkey") % 100).cast("string"), F.lit(".5"))
-    text = lines_of("1. 채무자", F.col("c_name"), "-회사와의 관계", F.col("c_mktsegment"), "2. 채무(차입)금액(원)", "77", "3. 채무보증내역", "채무보증금액(원)", NUMBER, "자기자본대비(%)", ratio, "채무보증기간", "시작일", DAY, "종료일", "-")
+    text = lines_of("1. 채무자", F.col("c_name"), "-회사와의 관계", F.col("c_mktsegment"), "2. 채무(차입)금액(원)", "77", "3. 채무보증내역", "채무보증금액(원)", number(), "자기자본대비(%)", ratio, "채무보증기간", "시작일", day(), "종료일", "-")
     return parsed(joined(spark, d), "타인에대한채무보증결정", text)
 
 
 @query("parse_stake", f"""SELECT o_orderkey, {FILER} AS subject, p AS predicate, c_name AS object, CASE WHEN p = 'INVESTS_IN' THEN CAST(floor(o_totalprice) AS DECIMAL(38,0)) END AS amount_krw,
     CASE WHEN p = 'INVESTS_IN' THEN 12.5::DOUBLE ELSE (o_custkey % 100)::DOUBLE END AS ratio_pct, strftime(o_orderdate, '%Y-%m-%d') AS start_date, NULL::VARCHAR AS end_date, c_mktsegment AS note FROM (SELECT *, unnest(['INVESTS_IN', 'OWNS_STAKE']) AS p {SOURCE})""")
 def parse_stake(spark, d):
-    text = lines_of("1. 발행회사", "회사명(국적)", F.concat("c_name", F.lit(" (대한민국)")), "회사와 관계", F.col("c_mktsegment"), "2. 취득내역", "취득금액(원)", NUMBER, "자기자본대비(%)", "12.5", "3. 취득후 소유주식수 및 지분비율", "지분비율(%)", (F.col("o_custkey") % 100).cast("string"), "4. 취득예정일자", DAY)
+    text = lines_of("1. 발행회사", "회사명(국적)", F.concat("c_name", F.lit(" (대한민국)")), "회사와 관계", F.col("c_mktsegment"), "2. 취득내역", "취득금액(원)", number(), "자기자본대비(%)", "12.5", "3. 취득후 소유주식수 및 지분비율", "지분비율(%)", (F.col("o_custkey") % 100).cast("string"), "4. 취득예정일자", day())
     return parsed(joined(spark, d), "타법인주식및출자증권취득결정", text)
 
 
