@@ -129,14 +129,20 @@ def canonical_name(raw: Column) -> Column:
     """A company's name without its legal forms and its Latin reading in brackets; the name itself if nothing would be left."""
     base = squeeze(F.coalesce(raw, F.lit("")))
 
-    def peel(name: Column, _: Column) -> Column:
+    def peel(name: Column) -> Column:
         name = strip(F.regexp_replace(name, r"(?U)\s*\(([^()]*[A-Za-z][^()]*)\)\s*$", ""))
         name = strip(F.regexp_replace(name, rf"(?iuU)\s*({'|'.join(LEGAL_AFTER)})\s*[.,]?\s*$", ""))
         name = strip(F.regexp_replace(name, rf"(?U)^\s*({'|'.join(LEGAL_BEFORE)})\s*", ""))
         return F.regexp_replace(name, r"^[ ,;·]+|[ ,;·]+$", "")
 
-    peeled = F.aggregate(F.sequence(F.lit(1), F.lit(LAYERS)), base, peel)
-    return F.when(peeled == "", base).otherwise(peeled)
+    def layer(s: Column, _: Column) -> Column:
+        return F.when(s["stop"], s).otherwise(let(peel(s["name"]), lambda n: F.struct(n.alias("name"), (n == s["name"]).alias("stop"))))
+
+    def peeled(b: Column) -> Column:
+        start = F.struct(b.alias("name"), (b == "").alias("stop"))
+        return F.aggregate(F.sequence(F.lit(1), F.lit(LAYERS)), start, layer, lambda s: F.when(s["name"] == "", b).otherwise(s["name"]))
+
+    return let(base, peeled)
 
 
 def match_key(name: Column) -> Column:

@@ -46,7 +46,7 @@ def paths(edges: DataFrame, seeds: DataFrame, hops: int = 2) -> DataFrame:
     """Different undirected paths of 1 to hops (at most 2) edges from the seeds (name), ends apart, no edge twice: (depth, names, rels, starts, rcepts)."""
     hops = max(1, min(2, hops))
     u = both_ways(edges)
-    own = u.join(F.broadcast(seeds.select(F.col("name").alias("a")).limit(SEEDS)), "a")
+    own = u.join(F.broadcast(seeds.select(F.col("name").alias("a")).orderBy(F.desc(F.length("a")), "a").limit(SEEDS)), "a")
     one = own.where("a <> b").select(F.lit(1).alias("depth"), F.array("a", "b").alias("names"), F.array("rel").alias("rels"), F.array("start").alias("starts"), F.array("rcept_no").alias("rcepts"))
     if hops == 1:
         return one.distinct()
@@ -121,7 +121,7 @@ def overview(edges: DataFrame, universe: DataFrame, examples: int = 10) -> DataF
     """(n_nodes, name): examples from the universe if it has nodes, else the first names."""
     names = edges.select(F.explode(F.array("src", "dst")).alias("name")).distinct()
     total = names.agg(F.count("*").alias("n_nodes"))
-    known = names.join(universe.select("name").distinct(), "name", "left_semi").withColumn("_known", F.lit(0))
+    known = names.join(universe.select("name").distinct(), "name", "left_semi").orderBy("name").limit(examples).withColumn("_known", F.lit(0))
     first = names.orderBy("name").limit(examples).withColumn("_known", F.lit(1))
-    best = known.unionByName(first).withColumn("_best", F.min("_known").over(W.partitionBy()))
+    best = known.unionByName(first).withColumn("_best", F.min("_known").over(W.partitionBy()))  # 2 * examples rows at most
     return best.where("_known = _best").orderBy("name").limit(examples).crossJoin(F.broadcast(total)).select("n_nodes", "name")

@@ -151,3 +151,36 @@ def decode_bytes(spark, d):
     """Every tenth row's bytes are valid UTF-8 and every other tenth's come as cp949 where that can say them."""
     docs = table(spark, d, "documents").where("doc_id % 10 = 3 OR doc_id % 10 = 4")
     return docs.select("doc_id", X.decode_bytes(F.col("text").cast("binary")).alias("text"))
+
+
+@query("store_triples", f"""SELECT o_orderkey AS rcept_no, left(repeat(c_name, 15), 200) AS subject_name, 'SUPPLIES_TO' AS predicate, c_mktsegment AS object_name,
+    '{{"amount_krw":' || CAST(floor(o_totalprice) AS BIGINT) || CASE WHEN c_custkey % 2 = 0 THEN ',"note":"' || c_mktsegment || '"' ELSE '' END || '}}' AS props_json, 'rules' AS model, length(repeat(c_name, 15)) > 200 AS was_cut,
+    CASE WHEN c_custkey % 2 = 0 THEN c_mktsegment END AS note_again {SOURCE}""")
+def store_triples(spark, d):
+    from ..operators.documents import props, stored_triples
+
+    none = F.lit(None)
+    rows = joined(spark, d).select(F.col("o_orderkey").alias("rcept_no"), F.repeat("c_name", 15).alias("subject"), F.lit("SUPPLIES_TO").alias("predicate"), F.col("c_mktsegment").alias("object"), F.floor("o_totalprice").cast("decimal(38,0)").alias("amount_krw"), none.cast("double").alias("ratio_pct"), none.cast("string").alias("start_date"), none.cast("string").alias("end_date"), F.when(F.col("c_custkey") % 2 == 0, F.col("c_mktsegment")).alias("note"))
+    return stored_triples(rows).withColumn("note_again", props(F.col("props_json"))["note"])
+
+
+@query("embed_upsert")
+def embed_upsert(spark, d):
+    """Vectors of the documents that a first run, over every third document, has not stored."""
+    from ..operators.documents import embed_documents
+
+    docs = table(spark, d, "documents").select(F.col("doc_id").alias("rcept_no"), F.col("text").alias("doc_text"))
+    none = spark.createDataFrame([], "rcept_no long, chunk_idx int, content string, embedding array<double>")
+    return embed_documents(docs, embed_documents(docs.where("rcept_no % 3 = 0"), none)).select("rcept_no", "chunk_idx", "content", F.size("embedding").alias("dims"))
+
+
+@query("like_parameter", "SELECT p_partkey, p_type FROM part WHERE p_type LIKE '%AN%' AND p_name IS NOT NULL")
+def like_parameter(spark, d):
+    return table(spark, d, "part").where(F.col("p_type").like("%AN%") & F.col("p_name").isNotNull()).select("p_partkey", "p_type")
+
+
+@query("strict_zip", "SELECT p_partkey, unnest(string_split(p_name, ' ')) AS word, unnest(range(1, len(string_split(p_name, ' ')) + 1)) AS pos FROM part")
+def strict_zip(spark, d):
+    words = F.split("p_name", " ")
+    zipped = F.arrays_zip(words.alias("word"), F.sequence(F.lit(1).cast("long"), F.size(words).cast("long")).alias("pos"))
+    return table(spark, d, "part").select("p_partkey", F.explode(zipped).alias("z")).select("p_partkey", "z.word", "z.pos")
