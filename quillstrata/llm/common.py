@@ -127,6 +127,7 @@ def components(edges: DataFrame, most_rounds: int = 60) -> DataFrame:
     Alternating large-star and small-star rounds. A round is two aggregations with map-side partial minimums, each
     joined back to the edges, so a node of very high degree is dealt out by Spark's skew join and no
     neighbourhood is ever gathered in one place. Every round is checkpointed; only two numbers come to the driver.
+    A node of high degree is the smaller end of its edges after the first round, so only the large-star join can be uneven.
     """
     star = cut(edges.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).where("a <> b").distinct())
     before = _marks(star)
@@ -134,7 +135,8 @@ def components(edges: DataFrame, most_rounds: int = 60) -> DataFrame:
         if not before[0]:
             break
         both = star.union(star.select(F.col("b").alias("a"), F.col("a").alias("b")))
-        least = both.groupBy("a").agg(F.min("b").alias("m")).select("a", F.least("a", "m").alias("m"))
+        # cut, so that the join has an exchange on either side and Spark can split the rows of a node of high degree
+        least = cut(both.groupBy("a").agg(F.min("b").alias("m")).select("a", F.least("a", "m").alias("m")))
         large = both.join(least, "a").where("b > a").select(F.col("b").alias("a"), F.col("m").alias("b")).distinct()
         least = large.groupBy("a").agg(F.min("b").alias("m"))
         small = large.join(least, "a")
