@@ -22,7 +22,7 @@ from pyspark.sql import functions as F
 
 from .common import prepare
 
-_EDGE, _STOP = r"(?<![A-Za-z0-9+(])(?<!\d[.\-/])", r"(?![A-Za-z0-9])(?![.\-/]\d)"
+_EDGE, _STOP = r"(?<![A-Za-z0-9])(?<!\d[.\-/])", r"(?![A-Za-z0-9])(?![.\-/]\d)"
 # Formats.
 FORMATS = {
     "card": r"(?:\d{13,19}|\d{4}[ -]\d{4}[ -]\d{4}[ -]\d{4}|\d{4}[ -]\d{6}[ -]\d{5})",

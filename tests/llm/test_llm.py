@@ -372,6 +372,8 @@ def test_pseudonyms(spark):
     got = {r["doc_id"]: r for r in pii.pseudonymise(df, "k1").collect()}
     new = got[1]["text"]
     assert got[2]["text"] == new and got[1]["n_pii"] == 11 and (got[3]["text"], got[3]["n_pii"]) == (STAYS, 0)
+    marked = pii.pseudonymise(spark.createDataFrame([("(1.2.3.4) [4012888888881881], \"2024-02-29\"; <+1 (743) 555-3824>.",)], "text string"), "k1").first()
+    assert marked["n_pii"] == 4 and marked["text"].startswith("(") and not re.search("1[.]2[.]3[.]4|401288|2024|743", marked["text"])
     assert got[4]["text"] is None and got[5]["text"] == "" and got[6]["text"].startswith("xxx") and got[6]["n_pii"] == 1
     shape = lambda t: re.sub("[0-9]", "9", re.sub(r"[a-z0-9]+\.[a-z0-9]+@", "@", re.sub(r"[0-9]+(\.[0-9]+){3}$", "ip", t)))
     assert shape(CASE) == shape(new)
