@@ -40,6 +40,13 @@ def session(name: str = "quillstrata", master: str | None = None, shuffle_partit
     return b.getOrCreate()
 
 
+def checkpoints(spark: SparkSession) -> None:
+    """A checkpoint folder: the cluster's spark.checkpoint.dir, or one of our own where that is unset."""
+    sc = spark.sparkContext
+    if not sc._jsc.sc().getCheckpointDir().isDefined():
+        sc.setCheckpointDir(sc.getConf().get("spark.checkpoint.dir") or tempfile.mkdtemp(prefix="quillstrata-checkpoint-"))
+
+
 def ship(spark: SparkSession | None = None) -> None:
     """Sends this package to the executors through Spark's file server, once for each application, so that Python functions find it there."""
     spark = spark or SparkSession.getActiveSession()

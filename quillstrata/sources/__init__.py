@@ -16,7 +16,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
 
 from ..functions.text import code6, strip
-from ..session import ship
+from ..session import checkpoints, ship
 
 # Answers of the filing service.
 OK, NO_DATA = "000", "013"
@@ -153,6 +153,31 @@ def read_prices_csv(spark: SparkSession, path: str, stock_code: str) -> DataFram
     return clean_prices(spark.read.option("header", True).csv(path), stock_code)
 
 
+def fetch_prices(spark: SparkSession, codes: DataFrame, fetch, begin, end, pause: float = 0.5) -> tuple[DataFrame, DataFrame]:
+    """(prices, errors) of many securities: fetch(code, begin, end) gives a table with Korean or standard headers, empty where there is nothing. A security that fails is reported and the others go on.
+
+    Calls run on the executors, one after another within a partition, `pause` seconds apart, and once only: what they gave is checkpointed."""
+    ship(spark)
+    checkpoints(spark)
+    names = [PRICE_COLUMNS[k] for k in PRICE_COLUMNS]
+
+    def call(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for part in parts:
+            for code in part["stock_code"]:
+                try:
+                    got = fetch(code, begin, end).rename(columns=PRICE_COLUMNS)
+                    got = got.reindex(columns=names).assign(stock_code=code, error=None)
+                    got["trade_date"] = got["trade_date"].astype(str)
+                    yield got[["stock_code", "error", *names]]
+                except Exception as e:
+                    yield pd.DataFrame([[code, str(e) or type(e).__name__, *[None] * len(names)]], columns=["stock_code", "error", *names])
+                time.sleep(pause)
+
+    schema = "stock_code string, error string, trade_date string, " + ", ".join(f"{n} double" for n in names[1:])
+    raw = codes.select("stock_code").mapInPandas(call, schema).checkpoint()
+    return clean_prices(raw.where("error IS NULL").drop("error"), F.col("stock_code")), raw.where("error IS NOT NULL").select("stock_code", "error")
+
+
 def read_universe(spark: SparkSession, path: str) -> DataFrame:
     """Universe CSV (stock_code, corp_name, sector), codes of six digits; an absent file gives no rows."""
     schema = "stock_code string, corp_name string, sector string"
