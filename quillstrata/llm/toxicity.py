@@ -12,7 +12,7 @@ made anew. A sentence is represented by its most suspicious word. Landmarks are
 kernel values with the landmarks times the inverse root of the landmarks' kernel matrix, and a linear SVM is
 trained on them by dual coordinate descent. Since the kernel has an explicit, finite feature map, the trained machine is
 folded into one table of subsequence weights, with the very same scores; the table has a fixed size and is broadcast.
-A document's score is a logistic function, fitted to the sample, of its highest-scored word.
+A document's score is a logistic function of its highest-scored word. Its place is set on a held third of the sample, with a machine trained on the rest.
 
 Null and blank texts score like a document with no suspicious word. Without labels of both kinds the score is 0. Repeated rows get equal
 scores. A label row with a null id or null label is not used; an id with several labels counts as toxic if one of them says so.
@@ -40,7 +40,7 @@ LANDMARKS = 384
 MISSPELT = 300
 ROUNDS = 4
 #: Bytes of text scored at a time.
-BLOCK = 2 << 20
+BLOCK = 1 << 20
 
 
 def _offsets() -> list[tuple[tuple[int, ...], float]]:
@@ -62,6 +62,9 @@ OFFSETS = _offsets()
 def words(texts: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     """The different words of the texts: their codes with edges, each code's word; for all word occurrences the word and the text; the words' hashes."""
     code, ends = codes(texts, True)
+    if len(code) > 2:  # of a letter written more than twice in a row two stay
+        stay = np.r_[True, True, (code[2:] != code[1:-1]) | (code[2:] != code[:-2]) | (code[2:] == 0)]
+        code, ends = code[stay], np.cumsum(stay)[ends - 1]
     edge = np.diff(np.r_[0, (code != 0).astype(np.int8), 0])
     starts, stops = np.flatnonzero(edge == 1), np.flatnonzero(edge == -1)
     if not len(starts):
@@ -156,6 +159,10 @@ def best_words(texts: list[str], table: np.ndarray) -> np.ndarray:
 
 
 NO_WORD = -3.0
+#: Documents of each kind that a held part of the sample needs.
+LEAST_HELD = 100
+#: The score that parts toxic from clean, and the slope of the logistic curve there.
+AT, STEEP = 0.7, 4.0
 
 
 def _rows(code: np.ndarray, own: np.ndarray, use: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -199,10 +206,18 @@ def train_svm(z: np.ndarray, y: np.ndarray, cost: np.ndarray, sweeps: int = 12)
     return w
 
 
+def lift(bad: np.ndarray, good: np.ndarray, n_bad: int, n_good: int, prior: float = 3.0) -> np.ndarray:
+    """Log-odds of toxic documents among those that have something, against all; drawn to 0 where few have it."""
+    share = n_bad / (n_bad + n_good)
+    q = (bad + prior * share) / (bad + good + prior)
+    return np.log(q / (1 - q)) - np.log(share / (1 - share))
+
+
 class Machine:
     """Trained on texts and their labels (1 toxic)."""
 
-    def __init__(self, texts: list[str], toxic: list[int]):
+    def __init__(self, texts: list[str], toxic: list[int], held: float = 1 / 3):
+        """held: share of the sample on which a machine trained on the rest is tried, to set the threshold; 0 to set it on the training sample."""
         self.table = np.zeros(1 << TABLE_BITS)
         self.slope, self.shift, self.able = 1.0, 0.0, False
         y = np.array(toxic)
@@ -222,12 +237,12 @@ class Machine:
         for ok, idx in firm:
             for label, count in ((1, in_bad), (0, in_good)):
                 seen[label] += np.bincount(idx, (count > 0)[own[ok]] * count[own[ok]], 1 << TABLE_BITS)
-        odds = np.log((seen[1] + 0.5) / n_bad) - np.log((seen[0] + 0.5) / n_good)
+        odds = lift(seen[1], seen[0], n_bad, n_good)
         value, parts = np.zeros(n), np.zeros(n)
         for ok, idx in firm:
             value += np.bincount(own[ok], odds[idx], n)
             parts += np.bincount(own[ok], minlength=n)
-        value = value / np.maximum(1, parts) + np.log((in_bad + 0.5) / n_bad) - np.log((in_good + 0.5) / n_good)
+        value = value / np.maximum(1, parts) + lift(in_bad, in_good, n_bad, n_good)
         rng = np.random.default_rng(11)
         marks = root = None
         for _ in range(ROUNDS):
@@ -281,6 +296,16 @@ class Machine:
             value = score_words(code, own, n, self.table)
         best = np.full(len(texts), NO_WORD)
         np.maximum.at(best, pair[:, 0], value[pair[:, 1]])
+        del code, own, pair, value, in_bad, in_good
+        if held and min((y == 1).sum(), (y == 0).sum()) >= LEAST_HELD:
+            out = np.zeros(len(y), bool)
+            for label in (0, 1):
+                rows = rng.permutation(np.flatnonzero(y == label))
+                out[rows[: int(len(rows) * held)]] = True
+            rest = Machine([texts[k] for k in np.flatnonzero(~out)], y[~out].tolist(), held=0)
+            tried = np.flatnonzero(out)
+            best = np.concatenate([best_words([texts[k] for k in tried[at : at + 200]], rest.table) for at in range(0, len(tried), 200)])
+            y = y[out]
         self._calibrate(best, y)
 
     @staticmethod
@@ -294,18 +319,15 @@ class Machine:
         return found[order], n[order].astype(float)
 
     def _calibrate(self, best: np.ndarray, y: np.ndarray) -> None:
-        """Logistic curve through the sample's scores, with the odds of toxic and clean set to 3 to 7."""
-        weight = np.where(y == 1, 0.3 / max(1, (y == 1).sum()), 0.7 / max(1, (y == 0).sum()))
-        x = np.maximum(best, NO_WORD)
-        a, b = 2.0, 0.0
-        for _ in range(60):
-            p = 1 / (1 + np.exp(-(a * x + b)))
-            g, s = weight * (p - np.clip(y, 0.002, 0.998)), weight * p * (1 - p) + 1e-9
-            h = np.array([[(s * x * x).sum() + 1e-4, (s * x).sum()], [(s * x).sum(), s.sum() + 1e-4]])
-            step = np.linalg.solve(h, [(g * x).sum() + 1e-4 * (a - 2), g.sum()])
-            step *= min(1.0, 1.0 / max(1e-9, np.abs(step).max()))
-            a, b = a - step[0], b - step[1]
-        self.slope, self.shift = max(a, 0.1), b
+        """A logistic curve that is AT where the errors are least, a clean document's counting more than a toxic one's."""
+        x = np.sort(np.unique(best))
+        cuts = np.r_[x[0] - 0.1, (x[1:] + x[:-1]) / 2, x[-1] + 0.1]
+        good, bad = np.sort(best[y == 0]), np.sort(best[y == 1])
+        wrong = 0.15 * np.searchsorted(bad, cuts) / max(1, len(bad)) + 0.85 * (1 - np.searchsorted(good, cuts) / max(1, len(good)))
+        least = cuts[wrong <= wrong.min() + 1e-9]
+        cut = (least[0] + least[-1]) / 2
+        self.slope = STEEP
+        self.shift = float(np.log(AT / (1 - AT)) - self.slope * cut)
 
     def scores(self, texts: list[str]) -> np.ndarray:
         if not self.able:
@@ -329,7 +351,7 @@ def train(docs: DataFrame, labels: DataFrame, learn: Column, id_col: str, text_c
     return Machine([r["_text"] for r in rows], [r["_y"] for r in rows])
 
 
-def toxicity(docs: DataFrame, labels: DataFrame, learn: Column, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic", most_toxic: int = 1200, most_clean: int = 1800, most_chars: int = 20_000) -> DataFrame:
+def toxicity(docs: DataFrame, labels: DataFrame, learn: Column, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic", most_toxic: int = 800, most_clean: int = 1200, most_chars: int = 20_000) -> DataFrame:
     """docs with toxicity, the score from 0 to 1. learn: which ids' labels may be learnt from, as a condition on id_col."""
     spark = docs.sparkSession
     prepare(spark)
