@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import tempfile
 from collections.abc import Iterator
 
 import numpy as np
@@ -11,7 +10,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..session import ship
+from ..session import checkpoints, ship
 
 #: Documents of one Arrow batch handed to Python; keeps a worker's memory at some MB however large a partition is.
 BATCH_ROWS = 1000
@@ -22,16 +21,17 @@ BLOCK_BYTES = 4 << 20
 def prepare(spark: SparkSession) -> None:
     """Small Arrow batches; this package for the workers; a checkpoint folder: the cluster's spark.checkpoint.dir, or one of our own where it is unset."""
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(BATCH_ROWS))
-    sc = spark.sparkContext
     ship(spark)
-    if sc._jsc.sc().getCheckpointDir().isDefined():
-        return
-    sc.setCheckpointDir(sc.getConf().get("spark.checkpoint.dir") or tempfile.mkdtemp(prefix="quillstrata-checkpoint-"))
+    checkpoints(spark)
 
 
-def cut(df: DataFrame) -> DataFrame:
-    """Write df to the shared checkpoint folder and go on from there; a lost executor costs a read, not the lineage."""
+def cut(df: DataFrame, few: bool = False) -> DataFrame:
+    """Write df to the shared checkpoint folder and go on from there; a lost executor costs a read, not the lineage.
+
+    few: in at most four files for each core of the cluster, for narrow tables that many small partitions made."""
     prepare(df.sparkSession)
+    if few:
+        df = df.coalesce(4 * df.sparkSession.sparkContext.defaultParallelism)
     return df.checkpoint(eager=True)
 
 
@@ -129,19 +129,19 @@ def components(edges: DataFrame, most_rounds: int = 60) -> DataFrame:
     neighbourhood is ever gathered in one place. Every round is checkpointed; only two numbers come to the driver.
     A node of high degree is the smaller end of its edges after the first round, so only the large-star join can be uneven.
     """
-    star = cut(edges.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).where("a <> b").distinct())
+    star = cut(edges.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).where("a <> b").distinct(), few=True)
     before = _marks(star)
     for _ in range(most_rounds):
         if not before[0]:
             break
         both = star.union(star.select(F.col("b").alias("a"), F.col("a").alias("b")))
         # cut, so that the join has an exchange on either side and Spark can split the rows of a node of high degree
-        least = cut(both.groupBy("a").agg(F.min("b").alias("m")).select("a", F.least("a", "m").alias("m")))
+        least = cut(both.groupBy("a").agg(F.min("b").alias("m")).select("a", F.least("a", "m").alias("m")), few=True)
         large = both.join(least, "a").where("b > a").select(F.col("b").alias("a"), F.col("m").alias("b")).distinct()
         least = large.groupBy("a").agg(F.min("b").alias("m"))
         small = large.join(least, "a")
         small = small.where("b <> m").select(F.col("b").alias("a"), F.col("m").alias("b")).union(least.select("a", F.col("m").alias("b")))
-        star = cut(small.distinct())
+        star = cut(small.distinct(), few=True)
         now = _marks(star)
         if now == before:
             break

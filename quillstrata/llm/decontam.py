@@ -45,13 +45,14 @@ def windows(benchmark: DataFrame, window: int, item_col: str, text_col: str) ->
     return items.groupBy("window").agg(F.collect_set("item").alias("items"))
 
 
-def _frequencies(texts: DataFrame, wins: DataFrame) -> DataFrame:
+def _frequencies(texts: DataFrame, wins: DataFrame) -> DataFrame:  # a row for each word of the windows
     """How often the documents have each word of the windows; words are compared in full lower case, which is a rougher key than A-Z alone."""
     vocabulary = wins.select(F.explode("window").alias("w")).select(F.lower("w").alias("w")).distinct()
     size = vocabulary.agg(F.sum(F.length("w") + 32)).first()[0] or 0
     vocabulary = F.broadcast(vocabulary) if size <= BROADCAST_BYTES else vocabulary
     found = texts.select(F.explode(words_of(F.col("text"))).alias("w")).select(F.lower("w").alias("w"))
-    return found.join(vocabulary, "w", "left_semi").groupBy("w").agg(F.count("*").alias("n"))
+    often = found.join(vocabulary, "w", "left_semi").groupBy("w").agg(F.count("*").alias("n"))
+    return F.broadcast(often) if size <= BROADCAST_BYTES else often
 
 
 def _filed(wins: DataFrame, often: DataFrame) -> DataFrame:
@@ -80,7 +81,7 @@ def contamination(docs: DataFrame, benchmark: DataFrame, window: int = 13, id_co
     prepare(spark)
     texts = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).cast("string").alias("text"))
     wins = windows(benchmark, window, item_col, item_text)
-    filed = cut(_filed(wins, _frequencies(texts, wins)))
+    filed = cut(_filed(wins, _frequencies(texts, wins)), few=True)
     bytes_, = filed.agg(F.sum(F.length("joined") + 64 + 24 * F.size("items"))).first()
     passes = max(1, -(-int(bytes_ or 0) // BROADCAST_BYTES))
     # the word array starts with a blank at place 0; it meets the blank prefix, so that every document gives one row

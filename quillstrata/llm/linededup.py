@@ -100,7 +100,7 @@ def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     numbered = docs.select(F.coalesce(F.col(id_col).cast("long"), F.lit(NO_ID)).alias("id"), F.col(text_col).cast("string").alias("text"))
     suspects = cut(numbered.mapInArrow(lambda it: _suspects(it, min_chars, twice), "id long, key binary"))
     # cut, so that the join below has an exchange on either side and Spark can split a hot line's rows
-    repeated = cut(suspects.groupBy("key").agg(F.min("id").alias("first"), F.max("id").alias("last")).where("first <> last").select("key", "first"))
+    repeated = cut(suspects.groupBy("key").agg(F.min("id").alias("first"), F.max("id").alias("last")).where("first <> last").select("key", "first"), few=True)
     drops = suspects.join(repeated, "key").where("id <> first").groupBy("id").agg(F.collect_set("key").alias("_drop"))
     joined = docs.withColumn("_id", F.coalesce(F.col(id_col).cast("long"), F.lit(NO_ID))).join(drops.withColumnRenamed("id", "_id"), "_id", "left").select(*(docs[c] for c in docs.columns), "_drop")
     schema = T.StructType([*(f if f.name != text_col else T.StructField(text_col, T.StringType()) for f in docs.schema.fields), T.StructField("n_lines", T.LongType()), T.StructField("n_dropped", T.LongType())])
