@@ -135,12 +135,13 @@ def pattern_supplier_of_nation(spark, d):
 
 
 NAMES = "n AS (SELECT DISTINCT p_name AS name, regexp_replace(p_name, '[\\s()]+', '', 'g') AS k FROM part WHERE length(regexp_replace(p_name, '[\\s()]+', '', 'g')) >= 2)"
-QUESTIONS = "q AS (SELECT o_orderkey AS id, 'who makes ' || p_name || ' for ' || o_orderpriority AS question FROM orders JOIN part ON p_partkey = o_orderkey % 50 WHERE o_orderkey < 2000)"
+QUESTIONS = "q AS (SELECT l_orderkey * 10 + l_linenumber AS id, min('who makes ' || p_name || ' for ' || l_returnflag) AS question FROM lineitem JOIN part ON p_partkey = l_partkey GROUP BY 1)"
 
 
 def questions(spark, d):
-    o, p = table(spark, d, "orders"), table(spark, d, "part")
-    return o.where("o_orderkey < 2000").join(p, F.col("p_partkey") == F.col("o_orderkey") % 50).select(F.col("o_orderkey").alias("id"), F.concat(F.lit("who makes "), "p_name", F.lit(" for "), "o_orderpriority").alias("question"))
+    li, p = table(spark, d, "lineitem"), table(spark, d, "part")
+    each = li.join(p, li.l_partkey == p.p_partkey).groupBy((F.col("l_orderkey") * 10 + F.col("l_linenumber")).alias("id"))
+    return each.agg(F.min(F.concat(F.lit("who makes "), "p_name", F.lit(" for "), "l_returnflag")).alias("question"))
 
 
 @query("entity_link", f"WITH {NAMES}, {QUESTIONS} SELECT id, name FROM (SELECT *, row_number() OVER (PARTITION BY id ORDER BY length(name) DESC, name) AS rn FROM q JOIN n ON contains(regexp_replace(question, '[\\s()]+', '', 'g'), k) OR (length(k) >= 4 AND contains(regexp_replace(question, '[\\s()]+', '', 'g'), left(k, 4)))) WHERE rn <= 3")

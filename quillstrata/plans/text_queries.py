@@ -53,7 +53,7 @@ def money_pct_date_parse(spark, d):
 
 def joined(spark, d):
     o, c = table(spark, d, "orders"), table(spark, d, "customer")
-    return o.where("o_orderkey % 5 = 0").join(c, o.o_custkey == c.c_custkey)
+    return o.join(c, o.o_custkey == c.c_custkey)
 
 
 def lines_of(*parts):
@@ -74,7 +74,7 @@ def day():
     return F.date_format("o_orderdate", "yyyy-MM-dd")
 
 
-SOURCE = "FROM orders JOIN customer ON o_custkey = c_custkey WHERE o_orderkey % 5 = 0"
+SOURCE = "FROM orders JOIN customer ON o_custkey = c_custkey"
 FILER = "'Filer ' || CAST(o_orderkey % 7 AS VARCHAR)"
 
 
@@ -146,11 +146,9 @@ def shorten_and_format(spark, d):
     return table(spark, d, "documents").select("doc_id", X.shorten(F.col("text")).alias("body"), X.dashed_date(raw).alias("day"))
 
 
-@query("decode_bytes", "SELECT doc_id, text FROM documents WHERE doc_id % 10 = 3 OR doc_id % 10 = 4")
+@query("decode_bytes", "SELECT doc_id, text FROM documents")
 def decode_bytes(spark, d):
-    """Every tenth row's bytes are valid UTF-8 and every other tenth's come as cp949 where that can say them."""
-    docs = table(spark, d, "documents").where("doc_id % 10 = 3 OR doc_id % 10 = 4")
-    return docs.select("doc_id", X.decode_bytes(F.col("text").cast("binary")).alias("text"))
+    return table(spark, d, "documents").select("doc_id", X.decode_bytes(F.col("text").cast("binary")).alias("text"))
 
 
 @query("store_triples", f"""SELECT o_orderkey AS rcept_no, left(repeat(c_name, 15), 200) AS subject_name, 'SUPPLIES_TO' AS predicate, c_mktsegment AS object_name,
@@ -166,12 +164,12 @@ def store_triples(spark, d):
 
 @query("embed_upsert")
 def embed_upsert(spark, d):
-    """Vectors of the documents that a first run, over every third document, has not stored."""
+    """Vectors of the documents that a first run, over English documents, has not stored."""
     from ..operators.documents import embed_documents
 
-    docs = table(spark, d, "documents").select(F.col("doc_id").alias("rcept_no"), F.col("text").alias("doc_text"))
+    docs = table(spark, d, "documents").select(F.col("doc_id").alias("rcept_no"), F.col("text").alias("doc_text"), "lang")
     none = spark.createDataFrame([], "rcept_no long, chunk_idx int, content string, embedding array<double>")
-    return embed_documents(docs, embed_documents(docs.where("rcept_no % 3 = 0"), none)).select("rcept_no", "chunk_idx", "content", F.size("embedding").alias("dims"))
+    return embed_documents(docs, embed_documents(docs.where("lang = 'en'"), none)).select("rcept_no", "chunk_idx", "content", F.size("embedding").alias("dims"))
 
 
 @query("like_parameter", "SELECT p_partkey, p_type FROM part WHERE p_type LIKE '%AN%' AND p_name IS NOT NULL")
