@@ -44,7 +44,7 @@ def checkpoints(spark: SparkSession) -> None:
     """A checkpoint folder: the cluster's spark.checkpoint.dir, or one of our own where that is unset."""
     sc = spark.sparkContext
     if not sc._jsc.sc().getCheckpointDir().isDefined():
-        sc.setCheckpointDir(sc.getConf().get("spark.checkpoint.dir") or tempfile.mkdtemp(prefix="quillstrata-checkpoint-"))
+        sc.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="quillstrata-checkpoint-"))
 
 
 def ship(spark: SparkSession | None = None) -> None:
