@@ -35,6 +35,14 @@ def cut(df: DataFrame, few: bool = False) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+def fresh(df: DataFrame, name: str) -> str:
+    """A column name that df does not have."""
+    taken = {c.lower() for c in df.columns}
+    while name.lower() in taken:
+        name += "_"
+    return name
+
+
 def scan_parts(spark: SparkSession) -> int:
     """Partitions to deal keyed work to."""
     return int(spark.conf.get("spark.sql.shuffle.partitions"))

@@ -26,7 +26,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import NO_ID, POSITION_BITS, by_segment, cut, hit_twice, prepare, text_bytes
+from .common import NO_ID, POSITION_BITS, by_segment, cut, fresh, hit_twice, prepare, text_bytes
 
 STRIP = b" \t\n\x0b\x0c\r"
 #: Hashes that a partition gathers before it gives away its filter positions.
@@ -101,8 +101,9 @@ def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     suspects = cut(numbered.mapInArrow(lambda it: _suspects(it, min_chars, twice), "id long, key binary"))
     # cut, so that the join below has an exchange on either side and Spark can split a hot line's rows
     repeated = cut(suspects.groupBy("key").agg(F.min("id").alias("first"), F.max("id").alias("last")).where("first <> last").select("key", "first"), few=True)
-    drops = suspects.join(repeated, "key").where("id <> first").groupBy("id").agg(F.collect_set("key").alias("_drop"))
-    joined = docs.withColumn("_id", F.coalesce(F.col(id_col).cast("long"), F.lit(NO_ID))).join(drops.withColumnRenamed("id", "_id"), "_id", "left").select(*(docs[c] for c in docs.columns), "_drop")
+    own, drop = fresh(docs, "_id"), fresh(docs, "_drop")
+    drops = suspects.join(repeated, "key").where("id <> first").groupBy(F.col("id").alias(own)).agg(F.collect_set("key").alias(drop))
+    joined = docs.withColumn(own, F.coalesce(F.col(id_col).cast("long"), F.lit(NO_ID))).join(drops, own, "left").select(*docs.columns, drop)
     schema = T.StructType([*(f if f.name != text_col else T.StructField(text_col, T.StringType()) for f in docs.schema.fields), T.StructField("n_lines", T.LongType()), T.StructField("n_dropped", T.LongType())])
     at = docs.columns.index(text_col)
 

@@ -20,7 +20,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import prepare
+from .common import fresh, prepare
 
 _EDGE, _STOP = r"(?<![A-Za-z0-9])(?<!\d[.\-/])", r"(?![A-Za-z0-9])(?![.\-/]\d)"
 # Formats.
@@ -144,11 +144,12 @@ def pseudonymise(docs: DataFrame, key: str, text_col: str = "text") -> DataFrame
     prepare(docs.sparkSession)
     out = docs.drop("n_pii").withColumn(text_col, F.col(text_col).cast("string"))
     text = F.col(text_col)
-    found = F.regexp_extract_all(text, F.lit(ANY), F.lit(0))
+    found, named = fresh(out, "_found"), fresh(out, "_named")
     # most texts have none and are only searched
-    out = out.withColumn("_found", F.when(text.rlike("[0-9@]"), found).otherwise(F.array().cast("array<string>")))
-    out = out.withColumn("_named", F.expr(f"transform(_found, x -> {_pseudonym(key, 'x')})"))
+    matches = F.regexp_extract_all(text, F.lit(ANY), F.lit(0))
+    out = out.withColumn(found, F.when(text.rlike("[0-9@]"), matches).otherwise(F.array().cast("array<string>")))
+    out = out.withColumn(named, F.expr(f"transform({found}, x -> {_pseudonym(key, 'x')})"))
     gaps = F.split(text, ANY, -1)
-    whole = F.concat_ws("", F.flatten(F.transform(F.arrays_zip(gaps.alias("gap"), F.col("_named").alias("new")), lambda z: F.array(F.coalesce(z["gap"], F.lit("")), F.coalesce(z["new"], F.lit(""))))))
-    changed = F.size(F.filter(F.arrays_zip(F.col("_found").alias("a"), F.col("_named").alias("b")), lambda z: z["a"] != z["b"]))
-    return out.withColumn(text_col, F.when(text.isNull() | (F.size("_found") == 0), text).otherwise(whole)).withColumn("n_pii", F.when(F.col("_found").isNull(), 0).otherwise(changed)).drop("_found", "_named")
+    whole = F.concat_ws("", F.flatten(F.transform(F.arrays_zip(gaps.alias("gap"), F.col(named).alias("new")), lambda z: F.array(F.coalesce(z["gap"], F.lit("")), F.coalesce(z["new"], F.lit(""))))))
+    changed = F.size(F.filter(F.arrays_zip(F.col(found).alias("a"), F.col(named).alias("b")), lambda z: z["a"] != z["b"]))
+    return out.withColumn(text_col, F.when(text.isNull() | (F.size(found) == 0), text).otherwise(whole)).withColumn("n_pii", F.when(F.col(found).isNull(), 0).otherwise(changed)).drop(found, named)

@@ -30,7 +30,7 @@ def docs(spark, sf):
     """Real rows and awkward ones: null and empty texts, a null id, repeated rows, ties, a very long text, clashing extra columns."""
     real = spark.read.parquet(f"{sf}/documents.parquet").select("doc_id", "text", "lang")
     odd = [(9001, None, "en"), (9002, "", None), (None, "a text without an id that repeats here", "en"), (9003, LONG, "en"), (9004, LONG + " x", "en"), (9005, "Same  line of text\nand more", "en"), (9006, "same  LINE of text\n\nand more", "en"), (9007, "ÉÀ ß İ K", "fr"), (9008, "\n \t\n", "de"), (9008, "\n \t\n", "de"), (9009, "12345 67890", "en")]
-    return real.unionByName(spark.createDataFrame(odd, "doc_id long, text string, lang string")).withColumns({c: F.lit("x") for c in ("fp", "row", "id", "n_lines", "toxicity", "words", "key", "seg")}).cache()
+    return real.unionByName(spark.createDataFrame(odd, "doc_id long, text string, lang string")).withColumns({c: F.lit("x") for c in ("fp", "row", "id", "n_lines", "toxicity", "words", "key", "seg", "_id", "_drop", "_found", "place", "lang_pred", "n_pii")}).cache()
 
 
 @pytest.fixture(scope="module")
@@ -396,6 +396,7 @@ def test_feistel_is_a_bijection_and_can_be_undone(spark):
 
 def test_pseudonyms_are_native_and_keep_rows(docs, empty):
     out = pii.pseudonymise(docs, "k1")
+    assert set(out.columns) == set(docs.columns) and out.where("_found <> 'x'").count() == 0
     assert out.count() == docs.count() and pii.pseudonymise(empty, "k1").count() == 0
     assert not re.search("Python|Pandas|Arrow", out._jdf.queryExecution().executedPlan().toString())
 
