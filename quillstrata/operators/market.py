@@ -35,13 +35,13 @@ def period_return(prices: DataFrame, begin, end, code: str = "stock_code", date:
 def head_and_tail(rows: DataFrame, by: str, order: str, each: int = 10, over: int = 250) -> DataFrame:
     """All rows of small groups; of groups with more than `over` rows the first and last `each`. With rank and group size."""
     w = W.partitionBy(by).orderBy(order)
-    out = rows.withColumn("rank", F.row_number().over(w)).withColumn("of", F.count("*").over(W.partitionBy(by)))
+    out = rows.withColumn("rank", F.row_number().over(w).cast("bigint")).withColumn("of", F.count("*").over(W.partitionBy(by)))
     return out.where((F.col("of") <= over) | (F.col("rank") <= each) | (F.col("rank") > F.col("of") - each))
 
 
 def first_of(rows: DataFrame, by: str, order: list[Column], most: int = 30) -> DataFrame:
     """The first `most` rows of each group, with rank and group size."""
-    out = rows.withColumn("rank", F.row_number().over(W.partitionBy(by).orderBy(*order))).withColumn("of", F.count("*").over(W.partitionBy(by)))
+    out = rows.withColumn("rank", F.row_number().over(W.partitionBy(by).orderBy(*order)).cast("bigint")).withColumn("of", F.count("*").over(W.partitionBy(by)))
     return out.where(F.col("rank") <= most)
 
 

@@ -45,7 +45,7 @@ def top_k(vectors: DataFrame, queries: DataFrame, k: int = 5, where: Column | No
     scored = near.select(F.col("_q.query_id").alias("query_id"), "id", "_part", cosine(F.col("_v"), F.col("_q.query")).alias("score"))
     order = [F.desc("score"), F.col("id")]
     best = scored.withColumn("_rn", F.row_number().over(W.partitionBy("query_id", "_part").orderBy(*order))).where(F.col("_rn") <= k)
-    return best.withColumn("rank", F.row_number().over(W.partitionBy("query_id").orderBy(*order))).where(F.col("rank") <= k).select("query_id", "id", "score", "rank")
+    return best.withColumn("rank", F.row_number().over(W.partitionBy("query_id").orderBy(*order)).cast("bigint")).where(F.col("rank") <= k).select("query_id", "id", "score", "rank")
 
 
 def hashing_model(dims: int):
