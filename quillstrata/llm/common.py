@@ -28,7 +28,8 @@ def prepare(spark: SparkSession) -> None:
 def cut(df: DataFrame, few: bool = False) -> DataFrame:
     """Write df to the shared checkpoint folder and go on from there; a lost executor costs a read, not the lineage.
 
-    few: in at most four files for each core of the cluster, for narrow tables that many small partitions made."""
+    few: in at most four files for each core of the cluster, for narrow tables that many small partitions made. Not for
+    what Python made: a task would run the Python of all the partitions that it unites at once, and see one partition number for all."""
     prepare(df.sparkSession)
     if few:
         df = df.coalesce(4 * df.sparkSession.sparkContext.defaultParallelism)

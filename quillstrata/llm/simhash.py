@@ -169,7 +169,7 @@ def links(prints: DataFrame, max_bits: int = 4) -> DataFrame:
 def simhash_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 4, max_bits: int = 4) -> DataFrame:
     """(doc_id, fingerprint: 16 hex digits, component_id, class_size: rows with this very fingerprint) for every row of docs."""
     rows = cut(fingerprints(docs, id_col, text_col, shingle))
-    classes = cut(rows.groupBy("fp").agg(F.min("doc_id").alias("first_id"), F.count("*").alias("class_size")))
+    classes = cut(rows.groupBy("fp").agg(F.min("doc_id").alias("first_id"), F.count("*").alias("class_size")), few=True)
     roots = components(links(classes.select("fp"), max_bits))
     classes = classes.join(roots, classes.fp == roots.node, "left").select("fp", "first_id", "class_size", F.coalesce("root", "fp").alias("root"))
     smallest = classes.groupBy("root").agg(F.min("first_id").alias("component_id"))
