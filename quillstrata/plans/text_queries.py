@@ -18,9 +18,18 @@ def strip_markup(spark, d):
     return table(spark, d, "pages").select("page_id", X.strip_markup(F.col("html")).alias("body"))
 
 
-@query("chunk_text")
+CHUNKS = """WITH RECURSIVE l AS (SELECT doc_id, list_filter(list_transform(string_split(regexp_replace(text, '[ \t]+', ' ', 'g'), chr(10)), lambda x: trim(x)), lambda x: x <> '') AS ls FROM documents),
+    r AS (SELECT doc_id, ls, 1 AS i, []::VARCHAR[] AS held, 0 AS idx, NULL::VARCHAR AS done FROM l
+      UNION ALL SELECT doc_id, ls, i + 1, CASE WHEN over THEN list_append(held[len(held) - k + 1 :], ls[i]) ELSE list_append(held, ls[i]) END, CASE WHEN over THEN idx + 1 ELSE idx END, CASE WHEN over THEN array_to_string(held, chr(10)) END
+      FROM (SELECT *, len(held) > 0 AND length(array_to_string(held, '')) + length(ls[i]) > 800 AS over,
+                   coalesce(list_min(list_filter(range(1, len(held) + 1), lambda j: length(array_to_string(held[len(held) - j + 1 :], '')) >= 100)), len(held)) AS k FROM r WHERE i <= len(ls)))
+    SELECT doc_id, idx - 1 AS chunk_idx, done AS content FROM r WHERE done IS NOT NULL
+    UNION ALL SELECT doc_id, idx, array_to_string(held, chr(10)) FROM r WHERE i = len(ls) + 1 AND len(ls) > 0"""
+
+
+@query("chunk_text", CHUNKS)
 def chunk_text(spark, d):
-    """Every document's chunks; tests hold them against a plain loop."""
+    """Every document's chunks."""
     return table(spark, d, "documents").select("doc_id", F.posexplode(X.chunks(F.col("text"))).alias("chunk_idx", "content"))
 
 
@@ -162,7 +171,7 @@ def store_triples(spark, d):
     return stored_triples(rows).withColumn("note_again", props(F.col("props_json"))["note"])
 
 
-@query("embed_upsert")
+@query("embed_upsert", CHUNKS.replace("SELECT doc_id, idx - 1 AS chunk_idx, done AS content", "SELECT doc_id AS rcept_no, idx - 1 AS chunk_idx, done AS content, 64 AS dims").replace("SELECT doc_id, idx, array_to_string(held, chr(10))", "SELECT doc_id, idx, array_to_string(held, chr(10)), 64"))
 def embed_upsert(spark, d):
     """Vectors of the documents that a first run, over English documents, has not stored."""
     from ..operators.documents import embed_documents
