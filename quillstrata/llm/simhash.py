@@ -175,10 +175,3 @@ def simhash_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     smallest = classes.groupBy("root").agg(F.min("first_id").alias("component_id"))
     classes = classes.join(smallest, "root").select("fp", "component_id", "class_size")
     return rows.join(classes, "fp").select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id", "class_size")
-
-
-def keep_first(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """The rows of docs whose id is their component's smallest; rows without an id stay."""
-    found = simhash_components(docs, id_col, text_col)
-    gone = found.where("doc_id <> component_id").select(F.col("doc_id").alias(id_col)).distinct()
-    return docs.join(gone, id_col, "left_anti")

@@ -15,7 +15,7 @@ from hypothesis import given, settings
 from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
-from quillstrata.llm import common, decontam, exactdedup, langid, linededup, lmscore, packing, pii, queries, simhash, toxicity, urlfilter
+from quillstrata.llm import common, decontam, exactdedup, langid, linededup, lmscore, nearcopies, packing, pii, queries, simhash, toxicity, urlfilter
 
 SPACE = " \t\n\x0b\x0c\r"
 LONG = "lorem ipsum dolor sit amet " * 8000
@@ -104,6 +104,38 @@ def test_simhash_empty(empty):
     assert simhash.simhash_components(empty).count() == 0
 
 
+def test_near_copies_edited_in_many_places(spark, monkeypatch):
+    """Copies at 0.8 to 0.95 link, chains too, across slots; pairs below 0.8 stay; as brute force over sets of words."""
+    monkeypatch.setattr(nearcopies, "SLOT", 8)
+    rng = np.random.default_rng(7)
+    rows = []
+    for g in range(12):
+        base = [f"w{x}" for x in rng.integers(0, 5000, 400)]
+        for k in range(10 if g else 60):
+            w = list(base)
+            for at in rng.choice(400, int(rng.integers(0, 12)), replace=False):
+                w[at] = f"x{rng.integers(0, 10**6)}"
+            rows.append((len(rows), " ".join(w).upper() if k == 3 else " ".join(w)))
+    rows += [(len(rows), ""), (len(rows) + 1, None), (len(rows) + 2, "one two"), (len(rows) + 3, "One  TWO"), (None, "one two"), (None, rows[0][1])]
+    sets = [{tuple(w[k : k + 5]) for k in range(max(1, len(w) - 4))} if (w := low(t).split()) else set() for _, t in rows]
+    root, wide = list(range(len(rows))), 0
+    for a in range(len(rows)):
+        for b in range(a):
+            both, every = len(sets[a] & sets[b]), len(sets[a] | sets[b])
+            if both >= 0.8 * every:
+                wide += 0.8 * every <= both < 0.9 * every
+                lo, hi = sorted((root[a], root[b]))
+                root = [lo if r == hi else r for r in root]
+    assert wide > 50
+    first = {}
+    for (i, _), r in zip(rows, root):
+        if i is not None:
+            first[r] = min(first.get(r, i), i)
+    want = Counter(i for (i, _), r in zip(rows, root) if i is None or first[r] == i)
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    assert Counter(r["doc_id"] for r in nearcopies.keep_first(df).collect()) == want
+
+
 # --- 2 ---
 
 
