@@ -8,7 +8,8 @@ Every other url is judged by its words. Runs of letters of host and path are cut
 negative log probability, and unknown stretches cost a fixed amount and more for each letter. The unigrams are counted from
 the urls themselves and from the seed words. Labels for naive Bayes come from the seed words: a url one of whose
 segmented words is a seed is taken as unwanted, others as wanted; the classifier then learns what else stands in unwanted hosts, smooths, and
-judges every url by its posterior. The labelled sample is bounded (`most_urls` of each kind, chosen by a hash of the url).
+judges every url by its posterior. The labelled sample of words is bounded (`most_urls` of those whose host holds a seed's letters and of the others, chosen
+by a hash of the url), and either kind weighs in it as it does among all different urls; the prior is counted over all of them.
 
 Null or malformed urls are allowed with score 0. Repeated rows get equal verdicts. Columns other than id and url are ignored.
 """
@@ -81,11 +82,13 @@ class Segmenter:
 class Bayes:
     """Multinomial naive Bayes of unwanted (1) against wanted (0) urls."""
 
-    def __init__(self, samples: list[tuple[list[str], int]]):
-        self.n = [sum(1 for _, y in samples if y == k) for k in (0, 1)]
+    def __init__(self, samples: list[tuple[list[str], int, float]], n: tuple[int, int]):
+        """samples: (words, kind, weight); n: how many urls of each kind there are."""
+        self.n = n
         counts = [Counter(), Counter()]
-        for words, y in samples:
-            counts[y].update(words)
+        for words, y, weight in samples:
+            for w in words:
+                counts[y][w] += weight
         vocabulary = counts[0].keys() | counts[1].keys()
         totals = [sum(c.values()) + 0.5 * (len(vocabulary) + 1) for c in counts]
         self.odds = {w: math.log((counts[1][w] + 0.5) / totals[1]) - math.log((counts[0][w] + 0.5) / totals[0]) for w in vocabulary}
@@ -148,9 +151,20 @@ def filter_urls(pages: DataFrame, rules: list[tuple[str, str]], id_col: str = "p
     looks = F.lit(False)
     for s in SEEDS:
         looks = looks | F.col("host").contains(s)
-    for cond in (looks, ~looks):
-        sample += [(w, int(is_seeded(w))) for r in urls.where(cond).orderBy("h", "host", "path").limit(most_urls).collect() for w in [cutter.words(r["host"], r["path"])]]
-    shared = spark.sparkContext.broadcast((cutter, Bayes(sample)))
+    sizes = urls.agg(F.count_if(looks).alias("looks"), F.count_if(~looks).alias("others")).first()
+    shares = [max(1.0, n / max(1, most_urls)) for n in sizes]
+    for cond, share in zip((looks, ~looks), shares):
+        rows_of = urls.where(cond).orderBy("h", "host", "path").limit(most_urls).collect()
+        sample += [(w, int(is_seeded(w)), share / min(shares)) for r in rows_of for w in [cutter.words(r["host"], r["path"])]]
+    cutting = spark.sparkContext.broadcast(cutter)
+
+    def seeded(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            yield pa.RecordBatch.from_arrays([pa.array([sum(is_seeded(cutting.value.words(h, "")) for h in b.column("host").to_pylist())], pa.int64())], ["n"])
+
+    # a segmented word that is a seed is in the host, so none of the others counts
+    unwanted = urls.where(looks).select("host").mapInArrow(seeded, "n long").agg(F.sum("n")).first()[0] or 0
+    shared = spark.sparkContext.broadcast((cutter, Bayes(sample, (sum(sizes) - unwanted, unwanted))))
 
     def judge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         cutter, bayes = shared.value

@@ -478,6 +478,16 @@ def test_urls_empty(spark):
     assert urlfilter.filter_urls(spark.createDataFrame([], "page_id long, url string"), queries.URL_RULES).count() == 0
 
 
+def test_url_scores_do_not_follow_the_sample_size(spark):
+    """With full caps on both kinds the prior is still that of all urls."""
+    seeds = [(k, f"https://casino-{chr(97 + k % 26)}{chr(97 + k // 26)}q.org/x{k}") for k in range(60)]
+    plain = [(100 + k, f"https://garden-{chr(97 + k % 26)}{chr(97 + k // 26 % 26)}{chr(97 + k // 676)}v.org/x{k}") for k in range(3000)]
+    df = spark.createDataFrame([*seeds, *plain, (9999, "https://zzyzx.org/")], "page_id long, url string").cache()
+    whole, capped = ({r["page_id"]: r for r in urlfilter.filter_urls(df, [], most_urls=n).select("page_id", "score", "verdict").collect()} for n in (20_000, 50))
+    assert abs(whole[9999]["score"] - capped[9999]["score"]) < 0.02
+    assert {i: r["verdict"] for i, r in whole.items()} == {i: r["verdict"] for i, r in capped.items()}
+
+
 # --- 10 ---
 
 
