@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import zlib
 from collections.abc import Callable, Iterator
+from functools import reduce
 
 import numpy as np
 import pandas as pd
@@ -14,6 +15,9 @@ from pyspark.sql.types import ArrayType, DoubleType
 
 from ..session import ship
 
+#: Bytes of queries that go to every task at once.
+QUERY_BYTES = 64 << 20
+
 
 def dot(a: Column, b: Column) -> Column:
     return F.aggregate(F.zip_with(a, b, lambda x, y: x.cast("double") * y.cast("double")), F.lit(0.0), lambda s, x: s + x)
@@ -35,11 +39,17 @@ def cosine(a: Column, b: Column) -> Column:
 def top_k(vectors: DataFrame, queries: DataFrame, k: int = 5, where: Column | None = None, id_col: str = "vec_id", vec: str = "embedding") -> DataFrame:
     """(query_id, id, score, rank): the k nearest of each query (query_id, query) by cosine, exactly.
 
-    Queries are few and go to every task (their bytes are checked); each task keeps its own k best of a query before anything is shuffled."""
+    Queries go to every task, beyond QUERY_BYTES in blocks by their id, each against all rows; a task keeps its own k best of a query before anything is shuffled."""
     rows = vectors if where is None else vectors.where(where)
     size = queries.agg(F.sum(F.size("query") * 8 + 32)).first()[0] or 0
-    if size > 64 << 20:
-        raise ValueError("top_k: queries of more than 64 MB; send them in parts")
+    if size <= QUERY_BYTES:
+        return _nearest(rows, queries, k, id_col, vec)
+    blocks = -(-5 * size // (4 * QUERY_BYTES))  # a quarter more, as hashed blocks are uneven
+    block = F.pmod(F.xxhash64("query_id"), F.lit(blocks))
+    return reduce(DataFrame.unionByName, (_nearest(rows, queries.where(block == b), k, id_col, vec) for b in range(blocks)))
+
+
+def _nearest(rows: DataFrame, queries: DataFrame, k: int, id_col: str, vec: str) -> DataFrame:
     q = queries.agg(F.collect_list(F.struct("query_id", "query")).alias("_qs"))
     near = rows.join(F.broadcast(q)).select(F.col(id_col).alias("id"), F.col(vec).alias("_v"), F.spark_partition_id().alias("_part"), F.explode("_qs").alias("_q"))
     scored = near.select(F.col("_q.query_id").alias("query_id"), "id", "_part", cosine(F.col("_v"), F.col("_q.query")).alias("score"))

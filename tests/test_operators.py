@@ -218,3 +218,13 @@ def test_tools(spark, edges):
     with pytest.raises(ValueError, match="after"):
         e.get_price_series("10", "2024-02-02", "2024-01-20")
     assert e.calls.frame(spark).where("status = 'error'").count() == 2
+
+
+def test_top_k_of_many_queries_in_blocks(spark, monkeypatch):
+    from quillstrata.operators import vectors
+
+    rows = spark.range(60).selectExpr("id AS vec_id", "array(sin(id), cos(id), sin(3 * id)) AS embedding")
+    queries = rows.selectExpr("vec_id AS query_id", "embedding AS query")
+    whole = sorted(map(tuple, vectors.top_k(rows, queries, 3).collect()))
+    monkeypatch.setattr(vectors, "QUERY_BYTES", 1000)
+    assert len(whole) == 180 and sorted(map(tuple, vectors.top_k(rows, queries, 3).collect())) == whole
