@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Iterator
 
 import numpy as np
@@ -66,6 +67,25 @@ def blocks(batches: Iterator[pa.RecordBatch], text: str, most: int = BLOCK_BYTES
                 yield batch.slice(a, b - a)
 
 
+#: Bytes of ids that are broadcast; more are brought together with the rows by a shuffle.
+IDS_BYTES = 48 << 20
+
+
+def without(docs: DataFrame, gone: DataFrame, id_col: str) -> DataFrame:
+    """docs without the rows whose id is among gone (one column, id_col). Few ids are broadcast, so that no text moves."""
+    gone = cut(gone)
+    few = gone.agg(F.sum(F.length(F.col(id_col).cast("string")) + 24)).first()[0] or 0
+    return docs.join(F.broadcast(gone) if few <= IDS_BYTES else gone, id_col, "left_anti")
+
+
+def stored(df: DataFrame) -> DataFrame:
+    """df written as Parquet into the shared checkpoint folder, and read from there; unlike a checkpoint it can be read by column. The folder is the cluster's to empty."""
+    prepare(df.sparkSession)
+    path = f"{df.sparkSession.sparkContext._jsc.sc().getCheckpointDir().get()}/table-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
 # --- token hashes without a Python object for each token ---
 
 _RNG = np.random.default_rng(20240229)
@@ -165,24 +185,26 @@ def components(edges: DataFrame, most_rounds: int = 60) -> DataFrame:
 #: log2 of the positions: no such set takes more than 2**POSITION_BITS / 8 bytes (128 MB), whatever the input.
 POSITION_BITS = 30
 SEGMENT_BITS = 22
+SEGMENT_BYTES = 1 << (SEGMENT_BITS - 3)
 
 
 class Positions:
     """Members of 0 ... 2**POSITION_BITS-1, as a sorted array while that is smaller, else as a bitmap; made to be broadcast."""
 
     def __init__(self, segments: list[tuple[int, bytes]]):
-        count = sum(len(x) for _, x in segments) // 4
+        """segments: as by_segment or as_bytes give them."""
         self.sorted = self.bitmap = None
-        if count * 32 < 1 << POSITION_BITS:
+        if sum(len(x) for _, x in segments) * 8 < 1 << POSITION_BITS and not any(len(x) == SEGMENT_BYTES for _, x in segments):
             parts = [np.frombuffer(x, "<u4") + np.uint32(s << SEGMENT_BITS) for s, x in sorted(segments)]
             self.sorted = np.concatenate(parts) if parts else np.zeros(0, np.uint32)
         else:
             self.bitmap = np.zeros(1 << (POSITION_BITS - 3), np.uint8)
             for s, x in segments:
-                bits = np.zeros(1 << SEGMENT_BITS, np.uint8)
-                bits[np.frombuffer(x, "<u4")] = 1
-                at = s << (SEGMENT_BITS - 3)
-                self.bitmap[at : at + (1 << (SEGMENT_BITS - 3))] = np.packbits(bits, bitorder="little")
+                if len(x) != SEGMENT_BYTES:
+                    bits = np.zeros(1 << SEGMENT_BITS, np.uint8)
+                    bits[np.frombuffer(x, "<u4")] = 1
+                    x = np.packbits(bits, bitorder="little").tobytes()
+                self.bitmap[s * SEGMENT_BYTES : (s + 1) * SEGMENT_BYTES] = np.frombuffer(x, np.uint8)
 
     def has(self, pos: np.ndarray) -> np.ndarray:
         pos = pos.astype(np.uint32)
@@ -203,18 +225,24 @@ def by_segment(pos: np.ndarray) -> Iterator[tuple[int, bytes]]:
         yield int(part[0]) >> SEGMENT_BITS, (part & ((1 << SEGMENT_BITS) - 1)).astype("<u4").tobytes()
 
 
+def as_bytes(members: np.ndarray) -> bytes:
+    """A segment's members (booleans) as their 32-bit places, or as a bitmap of SEGMENT_BYTES if that isn't longer."""
+    places = np.flatnonzero(members)
+    return places.astype("<u4").tobytes() if 4 * len(places) < SEGMENT_BYTES else np.packbits(members, bitorder="little").tobytes()
+
+
 def hit_twice(parts: DataFrame) -> Positions:
     """parts (seg int, once binary, twice binary) to the positions that some row has twice or that two rows have once.
 
-    Each segment's two bitmaps, once-seen and twice-seen, live in one task (1 MB); only the twice-seen places, which
-    POSITION_BITS bounds, come to the driver.
+    Each segment's two bitmaps, once-seen and twice-seen, live in one task (8 MB unpacked); of the twice-seen places at most
+    2**POSITION_BITS / 8 bytes (128 MB) come to the driver, as a task gives a dense segment as a bitmap.
     """
 
     def merge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         at, one, two = None, None, None
 
         def out():
-            return pa.RecordBatch.from_arrays([pa.array([at], pa.int32()), pa.array([np.flatnonzero(two).astype("<u4").tobytes()], pa.binary())], ["seg", "places"])
+            return pa.RecordBatch.from_arrays([pa.array([at], pa.int32()), pa.array([as_bytes(two)], pa.binary())], ["seg", "places"])
 
         for b in batches:
             for seg, once, twice in zip(*(c.to_pylist() for c in b.columns)):

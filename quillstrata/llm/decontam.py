@@ -19,7 +19,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import cut, prepare
+from .common import cut, prepare, without
 
 #: Everything but the words, in a text whose A-Z are not yet lower-cased.
 _GAP = r"[\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+"
@@ -87,6 +87,8 @@ def contamination(docs: DataFrame, benchmark: DataFrame, window: int = 13, id_co
     # the word array starts with a blank at place 0; it meets the blank prefix, so that every document gives one row
     blank = spark.range(1).select(F.lit("").alias("prefix"), F.lit(0).alias("at"), F.lit("").alias("second"), F.lit(0).alias("second_at"), F.lit(0).alias("len"), F.lit("").alias("joined"), F.lit(None).cast("array<string>").alias("items"))
     rows = texts.select(F.monotonically_increasing_id().alias("row"), "doc_id", F.array_prepend(words_of(F.col("text")), "").alias("words"))
+    if passes > 1:  # numbered once, as the passes are put together by these numbers
+        rows = cut(texts.select(F.monotonically_increasing_id().alias("row"), "doc_id", "text")).select("row", "doc_id", F.array_prepend(words_of(F.col("text")), "").alias("words"))
     hits = []
     for k in range(passes):
         part = filed.where(F.pmod(F.xxhash64("prefix"), F.lit(passes)) == k) if passes > 1 else filed
@@ -111,4 +113,4 @@ def contamination(docs: DataFrame, benchmark: DataFrame, window: int = 13, id_co
 def keep_clean(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """The rows of docs that are not contaminated; rows without an id stay."""
     bad = contamination(docs, benchmark, id_col=id_col, text_col=text_col).where("contaminated").select(F.col("doc_id").alias(id_col)).distinct()
-    return docs.join(bad, id_col, "left_anti")
+    return without(docs, bad, id_col)

@@ -12,7 +12,7 @@ are combined before the shuffle, so a line that a third of all documents hold is
 return to their documents by id.
 
 Null or empty text is one empty line. A null id comes after all ids; rows with one id count as one document. Input columns other than
-id and text are kept; columns named n_lines or n_dropped are replaced.
+id and text are kept; columns named as out_cols are replaced.
 """
 
 from __future__ import annotations
@@ -90,11 +90,11 @@ def _kept(text: bytes, drop: set[bytes]) -> tuple[bytes, int, int]:
     return b"\n".join(stay), len(lines), len(lines) - len(stay)
 
 
-def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", min_chars: int = 10) -> DataFrame:
-    """docs with repeated lines taken out of the text, and n_lines (before) and n_dropped."""
+def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", min_chars: int = 10, out_cols: tuple[str, str] = ("n_lines", "n_dropped")) -> DataFrame:
+    """docs with repeated lines taken out of the text, and, named out_cols, the number of lines before and of lines dropped."""
     spark = docs.sparkSession
     prepare(spark)
-    docs = docs.drop(*(c for c in ("n_lines", "n_dropped") if c in docs.columns))
+    docs = docs.drop(*(c for c in out_cols if c in docs.columns))
     text = docs.select(F.col(text_col).cast("string").alias("text"))
     twice = spark.sparkContext.broadcast(hit_twice(text.mapInArrow(lambda it: _seen(it, min_chars), "seg int, once binary, twice binary")))
     numbered = docs.select(F.coalesce(F.col(id_col).cast("long"), F.lit(NO_ID)).alias("id"), F.col(text_col).cast("string").alias("text"))
@@ -102,9 +102,10 @@ def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     # cut, so that the join below has an exchange on either side and Spark can split a hot line's rows
     repeated = cut(suspects.groupBy("key").agg(F.min("id").alias("first"), F.max("id").alias("last")).where("first <> last").select("key", "first"), few=True)
     own, drop = fresh(docs, "_id"), fresh(docs, "_drop")
-    drops = suspects.join(repeated, "key").where("id <> first").groupBy(F.col("id").alias(own)).agg(F.collect_set("key").alias(drop))
+    # cut for the same reason: rows without an id share one
+    drops = cut(suspects.join(repeated, "key").where("id <> first").groupBy(F.col("id").alias(own)).agg(F.collect_set("key").alias(drop)), few=True)
     joined = docs.withColumn(own, F.coalesce(F.col(id_col).cast("long"), F.lit(NO_ID))).join(drops, own, "left").select(*docs.columns, drop)
-    schema = T.StructType([*(f if f.name != text_col else T.StructField(text_col, T.StringType()) for f in docs.schema.fields), T.StructField("n_lines", T.LongType()), T.StructField("n_dropped", T.LongType())])
+    schema = T.StructType([*(f if f.name != text_col else T.StructField(text_col, T.StringType()) for f in docs.schema.fields), *(T.StructField(c, T.LongType()) for c in out_cols)])
     at = docs.columns.index(text_col)
 
     def apply(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

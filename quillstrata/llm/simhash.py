@@ -172,6 +172,7 @@ def simhash_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     classes = cut(rows.groupBy("fp").agg(F.min("doc_id").alias("first_id"), F.count("*").alias("class_size")), few=True)
     roots = components(links(classes.select("fp"), max_bits))
     classes = classes.join(roots, classes.fp == roots.node, "left").select("fp", "first_id", "class_size", F.coalesce("root", "fp").alias("root"))
-    smallest = classes.groupBy("root").agg(F.min("first_id").alias("component_id"))
+    # cut, so that the join has an exchange on either side and Spark can split a giant component
+    smallest = cut(classes.groupBy("root").agg(F.min("first_id").alias("component_id")), few=True)
     classes = classes.join(smallest, "root").select("fp", "component_id", "class_size")
     return rows.join(classes, "fp").select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id", "class_size")

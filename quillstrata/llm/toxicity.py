@@ -353,19 +353,19 @@ def train(docs: DataFrame, labels: DataFrame, learn: Column, id_col: str, text_c
     return Machine([r["_text"] for r in rows], [r["_y"] for r in rows])
 
 
-def toxicity(docs: DataFrame, labels: DataFrame, learn: Column, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic", most_toxic: int = 800, most_clean: int = 1200, most_chars: int = 20_000) -> DataFrame:
-    """docs with toxicity, the score from 0 to 1. learn: which ids' labels may be learnt from, as a condition on id_col."""
+def toxicity(docs: DataFrame, labels: DataFrame, learn: Column, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic", most_toxic: int = 800, most_clean: int = 1200, most_chars: int = 20_000, out_col: str = "toxicity") -> DataFrame:
+    """docs with out_col, the score from 0 to 1; a column of that name is replaced. learn: which ids' labels may be learnt from, as a condition on id_col."""
     spark = docs.sparkSession
     prepare(spark)
     shared = spark.sparkContext.broadcast(train(docs, labels, learn, id_col, text_col, label_col, most_toxic, most_clean, most_chars))
-    docs = docs.drop("toxicity")
+    docs = docs.drop(out_col)
     at = docs.columns.index(text_col)
 
     def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in blocks(batches, text_col, BLOCK):
             found = shared.value.scores(pc.fill_null(b.column(at).cast(pa.string()), "").to_pylist())
-            yield pa.RecordBatch.from_arrays([*b.columns, pa.array(found, pa.float64())], [*b.schema.names, "toxicity"])
+            yield pa.RecordBatch.from_arrays([*b.columns, pa.array(found, pa.float64())], [*b.schema.names, out_col])
 
     from pyspark.sql.types import DoubleType, StructField, StructType
 
-    return docs.mapInArrow(score, StructType([*docs.schema.fields, StructField("toxicity", DoubleType())]))
+    return docs.mapInArrow(score, StructType([*docs.schema.fields, StructField(out_col, DoubleType())]))
