@@ -1,18 +1,23 @@
 r"""Format-preserving pseudonyms for personal data, in DataFrame functions alone.
 
 Validated numbers and dates are replaced by a keyed permutation of their own format: a Feistel network over two
-mixed-radix halves, whose rounds add SHA-256 of (key, kind, round, other half). Equal values get equal pseudonyms in all documents, different
-values different ones, and the key's owner can undo them. Kinds, in the order in which they are looked for:
+mixed-radix halves (or, for names and long numbers, two halves of a string, sign by sign), whose rounds add SHA-256 of (key, kind, round, other half). Equal values get
+equal pseudonyms in all documents, different values different ones, and the key's owner can undo them. Kinds, in the order in which they are looked for:
 
 - card: 13 to 19 digits, single or in groups, with a right Luhn digit. All but the last digit are permuted, the last is made right again.
 - iban: two letters, two digits, 11 to 30 letters or digits, with the right remainder of 97. Digits of the account are permuted; the check digits are made right.
 - ssn: ddd-dd-dddd with an area other than 000, 666 and 9xx, group and serial not zero; permuted among such numbers.
-- date: yyyy-mm-dd, yyyy/mm/dd, dd.mm.yyyy or dd/mm/yyyy, a real day from year 1400 on. Permuted within its 400 years, which always have 146,097 = 189 * 773 days.
-- phone: +c (ddd) ddd-dddd or (ddd) ddd-dddd or +c ddd ddd dddd, also with dots or hyphens; area and exchange begin with 2 to 9. Area, exchange and line are permuted among such numbers; the country code stays.
-- ipv4: four octets up to 255; permuted among all addresses.
-- email: letters and digits of the part before the sign, permuted in base 36; the other signs and the domain stay.
+- date: yyyy-mm-dd, yyyy/mm/dd, dd.mm.yyyy or dd/mm/yyyy, or mm/dd/yyyy where the second number is no month; a real day from year 1400 on. Permuted within its
+  400 years, which always have 146,097 = 189 * 773 days. A day has one pseudonym in all orders; it is written in the order of the value.
+- phone: (ddd) ddd-dddd or ddd ddd dddd, also with dots or hyphens, with or without +c before; or + and 8 to 15 digits in groups. The country code (after a plus: one
+  digit for 1 and 7, else two) stays, the other digits are permuted, so a number is linked to itself however it is grouped.
+- ipv4: four octets up to 255; permuted among all addresses. ipv6: eight groups, or fewer around ::, not at either end; permuted, and written in eight groups of four digits.
+- email: letters and digits of the part before the sign, permuted among letters of both cases and digits; the other signs and the domain stay. Spellings that differ in
+  case are different values.
 
-What does not validate stays as it is. Separators stay where they are. Null text gives null. Repeated rows get equal results; other columns stay.
+The key is written into the query's plan; whoever may read plans and event logs may read it.
+
+What does not validate stays as it is, as do phone numbers in groups without a plus that aren't 3-3-4. Separators stay where they are. Null text gives null. Repeated rows get equal results; other columns stay.
 """
 
 from __future__ import annotations
@@ -29,12 +34,15 @@ FORMATS = {
     "iban": r"(?:[A-Z]{2}\d{2}[A-Z0-9]{11,30}|[A-Z]{2}\d{2}(?: [A-Z0-9]{4}){2,7}(?: [A-Z0-9]{1,3})?)",
     "ssn": r"\d{3}-\d{2}-\d{4}",
     "date": r"(?:\d{4}-\d{2}-\d{2}|\d{4}/\d{2}/\d{2}|\d{2}\.\d{2}\.\d{4}|\d{2}/\d{2}/\d{4})",
-    "phone": r"(?:\+\d{1,3}[ .-]?)?(?:\([2-9]\d{2}\) ?|[2-9]\d{2}[ .-])[2-9]\d{2}[ .-]\d{4}",
+    "phone": r"(?:(?:\+\d{1,3}[ .-]?)?(?:\(\d{3}\) ?|\d{3}[ .-])\d{3}[ .-]\d{4}|\+\d{1,3}(?:[ .-]?\(?\d{1,5}\)?){2,6})",
     "ipv4": r"\d{1,3}\.\d{1,3}\.\d{1,3}\.\d{1,3}",
+    "ipv6": r"(?<!:)(?:(?:[0-9A-Fa-f]{1,4}:){7}[0-9A-Fa-f]{1,4}|(?:[0-9A-Fa-f]{1,4}:){1,6}(?::[0-9A-Fa-f]{1,4}){1,6})(?!:)",
 }
 EMAIL = r"(?<![A-Za-z0-9._%+-])[A-Za-z0-9][A-Za-z0-9._%+-]{0,63}+@[A-Za-z0-9-]{1,63}(?:\.[A-Za-z0-9-]{1,63}){1,8}"
 ANY = "(?:" + EMAIL + "|" + _EDGE + "(?:" + "|".join(FORMATS.values()) + ")" + _STOP + ")"
 ROUNDS = 8
+DIGITS = "0123456789"
+HEX, NAME = DIGITS + "abcdef", DIGITS + "ABCDEFGHIJKLMNOPQRSTUVWXYZ" + "abcdefghijklmnopqrstuvwxyz"
 
 
 def feistel(key: str, kind: str, a: str, b: str, m: str, n: str, undo: bool = False) -> str:
@@ -48,6 +56,22 @@ def feistel(key: str, kind: str, a: str, b: str, m: str, n: str, undo: bool = Fa
     )
 
 
+def string_feistel(key: str, kind: str, d: str, signs: str, undo: bool = False) -> str:
+    """SQL: a string of up to 64 of the signs, permuted among those of its length."""
+    sign = "-" if undo else "+"
+    order = f"sequence({ROUNDS - 1}, 0, -1)" if undo else f"sequence(0, {ROUNDS - 1})"
+
+    def moved(t: str, other: str) -> str:
+        h = f"sha2(concat('{key}|{kind}|', i, '|', length({t}), '|', {other}), 256)"
+        one = f"substr('{signs}', pmod(instr('{signs}', substr({t}, j, 1)) - 1 {sign} cast(conv(substr(h, 2 * j - 1, 2), 16, 10) as int), {len(signs)}) + 1, 1)"
+        spread = f"array_join(transform(sequence(1, length({t})), j -> {one}), '')"
+        return f"if(length({t}) = 0, '', {_let(h, 'h', spread)})"
+
+    half = f"cast(length({d}) div 2 as int)"
+    step = f"if(i % 2 = 0, named_struct('a', {moved('s.a', 's.b')}, 'b', s.b), named_struct('a', s.a, 'b', {moved('s.b', 's.a')}))"
+    return _let(f"aggregate({order}, named_struct('a', substr({d}, 1, {half}), 'b', substr({d}, {half} + 1)), (s, i) -> {step})", "w", "concat(w.a, w.b)")
+
+
 def _power(n: str, base: int = 10) -> str:
     return f"cast(pow({base}, {n}) as bigint)"
 
@@ -106,33 +130,31 @@ def _pseudonym(key: str, x: str) -> str:
     built = "concat(lpad(cast(p.a div 99 + if(p.a div 99 >= 665, 2, 1) as string), 3, '0'), '-', lpad(cast(p.a % 99 + 1 as string), 2, '0'), '-', lpad(cast(p.b + 1 as string), 4, '0'))"
     ssn = _let(digits, "d", f"if({valid}, {_let(s, 'p', built)}, {x})")
     # date
-    day = f"coalesce(try_to_date({x}, 'yyyy-MM-dd'), try_to_date({x}, 'yyyy/MM/dd'), try_to_date({x}, 'dd.MM.yyyy'), try_to_date({x}, 'dd/MM/yyyy'))"
+    day = f"coalesce(try_to_date({x}, 'yyyy-MM-dd'), try_to_date({x}, 'yyyy/MM/dd'), try_to_date({x}, 'dd.MM.yyyy'), try_to_date({x}, 'dd/MM/yyyy'), try_to_date({x}, 'MM/dd/yyyy'))"
     n = "datediff(t, date'1800-01-01')"
     s = feistel(key, "date", f"pmod({n}, 146097) div 773", f"pmod({n}, 146097) % 773", "189", "773")
     moved = f"date_add(date'1800-01-01', cast(floor({n} / 146097) * 146097 + p.a * 773 + p.b as int))"
-    shape = f"case when {x} rlike '^[0-9]{{4}}-' then 'yyyy-MM-dd' when {x} rlike '^[0-9]{{4}}/' then 'yyyy/MM/dd' when {x} rlike '[.]' then 'dd.MM.yyyy' else 'dd/MM/yyyy' end"
-    shown = f"case {shape} when 'yyyy-MM-dd' then date_format(y, 'yyyy-MM-dd') when 'yyyy/MM/dd' then date_format(y, 'yyyy/MM/dd') when 'dd.MM.yyyy' then date_format(y, 'dd.MM.yyyy') else date_format(y, 'dd/MM/yyyy') end"
+    shape = f"case when {x} rlike '^[0-9]{{4}}-' then 'yyyy-MM-dd' when {x} rlike '^[0-9]{{4}}/' then 'yyyy/MM/dd' when {x} rlike '[.]' then 'dd.MM.yyyy' when try_to_date({x}, 'dd/MM/yyyy') is null then 'MM/dd/yyyy' else 'dd/MM/yyyy' end"
+    shown = f"case {shape} when 'yyyy-MM-dd' then date_format(y, 'yyyy-MM-dd') when 'yyyy/MM/dd' then date_format(y, 'yyyy/MM/dd') when 'dd.MM.yyyy' then date_format(y, 'dd.MM.yyyy') when 'MM/dd/yyyy' then date_format(y, 'MM/dd/yyyy') else date_format(y, 'dd/MM/yyyy') end"
     date = _let(day, "t", f"if(t is not null and t >= date'1400-01-01' and t < date'9800-01-01', {_let(_let(s, 'p', moved), 'y', shown)}, {x})")
-    # phone: the last ten digits; area and exchange 200-999
-    ten = "substr(d, length(d) - 9)"
-    s = feistel(key, "phone", f"((cast(substr({ten}, 1, 3) as bigint) - 200) * 800 + cast(substr({ten}, 4, 3) as bigint) - 200)", f"cast(substr({ten}, 7) as bigint)", "640000", "10000")
-    built = "concat(substr(d, 1, length(d) - 10), cast(p.a div 800 + 200 as string), cast(p.a % 800 + 200 as string), lpad(cast(p.b as string), 4, '0'))"
-    phone = _let(digits, "d", _let(s, "p", _refill(x, built, "[0-9]")))
+    # phone
+    code = f"if(not contains({x}, '+'), 0, if(substr(d, 1, 1) in ('1', '7'), 1, 2))"
+    phone = _let(digits, "d", _let(code, "n", f"if(length(d) between if(n = 0, 10, 8) and 15, {_let(_permuted_digits(key, 'phone', 'substr(d, n + 1)'), 'q', _refill(x, 'concat(substr(d, 1, n), q)', '[0-9]'))}, {x})"))
     # ipv4
     octet = lambda k: f"cast(split({x}, '[.]')[{k}] as bigint)"
     s = feistel(key, "ipv4", f"{octet(0)} * 256 + {octet(1)}", f"{octet(2)} * 256 + {octet(3)}", "65536", "65536")
     ipv4 = f"if({' and '.join(f'{octet(k)} <= 255' for k in range(4))}, {_let(s, 'p', 'concat_ws(chr(46), p.a div 256, p.a % 256, p.b div 256, p.b % 256)')}, {x})"
-    # email: letters and digits of the local part in base 36, up to nine in each half
-    local = f"regexp_replace(lower(substring_index({x}, '@', 1)), '[^a-z0-9]', '')"
-    number = lambda t: f"cast(conv({t}, 36, 10) as bigint)"
-    text = lambda v, w: f"lpad(lower(conv(cast({v} as string), 10, 36)), {w}, '0')"
-    half, rest = "cast(length(d) div 2 as int)", "(length(d) - cast(length(d) div 2 as int))"
-    s = feistel(key, "email", f"if({half} = 0, 0L, {number(f'substr(d, 1, greatest(1, {half}))')})", number(f"substr(d, {half} + 1)"), _power(half, 36), _power(rest, 36))
-    one = f"if(length(d) <= 22, {_let(s, 'p', f'''concat(if({half} = 0, '', {text('p.a', half)}), {text('p.b', rest)})''')}, substr(sha2(concat('{key}|email|', d), 256), 1, length(d)))"
-    email = _let(local, "d", _let(one, "q", f"concat({_refill(f'''substring_index({x}, '@', 1)''', 'q', '[A-Za-z0-9]')}, substr({x}, instr({x}, '@')))"))
+    # ipv6: the groups on both sides of ::, filled up with zeros
+    left, right = f"split(substring_index(lower({x}), '::', 1), ':')", f"if(contains({x}, '::'), split(substring_index(lower({x}), '::', -1), ':'), cast(array() as array<string>))"
+    groups = _let(f"named_struct('l', {left}, 'r', {right})", "g", "concat(g.l, array_repeat('0', 8 - size(g.l) - size(g.r)), g.r)")
+    spread = _let("array_join(transform(g, y -> lpad(y, 4, '0')), '')", "d", _let(string_feistel(key, "ipv6", "d", HEX), "q", "array_join(transform(sequence(0, 7), k -> substr(q, 4 * k + 1, 4)), ':')"))
+    ipv6 = _let(groups, "g", f"if(size(g) = 8, {spread}, {x})")
+    # email: letters and digits of the local part
+    local, before = f"regexp_replace(substring_index({x}, '@', 1), '[^A-Za-z0-9]', '')", f"substring_index({x}, '@', 1)"
+    email = _let(local, "d", _let(string_feistel(key, "email", "d", NAME), "q", f"concat({_refill(before, 'q', '[A-Za-z0-9]')}, substr({x}, instr({x}, '@')))"))
     full = lambda k: f"{x} rlike '^{FORMATS[k]}$'".replace("\\", "\\\\")
     return (
-        f"case when contains({x}, '@') then {email} when {full('ssn')} then {ssn} when {full('date')} then {date} when {full('ipv4')} then {ipv4} when {full('phone')} then {phone} "
+        f"case when contains({x}, '@') then {email} when {full('ipv6')} then {ipv6} when {full('ssn')} then {ssn} when {full('date')} then {date} when {full('ipv4')} then {ipv4} when {full('phone')} then {phone} "
         f"when {full('card')} then {card} when {full('iban')} then {iban} else {x} end"
     )
 
@@ -147,7 +169,7 @@ def pseudonymise(docs: DataFrame, key: str, text_col: str = "text") -> DataFrame
     found, named = fresh(out, "_found"), fresh(out, "_named")
     # most texts have none and are only searched
     matches = F.regexp_extract_all(text, F.lit(ANY), F.lit(0))
-    out = out.withColumn(found, F.when(text.rlike("[0-9@]"), matches).otherwise(F.array().cast("array<string>")))
+    out = out.withColumn(found, F.when(text.rlike("[0-9@]|::"), matches).otherwise(F.array().cast("array<string>")))
     out = out.withColumn(named, F.expr(f"transform({found}, x -> {_pseudonym(key, 'x')})"))
     gaps = F.split(text, ANY, -1)
     whole = F.concat_ws("", F.flatten(F.transform(F.arrays_zip(gaps.alias("gap"), F.col(named).alias("new")), lambda z: F.array(F.coalesce(z["gap"], F.lit("")), F.coalesce(z["new"], F.lit(""))))))

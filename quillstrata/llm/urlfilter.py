@@ -4,28 +4,28 @@ Host: after the first `://` up to `/`, `?`, `#` or the end, with A-Z lower-cased
 `://`, has neither. A rule (verdict, host, path prefix) fits its host and all its subdomains if the path starts with its prefix; of fitting rules the
 longest text wins, of equally long ones the first in the list.
 
-Every other url is judged by its words. Runs of letters of host and path are cut by a unigram Viterbi: a word costs its
-negative log probability, and unknown stretches cost a fixed amount and more for each letter. The unigrams are counted from
-the urls themselves and from the seed words. Labels for naive Bayes come from the seed words: a url one of whose
-segmented words is a seed is taken as unwanted, others as wanted; the classifier then learns what else stands in unwanted hosts, smooths, and
-judges every url by its posterior. The labelled sample of words is bounded (`most_urls` of those whose host holds a seed's letters and of the others, chosen
-by a hash of the url), and either kind weighs in it as it does among all different urls; the prior is counted over all of them.
-
-Null or malformed urls are allowed with score 0. Repeated rows get equal verdicts. Columns other than id and url are ignored.
+Every other url is judged by its words. Runs of letters of host (without the last label) and path are cut by a unigram Viterbi: a word costs its
+negative log probability, and unknown stretches cost a fixed amount and more for each letter. The unigrams are the words of the pages' own text
+(`html_col` without its tags), all of them, and the seed words, which get a small count where the text lacks them. A run meets
+only the words that it contains, by a join of its pieces of up to LONGEST letters with the counted words, so there is no dictionary to broadcast.
+
+No url comes labelled. A url is taken as unwanted if one of its host's words is a seed; seeds of less than LEAST_INSIDE letters count only where they stand
+alone between other signs. From all different urls the classifier learns what else stands in unwanted hosts and paths; counts, odds and sums are aggregations over
+words, without a sample. A url is blocked from a posterior of `block_from` on.
+
+Null or malformed urls are allowed with score 0; so are all where no url is unwanted. Repeated rows get equal verdicts. Columns other than id, url and html are ignored.
 """
 
 from __future__ import annotations
 
 import math
-import re
-from collections import Counter
 from collections.abc import Iterator
 
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import prepare
+from .common import cut, prepare
 
 # Words of unwanted hosts.
 SEEDS = (
@@ -35,77 +35,60 @@ SEEDS = (
 ).split()
 #: Words that seeds stand with; they only help to cut names.
 PLAIN = "blog buy cash cheap click deal deals fast free game games get best home live luck mail money news now offer online page play shop site store top web world www".split()
-LONGEST = 24
+#: Letters of the longest word, and of the shortest seed that counts within a longer run.
+LONGEST, LEAST_INSIDE = 24, 4
 #: Cost of an unknown stretch, and of each of its letters.
 UNKNOWN_COST, LETTER_COST = 12.0, 2.2
-#: Different words that are counted as unigrams, the most frequent.
-MOST_WORDS = 50_000
-_RUN = re.compile(r"[^\W\d_]+")
-
-
-class Segmenter:
-    """Unigram Viterbi."""
-
-    def __init__(self, counts: dict[str, int]):
-        total = sum(counts.values()) or 1
-        self.cost = {w: -math.log(n / total) for w, n in counts.items() if n > 0}
-        self.longest = min(LONGEST, max(map(len, self.cost), default=1))
-        self.known: dict[str, list[str]] = {}
-
-    def cut(self, run: str) -> list[str]:
-        if (got := self.known.get(run)) is not None:
-            return got
-        n = len(run)
-        best = [0.0, *[math.inf] * n]
-        back = [0] * (n + 1)
-        for end in range(1, n + 1):
-            for start in range(max(0, end - self.longest), end):
-                c = best[start] + self.cost.get(run[start:end], UNKNOWN_COST + LETTER_COST * (end - start))
-                if c < best[end]:
-                    best[end], back[end] = c, start
-        words, end = [], n
-        while end:
-            words.append(run[back[end] : end])
-            end = back[end]
-        if len(self.known) < 200_000:
-            self.known[run] = words[::-1]
-        return words[::-1]
-
-    def words(self, host: str, path: str) -> list[str]:
-        """Host words (without www and the last label) and path words, marked by where they stand."""
-        labels = host.split(".")
-        labels = labels[:-1] if len(labels) > 1 else labels
-        found = ["h:" + w for label in labels for run in _RUN.findall(label) for w in self.cut(run)]
-        return found + ["p:" + w for run in _RUN.findall(path.lower()) for w in self.cut(run)]
-
-
-class Bayes:
-    """Multinomial naive Bayes of unwanted (1) against wanted (0) urls."""
-
-    def __init__(self, samples: list[tuple[list[str], int, float]], n: tuple[int, int]):
-        """samples: (words, kind, weight); n: how many urls of each kind there are."""
-        self.n = n
-        counts = [Counter(), Counter()]
-        for words, y, weight in samples:
-            for w in words:
-                counts[y][w] += weight
-        vocabulary = counts[0].keys() | counts[1].keys()
-        totals = [sum(c.values()) + 0.5 * (len(vocabulary) + 1) for c in counts]
-        self.odds = {w: math.log((counts[1][w] + 0.5) / totals[1]) - math.log((counts[0][w] + 0.5) / totals[0]) for w in vocabulary}
-        self.prior = math.log((self.n[1] + 0.5) / (self.n[0] + 0.5))
-
-    def score(self, words: list[str]) -> float:
-        if not self.n[1]:
-            return 0.0
-        x = self.prior + sum(self.odds.get(w, 0.0) for w in words)
-        return 1 / (1 + math.exp(-max(-500.0, min(500.0, x))))
-
-
-def is_seeded(words: list[str]) -> bool:
-    return any(w[:2] == "h:" and w[2:] in _SEED_SET for w in words)
-
-
-_SEED_SET = set(SEEDS)
+#: Of so many words one is a seed, for each seed that the text lacks.
+SEED_SHARE = 20_000
+
+
+def viterbi(run: str, cost: dict[str, float]) -> list[str]:
+    """The cheapest way to cut a run into known words and unknown stretches; of equally cheap ones the one whose last piece is longest, then the one before it.
+
+    An unknown stretch is grown letter by letter, so the work is in proportion to LONGEST times the run's length."""
+    n = len(run)
+    best, back = [0.0, *[math.inf] * n], [0] * (n + 1)
+    open_, since = math.inf, 0  # the cheapest unknown stretch that may go on
+    for end in range(1, n + 1):
+        if best[end - 1] + UNKNOWN_COST < open_:
+            open_, since = best[end - 1] + UNKNOWN_COST, end - 1
+        open_ += LETTER_COST
+        best[end], back[end] = open_, since
+        for start in range(max(0, end - LONGEST), end):
+            c = cost.get(run[start:end])
+            if c is not None and best[start] + c < best[end]:
+                best[end], back[end] = best[start] + c, start
+    words, end = [], n
+    while end:
+        words.append(run[back[end] : end])
+        end = back[end]
+    return words[::-1]
+
+
+def unigrams(pages: DataFrame, html_col: str) -> DataFrame:
+    """(w, cost) of the words of at least two letters in the pages' text, and of the seeds."""
+    text = F.lower(F.regexp_replace(F.col(html_col).cast("string"), r"(?s)<(script|style)\b.*?</\1>|<[^>]*>", " "))
+    found = pages.select(F.explode(F.regexp_extract_all(text, F.lit(r"\p{L}+"), F.lit(0))).alias("w")).where(F.length("w").between(2, LONGEST))
+    counts = cut(found.groupBy("w").agg(F.count("*").alias("n")))
+    total = (counts.agg(F.sum("n")).first()[0] or 0) + SEED_SHARE
+    own = pages.sparkSession.createDataFrame([(w, total // SEED_SHARE) for w in (*SEEDS, *PLAIN)], "w string, n long")
+    return counts.unionByName(own).groupBy("w").agg(F.max("n").alias("n")).select("w", (-F.log(F.col("n") / total)).alias("cost"))
+
+
+def segmented(runs: DataFrame, words: DataFrame) -> DataFrame:
+    """Different runs (run) to (run, words); words: (w, cost)."""
+    at = F.sequence(F.lit(1), F.length("run") - 1)
+    pieces = F.flatten(F.transform(at, lambda k: F.transform(F.sequence(F.lit(2), F.least(F.lit(LONGEST), F.length("run") - k + 1)), lambda m: F.substring("run", k, m))))
+    known = runs.where(F.length("run") > 1).select("run", F.explode(F.array_distinct(pieces)).alias("w")).join(words, "w")
+    known = known.groupBy("run").agg(F.collect_list(F.struct("w", "cost")).alias("known"))
+
+    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            found = [viterbi(run, {x["w"]: x["cost"] for x in have or ()}) for run, have in zip(*(c.to_pylist() for c in b.columns))]
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(found, pa.list_(pa.string()))], ["run", "words"])
+
+    return cut(runs.join(known, "run", "left").select("run", "known").mapInArrow(work, "run string, words array<string>"))
 
 
 def parts(url) -> tuple:
@@ -128,53 +111,40 @@ def ruled(host, path, rules: list[tuple[str, str]]):
     return text, verdict
 
 
-def filter_urls(pages: DataFrame, rules: list[tuple[str, str]], id_col: str = "page_id", url_col: str = "url", most_urls: int = 20_000, block_from: float = 0.5) -> DataFrame:
-    """(page_id, host, path, rule, verdict, score, words) for every row; rules: (verdict, 'host/path prefix')."""
-    spark = pages.sparkSession
-    prepare(spark)
-    rows = pages.select(F.col(id_col).alias("page_id"), F.col(url_col).cast("string").alias("url"))
-    host, path = parts(F.col("url"))
-    rows = rows.select("page_id", host.alias("host"), path.alias("path"))
-    # unigrams: runs of letters of all urls, counted before the shuffle, the most frequent ones kept
-    runs = rows.select(F.explode(F.regexp_extract_all(F.lower(F.concat_ws("/", "host", "path")), F.lit(r"\p{L}+"), F.lit(0))).alias("w")).where(F.length("w") <= LONGEST)
-    counts = {r["w"]: r["n"] for r in runs.groupBy("w").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "w").limit(MOST_WORDS).collect()}
-    total = sum(counts.values())
-    for w in (*SEEDS, *PLAIN):
-        counts[w] = max(counts.get(w, 0), total // 2000 + 1)
-    cutter = Segmenter({w: n for w, n in counts.items() if len(w) > 1})
-    # names that hold known words shall be cut, so they're no words themselves
-    for w in [w for w in counts if len(w) >= 6 and w not in _SEED_SET and any(s in w for s in SEEDS if len(s) >= 3)]:
-        cutter.cost.pop(w, None)
-    cutter.known.clear()
-    sample = []
-    urls = rows.select("host", "path").distinct().withColumn("h", F.xxhash64("host", "path"))
-    looks = F.lit(False)
-    for s in SEEDS:
-        looks = looks | F.col("host").contains(s)
-    sizes = urls.agg(F.count_if(looks).alias("looks"), F.count_if(~looks).alias("others")).first()
-    shares = [max(1.0, n / max(1, most_urls)) for n in sizes]
-    for cond, share in zip((looks, ~looks), shares):
-        rows_of = urls.where(cond).orderBy("h", "host", "path").limit(most_urls).collect()
-        sample += [(w, int(is_seeded(w)), share / min(shares)) for r in rows_of for w in [cutter.words(r["host"], r["path"])]]
-    cutting = spark.sparkContext.broadcast(cutter)
-
-    def seeded(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            yield pa.RecordBatch.from_arrays([pa.array([sum(is_seeded(cutting.value.words(h, "")) for h in b.column("host").to_pylist())], pa.int64())], ["n"])
-
-    # a segmented word that is a seed is in the host, so none of the others counts
-    unwanted = urls.where(looks).select("host").mapInArrow(seeded, "n long").agg(F.sum("n")).first()[0] or 0
-    shared = spark.sparkContext.broadcast((cutter, Bayes(sample, (sum(sizes) - unwanted, unwanted))))
+def runs_of(host: Column, path: Column) -> Column:
+    """The runs of letters of a url, in order: (side: h or p, run)."""
+    labels = F.split(host, r"\.")
+    labels = F.when(F.size(labels) > 1, F.slice(labels, F.lit(1), F.greatest(F.size(labels) - 1, F.lit(1)))).otherwise(labels)
+    side = lambda text, s: F.transform(F.regexp_extract_all(text, F.lit(r"\p{L}+"), F.lit(0)), lambda r: F.struct(F.lit(s).alias("side"), r.alias("run")))
+    return F.concat(side(F.array_join(labels, "."), "h"), side(F.lower(path), "p"))
 
-    def judge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        cutter, bayes = shared.value
-        for b in batches:
-            words = [cutter.words(h, p) for h, p in zip(b.column("host").to_pylist(), b.column("path").to_pylist())]
-            scores = [bayes.score(w) if h else 0.0 for w, h in zip(words, b.column("host").to_pylist())]
-            yield pa.RecordBatch.from_arrays([*b.columns, pa.array(words, pa.list_(pa.string())), pa.array(scores, pa.float64())], [*b.schema.names, "words", "score"])
 
-    kind = dict(rows.dtypes)["page_id"]
-    judged = rows.mapInArrow(judge, f"page_id {kind}, host string, path string, words array<string>, score double")
+def filter_urls(pages: DataFrame, rules: list[tuple[str, str]], id_col: str = "page_id", url_col: str = "url", html_col: str = "html", block_from: float = 0.5) -> DataFrame:
+    """(page_id, host, path, rule, verdict, score, words) for every row; rules: (verdict, 'host/path prefix')."""
+    prepare(pages.sparkSession)
+    host, path = parts(F.col(url_col).cast("string"))
+    rows = pages.select(F.col(id_col).alias("page_id"), host.alias("host"), path.alias("path"))
+    urls = cut(rows.where("host <> ''").select("host", "path").distinct().withColumn("u", F.monotonically_increasing_id()))
+    each = urls.select("u", F.posexplode(runs_of(F.col("host"), F.col("path"))).alias("at", "r")).select("u", "at", "r.*")
+    cuts = segmented(each.select("run").distinct(), unigrams(pages, html_col))
+    each = each.join(cuts, "run")
+    seed = F.array(*map(F.lit, SEEDS))
+    seeded = (F.col("side") == "h") & F.exists("words", lambda w: F.array_contains(seed, w) & ((F.length(w) >= LEAST_INSIDE) | (F.length(w) == F.length("run"))))
+    marked = F.transform("words", lambda w: F.concat(F.col("side"), F.lit(":"), w))
+    found = cut(each.groupBy("u").agg(F.flatten(F.transform(F.array_sort(F.collect_list(F.struct("at", marked.alias("words")))), lambda x: x["words"])).alias("words"), F.max(seeded).cast("int").alias("y")))
+    n = urls.agg(F.count("*")).first()[0]
+    bad = found.agg(F.sum("y")).first()[0] or 0
+    terms = found.select("u", "y", F.explode("words").alias("w"))
+    counts = cut(terms.groupBy("w").agg(F.sum(1 - F.col("y")).alias("c0"), F.sum("y").alias("c1")), few=True)
+    t = counts.agg(F.count("*").alias("v"), F.sum("c0").alias("c0"), F.sum("c1").alias("c1")).first()
+    totals = [(t[c] or 0) + 0.5 * (t["v"] + 1) for c in ("c0", "c1")]
+    odds = counts.select("w", (F.log((F.col("c1") + 0.5) / totals[1]) - F.log((F.col("c0") + 0.5) / totals[0])).alias("odds"))
+    prior = math.log((bad + 0.5) / (n - bad + 0.5))
+    sums = terms.join(odds, "w").groupBy("u").agg(F.sum("odds").alias("odds"))
+    posterior = 1 / (1 + F.exp(-F.greatest(F.lit(-500.0), F.least(F.lit(500.0), F.coalesce("odds", F.lit(0.0)) + prior)))) if bad else F.lit(0.0)
+    judged = cut(urls.join(found.select("u", "words"), "u", "left").join(sums, "u", "left").select("host", "path", posterior.alias("score"), "words"))
     rule, verdict = ruled(F.col("host"), F.col("path"), rules)
-    own = F.when(F.col("score") >= block_from, "block").otherwise("allow")
-    return judged.select("page_id", "host", "path", rule.alias("rule"), F.coalesce(verdict, own).alias("verdict"), "score", "words")
+    score = F.coalesce("score", F.lit(0.0))
+    own = F.when(score >= block_from, "block").otherwise("allow")
+    out = rows.join(judged, ["host", "path"], "left")
+    return out.select("page_id", "host", "path", rule.alias("rule"), F.coalesce(verdict, own).alias("verdict"), score.alias("score"), F.coalesce("words", F.array().cast("array<string>")).alias("words"))
