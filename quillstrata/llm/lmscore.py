@@ -17,7 +17,7 @@ is summed over the text; a count is the middle of its level. The weight a(v) dep
 expectation-maximisation on all training texts, leaving each occurrence itself out (a count less one): what an occurrence adds depends on its
 three levels only, so one scan counts the occurrences of each combination (LEVELS**3 at most) and the rounds run on these numbers.
 
-base_score needs exact counts. The HEAD most frequent tokens' counts are broadcast as two sorted arrays (32 MB at most);
+base_score needs exact counts. The HEAD most frequent tokens' counts are broadcast as two sorted arrays (16 MB at most);
 rarer tokens, of which each has a small count, go to their segment's owner to be looked up, in bulk.
 
 Null and empty texts have the end token alone. Repeated rows count and are scored as often as they are there. Rows whose train
@@ -39,17 +39,17 @@ from .common import END, blocks, cut, mix64, prepare, scan_parts, text_bytes, to
 LOG_BASE = 1.5
 LEVELS = 88
 #: Bits of a slice for each insertion, and how many of them an insertion sets, all in one word of 64.
-BITS_EACH, HASHES = 12, 4
+BITS_EACH, HASHES = 10, 4
 #: Bytes of the filter that are broadcast at a time.
 MOST_BYTES = 192 << 20
 #: Tokens whose exact counts are broadcast.
-HEAD = 2_000_000
+HEAD = 1_000_000
 #: Tokens that a task gathers before it counts them.
 GATHER = 1_500_000
 #: Bytes of text hashed at a time.
 BLOCK = 1 << 20
-#: Least weight of pairs; the filter takes about one in a hundred occurrences for one more often seen than it is, and no weight shall rest on these.
-LEAST_WEIGHT = 0.02
+#: Least weight of pairs; the filter takes about one in fifty for more often seen than it is, and no weight shall rest on these.
+LEAST_WEIGHT = 0.03
 START = np.uint64(0x51ED270B9F7C3A15)
 #: Low bytes kept of a token's and of a pair's hash, besides the segment.
 BYTES = (7, 5)
@@ -122,16 +122,19 @@ def fill(h: np.ndarray, level: np.ndarray) -> bytes:
 class Filter:
     """Slices by segment; a segment without a slice has no members."""
 
-    def __init__(self, bits: int, slices: list[tuple[int, bytes]]):
+    def __init__(self, bits: int, sizes: dict[int, int]):
+        """sizes: bytes of the slices to come, by segment."""
         self.bits = bits
         self.words, self.start = np.zeros(1 << bits, np.uint64), np.zeros(1 << bits, np.uint64)
-        self.data = np.zeros(sum(len(x) for _, x in slices) // 8, "<u8")
         at = 0
-        for seg, x in slices:
-            n = len(x) // 8
-            self.words[seg], self.start[seg] = n, at
-            self.data[at : at + n] = np.frombuffer(x, "<u8")
-            at += n
+        for seg, size in sizes.items():
+            self.words[seg], self.start[seg] = size // 8, at
+            at += size // 8
+        self.data = np.zeros(at, "<u8")
+
+    def put(self, seg: int, x: bytes) -> None:
+        at = int(self.start[seg])
+        self.data[at : at + len(x) // 8] = np.frombuffer(x, "<u8")
 
     def level(self, h: np.ndarray) -> np.ndarray:
         """Probes levels 1, 2, ... until one is absent."""
@@ -241,29 +244,25 @@ class Counts:
         self.head_n = np.concatenate([np.frombuffer(r["n"], "<i8") for r in rows]) if rows else np.zeros(0, np.int64)
         self.filters: list[Filter] = []
 
-    def passes(self, counts: DataFrame, most_bytes: int) -> list[tuple[tuple[int, int], tuple[int, int]]]:
-        """Ranges of (kind, segment), each with at most most_bytes of slices, or one slice; the whole filter is in them."""
-        sizes = sorted(tuple(r) for r in counts.select("kind", "seg", F.length("slice")).collect())  # 2 ** (bits + 1) rows at most
-        out, held = [], 0
-        for kind, seg, size in sizes:
-            if not out or held + size > most_bytes:
-                out.append(((kind, seg), (kind, seg)))
+    def passes(self, counts: DataFrame, most_bytes: int) -> list[list[tuple[int, int, int]]]:
+        """(kind, segment, bytes of its slice) in runs, each of at most most_bytes, or of one slice; the whole filter is in them."""
+        out, held = [[]], 0
+        for row in sorted(tuple(r) for r in counts.select("kind", "seg", F.length("slice")).collect()):  # 2 ** (bits + 1) rows at most
+            if out[-1] and held + row[2] > most_bytes:
+                out.append([])
                 held = 0
-            out[-1] = (out[-1][0], (kind, seg))
-            held += size
-        return out or [((0, 0), (0, 0))]
-
-    def load(self, counts: DataFrame, first: tuple[int, int], last: tuple[int, int]) -> Counts:
-        """Takes the slices of a range; they come one part after another, so that the driver holds them once."""
-        at = F.struct("kind", "seg")
-        lit = lambda x: F.struct(F.lit(x[0]).alias("kind"), F.lit(x[1]).alias("seg"))
-        slices: tuple[list, list] = ([], [])
-        self.filters = []
-        for r in counts.where((at >= lit(first)) & (at <= lit(last))).select("kind", "seg", "slice").coalesce(16).toLocalIterator(prefetchPartitions=True):
-            slices[r["kind"]].append((r["seg"], bytes(r["slice"])))
-        for own in slices:
-            self.filters.append(Filter(self.bits, own))
-            own.clear()
+            out[-1].append(row)
+            held += row[2]
+        return out
+
+    def load(self, counts: DataFrame, run: list[tuple[int, int, int]]) -> Counts:
+        """Takes the slices of a run; they come one part after another, so that the driver holds them once."""
+        self.filters = [Filter(self.bits, {s: n for k, s, n in run if k == kind}) for kind in (0, 1)]
+        if run:
+            at = F.struct("kind", "seg")
+            first, last = (F.struct(F.lit(x[0]).alias("kind"), F.lit(x[1]).alias("seg")) for x in (run[0], run[-1]))
+            for r in counts.where((at >= first) & (at <= last)).select("kind", "seg", "slice").coalesce(16).toLocalIterator():
+                self.filters[r["kind"]].put(r["seg"], r["slice"])
         return self
 
     def head_count(self, h: np.ndarray) -> np.ndarray:
@@ -419,11 +418,11 @@ def score_corpus(docs: DataFrame, train: Column, id_col: str = "doc_id", text_co
     counts = counted(rows.where("not held_out").select("text"), bits)
     model = Counts(counts, bits)
     n, v = model.n, model.v
-    ranges = model.passes(counts, most_bytes)
-    for k, (first, last) in enumerate(ranges):
-        shared = spark.sparkContext.broadcast(model.load(counts, first, last))
+    runs = model.passes(counts, most_bytes)
+    for k, run in enumerate(runs):
+        shared = spark.sparkContext.broadcast(model.load(counts, run))
         model.filters = []
-        closing = k == len(ranges) - 1
+        closing = k == len(runs) - 1
         rows = cut(rows.mapInArrow(lambda it, s=shared, f=_found if closing else _probed: f(it, s), _FOUND if closing else _PROBED))
         shared.unpersist()
     found = rows.where("seg IS NULL").select("row", "id", "held_out", "n_tokens", "n_known", "logs", "tokens", "pairs")
