@@ -7,8 +7,9 @@ log-odds of all its trigrams, in units of the bit's spread on the sample. Decodi
 well its classifier does on the sample, and takes the language of least loss. The score is the share of exp(-SHARP * loss); documents whose two best languages'
 losses are near are marked ambiguous.
 
-Training takes at most `most_rows` rows of each of the `most_langs` most frequent languages, of at most `most_chars` code points, chosen by a hash of id and text. Predictions
-read whole texts. The prediction is `und`, with score 0, where the text is null or has no letter. With one language all others get score 1; with
+Training takes at most `most_rows` rows of each language and about `most_sample` of all (but 20 of each at least), of at most `most_chars` code points, chosen by a hash of id
+and text; every learned language can be predicted. Predictions read whole texts. Letters outside a-z share 34 codes, so languages whose scripts have many letters are told
+apart by these codes' trigrams only. The prediction is `und`, with score 0, where the text is null or has no letter. With one language all others get score 1; with
 none every prediction is `und`. Repeated rows get equal predictions.
 """
 
@@ -119,12 +120,13 @@ class Codes:
         return [self.langs[k] for k in best], near[np.arange(len(texts)), best] / near.sum(1), order[:, 1] - order[:, 0] < AMBIGUOUS
 
 
-def train(docs: DataFrame, learn: Column, id_col: str, text_col: str, lang_col: str, most_rows: int, most_chars: int, most_langs: int) -> Codes:
+def train(docs: DataFrame, learn: Column, id_col: str, text_col: str, lang_col: str, most_rows: int, most_chars: int, most_sample: int) -> Codes:
     """Two scans, however many languages there are: their counts, then the rows whose hash is below a bound that lets through about twice most_rows of each language, of which the first most_rows count."""
     known = docs.where(learn & F.col(lang_col).isNotNull() & (F.length(text_col) <= most_chars)).select(F.col(text_col).cast("string").alias("text"), F.col(lang_col).cast("string").alias("lang"), F.xxhash64(id_col, text_col).alias("h"))
-    counts = known.groupBy("lang").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "lang").limit(most_langs).collect()
+    counts = known.groupBy("lang").agg(F.count("*").alias("n")).orderBy("lang").collect()  # a row for each language
     if not counts:
         return Codes([], [])
+    most_rows = min(most_rows, max(20, most_sample // len(counts)))
     bounds = [(r["lang"], int(-(2**63) + min(1.0, 2 * most_rows / r["n"]) * (2**64 - 1025))) for r in counts]
     few = docs.sparkSession.createDataFrame(bounds, "lang string, bound long")
     rows = known.join(F.broadcast(few), "lang").where("h <= bound").select("lang", "h", "text")
@@ -135,12 +137,12 @@ def train(docs: DataFrame, learn: Column, id_col: str, text_col: str, lang_col:
     return Codes(texts, [lang for lang in sorted(by) for _ in by[lang][:most_rows]])
 
 
-def identify(docs: DataFrame, learn: Column, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", most_rows: int = 1000, most_chars: int = 20_000, most_langs: int = 200) -> DataFrame:
+def identify(docs: DataFrame, learn: Column, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", most_rows: int = 1000, most_chars: int = 20_000, most_sample: int = 20_000) -> DataFrame:
     """docs with lang_pred, lang_score and lang_ambiguous; columns of these names are replaced. learn: the rows whose language may be learnt from."""
     spark = docs.sparkSession
     prepare(spark)
     docs = docs.drop("lang_pred", "lang_score", "lang_ambiguous")
-    shared = spark.sparkContext.broadcast(train(docs, learn, id_col, text_col, lang_col, most_rows, most_chars, most_langs))
+    shared = spark.sparkContext.broadcast(train(docs, learn, id_col, text_col, lang_col, most_rows, most_chars, most_sample))
     at = docs.columns.index(text_col)
 
     def predict(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
