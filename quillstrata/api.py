@@ -12,6 +12,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .functions.text import code6, dashed_date, price_line, shorten
+from .operators import evals as E
 from .operators import graph as G
 from .operators import market as M
 from .operators import vectors as V
@@ -77,9 +78,10 @@ class Engine:
     @counted
     def find_connection(self, a: str, b: str) -> DataFrame:
         """Paths of at most two hops that hold both; without one, who deals with both."""
-        found = G.with_both(G.search(self.edges, self._linked(a), 2), a, b).select("text", "rcept_no")
+        evidence = G.search(self.edges, self._linked(f"{a} {b}"), 2)
+        found = G.with_both(evidence, a, b).select("text", "rcept_no")
         if found.isEmpty():
-            return G.shared_partners(self.edges, a, b).select(F.concat(F.lit("both deal with "), "name").alias("text"), F.lit(None).cast("string").alias("rcept_no"))
+            return G.shared_partners(evidence, a, b).select(F.concat(F.lit("both deal with "), "name").alias("text"), F.lit(None).cast("string").alias("rcept_no"))
         return found
 
     @counted
@@ -111,6 +113,17 @@ class Engine:
             "filings": M.first_of(listed, "stock_code", [F.col("rcept_dt"), F.col("rcept_no")], MOST_FILINGS).withColumn("day", dashed_date(F.col("rcept_dt"))),
         }
 
+    def evaluate(self, questions: DataFrame, k: int = 5) -> DataFrame:
+        """(type, mode, hit_at_k, recall, n) of questions (id, type, question, gold) by vectors, by the graph, and by both."""
+        names = self.edges.select(F.explode(F.array("src", "dst")).alias("name")).distinct()
+        seeds = G.link(questions.select("id", "question"), names).select("id", "name")
+        graph = G.search_each(self.edges, seeds, "id").select("id", "pos", "text")
+        vector = V.encoder_of(self.encode)
+        asked = questions.select(F.col("id").alias("query_id"), vector(F.col("question")).alias("query"))
+        near = V.top_k(self.chunks, asked, k, id_col="chunk_id")
+        found = near.join(self.chunks.select(F.col("chunk_id").alias("id"), "content"), "id").select(F.col("query_id").alias("id"), F.col("rank").alias("pos"), F.col("content").alias("text"))
+        return E.summarise(E.score_modes(questions.select("id", "type", "gold"), {"vector": found, "graph": graph}, "id"), ["type", "mode"])
+
     @counted
     def graph_overview(self) -> DataFrame:
         names = self.universe.select(F.col("corp_name").alias("name")) if self.universe is not None else self.spark.createDataFrame([], "name string")

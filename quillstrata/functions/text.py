@@ -121,12 +121,11 @@ LEGAL_AFTER = [
     "주식회사", "㈜", r"\(주\)", r"\(유\)", "유한회사", "Incorporated", r"Inc\.?", "Corporation", r"Corp\.?", r"Co\.?,?\s*Ltd\.?", "Limited", r"Ltd\.?", "LLC", r"L\.L\.C\.?",
     "GmbH", r"S\.A\.S", r"S\.A\.", r"B\.V\.", r"N\.V\.", r"Pte\.?\s*Ltd\.?", r"Zrt\.?",
 ]
-#: Layers of legal forms that a name may carry.
-LAYERS = 8
-
 
 def canonical_name(raw: Column) -> Column:
-    """A company's name without its legal forms and its Latin reading in brackets; the name itself if nothing would be left."""
+    """A company's name without its legal forms and its Latin reading in brackets, peeled until nothing more comes off; the name itself if nothing would be left.
+
+    Every layer takes a character at least, so there are no more layers than characters; once one takes nothing, the rest are skipped."""
     base = squeeze(F.coalesce(raw, F.lit("")))
 
     def peel(name: Column) -> Column:
@@ -140,7 +139,7 @@ def canonical_name(raw: Column) -> Column:
 
     def peeled(b: Column) -> Column:
         start = F.struct(b.alias("name"), (b == "").alias("stop"))
-        return F.aggregate(F.sequence(F.lit(1), F.lit(LAYERS)), start, layer, lambda s: F.when(s["name"] == "", b).otherwise(s["name"]))
+        return F.aggregate(F.sequence(F.lit(1), F.greatest(F.lit(1), F.length(b))), start, layer, lambda s: F.when(s["name"] == "", b).otherwise(s["name"]))
 
     return let(base, peeled)
 
@@ -262,15 +261,17 @@ FRAGMENT = r"(?iu)^\s*(Ltd|Inc|lnc|LLC|Corp|Co|GmbH|Pte|Zrt|S\.?A|B\.?V|N\.?V)\b
 
 
 def split_companies(raw: Column) -> Column:
-    """Names in a list: cut at commas outside brackets; a piece that is a mere legal form belongs to the name before it."""
-
-    def char(s: Column, c: Column) -> Column:
-        depth = F.when(c.isin("(", "["), s["depth"] + 1).when(c.isin(")", "]"), F.greatest(F.lit(0), s["depth"] - 1)).otherwise(s["depth"])
-        cut = (c == ",") & (depth == 0)
-        return F.struct(F.when(cut, F.array_append(s["parts"], s["open"])).otherwise(s["parts"]).alias("parts"), F.when(cut, "").otherwise(F.concat(s["open"], c)).alias("open"), depth.alias("depth"))
+    """Names in a list: cut at commas outside brackets; a piece that is a mere legal form belongs to the name before it.
 
+    The text is cut at all commas, and a piece is put to the one before it while that one has open brackets."""
     empty = F.array().cast("array<string>")
-    pieces = F.aggregate(F.split(F.coalesce(raw, F.lit("")), ""), F.struct(empty.alias("parts"), F.lit("").alias("open"), F.lit(0).alias("depth")), char, lambda s: F.array_append(s["parts"], s["open"]))
+    zero = F.struct(empty.alias("parts"), F.lit(0).alias("depth"))
+    # what is left of a piece's brackets: closing ones that nothing in the piece opened, then opening ones
+    sign = lambda n, c: F.when(c.isin("(", "["), n + 1).when(c.isin(")", "]"), F.greatest(F.lit(0), n - 1)).otherwise(n)
+    after = lambda depth, piece: F.aggregate(F.regexp_extract_all(piece, F.lit(r"[()\[\]]"), F.lit(0)), depth, sign)
+    joined = lambda parts, x: F.array_append(F.slice(parts, 1, F.size(parts) - 1), F.concat(F.element_at(parts, -1), F.lit(","), x))
+    step = lambda s, x: F.struct(F.when(s["depth"] > 0, joined(s["parts"], x)).otherwise(F.array_append(s["parts"], x)).alias("parts"), after(s["depth"], x).alias("depth"))
+    pieces = F.aggregate(F.split(F.coalesce(raw, F.lit("")), ","), zero, step, lambda s: s["parts"])
 
     def glue(names: Column, x: Column) -> Column:
         joined = F.array_append(F.slice(names, 1, F.size(names) - 1), F.concat(F.element_at(names, -1), F.lit(", "), strip(x)))
@@ -298,6 +299,11 @@ def shorten(text: Column, most: int = 400) -> Column:
     return F.substring(squeeze(text), 1, most)
 
 
+def zip_strict(a: Column, b: Column, names: tuple[str, str]) -> Column:
+    """Pairs of two arrays; arrays of different sizes are an error."""
+    return F.when(F.size(a) == F.size(b), F.arrays_zip(a.alias(names[0]), b.alias(names[1]))).when(a.isNotNull() & b.isNotNull(), F.raise_error(F.concat(F.lit("arrays of "), F.size(a), F.lit(" and "), F.size(b), F.lit(" values"))))
+
+
 def dashed_date(yyyymmdd: Column) -> Column:
     return F.concat_ws("-", F.substring(yyyymmdd, 1, 4), F.substring(yyyymmdd, 5, 2), F.substring(yyyymmdd, 7, 2))
 

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 from ..functions.text import match_key
 
-# Upper bounds of histogram buckets.
+# Upper bounds of histogram buckets, of seconds and of numbers of results.
 LATENCY_BUCKETS = [0.01, 0.05, 0.1, 0.25, 0.5, 1.0, 2.5, 5.0, 10.0]
 RESULT_BUCKETS = [0.0, 1.0, 3.0, 5.0, 10.0, 25.0, 50.0, 100.0]
 
@@ -27,11 +27,23 @@ def score_questions(questions: DataFrame, evidence: DataFrame, by: list[str]) ->
     return out.withColumn("hit", (F.size("matched") > 0).cast("int")).withColumn("recall", recall).drop("_text", "_hay")
 
 
-def summarise(scored: DataFrame, by: str = "type") -> DataFrame:
-    """Mean hit, mean recall and number of questions, by type and over all (type 'all')."""
-    each = scored.groupBy(by).agg(F.avg("hit").alias("hit_at_k"), F.avg("recall").alias("recall"), F.count("*").alias("n"))
-    whole = scored.agg(F.avg("hit").alias("hit_at_k"), F.avg("recall").alias("recall"), F.count("*").alias("n")).where("n > 0").withColumn(by, F.lit("all"))
-    return each.unionByName(whole)
+def score_modes(questions: DataFrame, evidence: dict[str, DataFrame], by: str) -> DataFrame:
+    """score_questions for each way of searching, as rows with its name in mode; besides those given (by, pos, text), 'hybrid' takes graph evidence, then vector evidence."""
+    ways = evidence | ({"hybrid": evidence["graph"].unionByName(evidence["vector"].withColumn("pos", F.col("pos") + (1 << 30)))} if {"graph", "vector"} <= evidence.keys() else {})
+    rows = [e.select(by, F.lit(mode).alias("mode"), F.col("pos").cast("long").alias("pos"), "text") for mode, e in ways.items()]
+    every = rows[0]
+    for more in rows[1:]:
+        every = every.unionByName(more)
+    asked = questions.withColumn("mode", F.explode(F.array(*map(F.lit, ways))))
+    return score_questions(asked, every, [by, "mode"])
+
+
+def summarise(scored: DataFrame, by: str | list[str] = "type") -> DataFrame:
+    """Mean hit, mean recall and number of questions, by type (and what else is in by) and over all types (type 'all')."""
+    by = [by] if isinstance(by, str) else by
+    figures = (F.avg("hit").alias("hit_at_k"), F.avg("recall").alias("recall"), F.count("*").alias("n"))
+    whole = scored.withColumn(by[0], F.lit("all")).groupBy(*by).agg(*figures)
+    return scored.groupBy(*by).agg(*figures).unionByName(whole)
 
 
 def histogram(rows: DataFrame, value: str, by: list[str], bounds: list[float]) -> DataFrame:
@@ -41,6 +53,24 @@ def histogram(rows: DataFrame, value: str, by: list[str], bounds: list[float]) -
     return counts.select(*by, F.explode(buckets).alias("_b")).select(*by, "_b.le", "_b.n")
 
 
+def throughput(done: DataFrame, by: list[str], time: str) -> DataFrame:
+    """(*by, n, seconds, per_second, ms_each, of_best) of units of work and when each was done, over the span that they took; of_best compares with the fastest."""
+    t = F.unix_micros(F.col(time).cast("timestamp"))
+    out = done.groupBy(*by).agg(F.count("*").alias("n"), ((F.max(t) - F.min(t)) / 1e6).alias("seconds"))
+    out = out.withColumns({"per_second": F.try_divide(F.col("n").cast("double"), F.col("seconds")), "ms_each": 1000 * F.col("seconds") / F.col("n")})
+    return out.withColumn("of_best", F.col("per_second") / F.max("per_second").over(W.partitionBy()))  # one row for each kind of work
+
+
+def counter_rate(samples: DataFrame, by: list[str], time: str, value: str, order: str | None = None) -> DataFrame:
+    """(*by, increase, seconds, rate) of a counter's samples; a value below the one before means that the counter began anew at 0. order: what samples are sorted by, else time."""
+    w = W.partitionBy(*by).orderBy(order or time)
+    before = F.lag(value).over(w)
+    step = F.when(F.col(value) < before, F.col(value)).otherwise(F.col(value) - before)
+    rows = samples.select(*by, F.unix_micros(F.col(time).cast("timestamp")).alias("_t"), step.alias("_step"))
+    out = rows.groupBy(*by).agg(F.coalesce(F.sum("_step"), F.lit(0)).alias("increase"), ((F.max("_t") - F.min("_t")) / 1e6).alias("seconds"))
+    return out.withColumn("rate", F.try_divide(F.col("increase").cast("double"), F.col("seconds")))
+
+
 def bucket_quantile(buckets: DataFrame, by: list[str], q: float) -> DataFrame:
     """Quantile by straight lines within buckets, as monitoring systems do; the last finite bound where it falls beyond."""
     w = W.partitionBy(*by).orderBy("le")

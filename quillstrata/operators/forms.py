@@ -8,8 +8,7 @@ from pyspark.sql import functions as F
 from ..functions import text as X
 
 SUPPLIES_TO, OWNS_STAKE, INVESTS_IN, GUARANTEES_DEBT_OF = "SUPPLIES_TO", "OWNS_STAKE", "INVESTS_IN", "GUARANTEES_DEBT_OF"
-ACQUIRES, SUBSIDIARY_OF, PARTNERS_WITH, OFFICER_OF, RELATED_PARTY_OF = "ACQUIRES", "SUBSIDIARY_OF", "PARTNERS_WITH", "OFFICER_OF", "RELATED_PARTY_OF"
-PREDICATES = [SUPPLIES_TO, OWNS_STAKE, INVESTS_IN, GUARANTEES_DEBT_OF, ACQUIRES, SUBSIDIARY_OF, PARTNERS_WITH, OFFICER_OF, RELATED_PARTY_OF]
+SUBSIDIARY_OF, OFFICER_OF, RELATED_PARTY_OF = "SUBSIDIARY_OF", "OFFICER_OF", "RELATED_PARTY_OF"
 STATES = [SUBSIDIARY_OF, OFFICER_OF, RELATED_PARTY_OF]
 
 # Parts of report names.
@@ -31,55 +30,63 @@ def some(t: Column, there: Column) -> Column:
     return F.when(there, F.array(t)).otherwise(F.array().cast(f"array<{TRIPLE}>"))
 
 
+def _own(form: str) -> Column:
+    """The document of filings of this form; null, so that nothing is looked for, in all others."""
+    return F.when(F.col("_form") == form, F.col("_doc"))
+
+
 def supply(rows: DataFrame) -> tuple[DataFrame, Column]:
-    doc = F.col("_doc")
-    rows = rows.withColumns({"_object": X.field(doc, "계약상대", "계약상대방"), "_amount": X.money(X.field(doc, "계약금액(원)")), "_from": X.iso_date(X.field(doc, "시작일", after="계약기간")), "_to": X.iso_date(X.field(doc, "종료일", after="계약기간")), "_note": X.field(doc, "회사와의 관계")})
-    return rows, some(triple(F.col("_subject"), SUPPLIES_TO, F.col("_object"), F.col("_amount"), None, F.col("_from"), F.col("_to"), F.col("_note")), F.col("_object").isNotNull())
+    doc = _own(SUPPLY)
+    rows = rows.withColumns({"_s_object": X.field(doc, "계약상대", "계약상대방"), "_s_amount": X.money(X.field(doc, "계약금액(원)")), "_s_from": X.iso_date(X.field(doc, "시작일", after="계약기간")), "_s_to": X.iso_date(X.field(doc, "종료일", after="계약기간")), "_s_note": X.field(doc, "회사와의 관계")})
+    return rows, some(triple(F.col("_subject"), SUPPLIES_TO, F.col("_s_object"), F.col("_s_amount"), None, F.col("_s_from"), F.col("_s_to"), F.col("_s_note")), F.col("_s_object").isNotNull())
 
 
 def stake(rows: DataFrame) -> tuple[DataFrame, Column]:
-    doc = F.col("_doc")
+    doc = _own(STAKE)
     rows = rows.withColumns({
-        "_issuers": X.split_companies(X.field(doc, "회사명", "회사명(국적)", after="발행회사")), "_note": X.field(doc, "회사와 관계", "회사와의 관계"), "_from": X.iso_date(X.field(doc, "취득예정일자")),
-        "_share": X.percent(X.field(doc, "지분비율(%)", after="취득후 소유주식수 및 지분비율")), "_amount": X.money(X.field(doc, "취득금액(원)")), "_ratio": X.percent(X.field(doc, "자기자본대비(%)")),
+        "_k_issuers": X.split_companies(X.field(doc, "회사명", "회사명(국적)", after="발행회사")), "_k_note": X.field(doc, "회사와 관계", "회사와의 관계"), "_k_from": X.iso_date(X.field(doc, "취득예정일자")),
+        "_k_share": X.percent(X.field(doc, "지분비율(%)", after="취득후 소유주식수 및 지분비율")), "_k_amount": X.money(X.field(doc, "취득금액(원)")), "_k_ratio": X.percent(X.field(doc, "자기자본대비(%)")),
     })
-    rows = rows.withColumn("_single", F.size("_issuers") == 1)
-    amount, ratio = F.when(F.col("_single"), F.col("_amount")), F.when(F.col("_single"), F.col("_ratio"))
-    invests = F.transform("_issuers", lambda x: triple(F.col("_subject"), INVESTS_IN, x, amount, ratio, F.col("_from"), None, F.col("_note")))
-    owns = some(triple(F.col("_subject"), OWNS_STAKE, F.get("_issuers", F.lit(0)), None, F.col("_share"), F.col("_from"), None, F.col("_note")), F.col("_single") & F.col("_share").isNotNull())
+    single = F.size("_k_issuers") == 1
+    amount, ratio = F.when(single, F.col("_k_amount")), F.when(single, F.col("_k_ratio"))
+    invests = F.transform("_k_issuers", lambda x: triple(F.col("_subject"), INVESTS_IN, x, amount, ratio, F.col("_k_from"), None, F.col("_k_note")))
+    owns = some(triple(F.col("_subject"), OWNS_STAKE, F.get("_k_issuers", F.lit(0)), None, F.col("_k_share"), F.col("_k_from"), None, F.col("_k_note")), single & F.col("_k_share").isNotNull())
     return rows, F.concat(invests, owns)
 
 
 def guarantee(rows: DataFrame) -> tuple[DataFrame, Column]:
-    doc = F.col("_doc")
+    doc = _own(GUARANTEE)
     rows = rows.withColumns({
-        "_object": X.field(doc, "채무자"), "_amount": X.money(X.field(doc, "채무보증금액(원)", "채무(차입)금액(원)")), "_ratio": X.percent(X.field(doc, "자기자본대비(%)")),
-        "_from": X.iso_date(X.field(doc, "시작일", after="채무보증기간")), "_to": X.iso_date(X.field(doc, "종료일", after="채무보증기간")), "_note": X.field(doc, "회사와의 관계"),
+        "_g_object": X.field(doc, "채무자"), "_g_amount": X.money(X.field(doc, "채무보증금액(원)", "채무(차입)금액(원)")), "_g_ratio": X.percent(X.field(doc, "자기자본대비(%)")),
+        "_g_from": X.iso_date(X.field(doc, "시작일", after="채무보증기간")), "_g_to": X.iso_date(X.field(doc, "종료일", after="채무보증기간")), "_g_note": X.field(doc, "회사와의 관계"),
     })
-    return rows, some(triple(F.col("_subject"), GUARANTEES_DEBT_OF, F.col("_object"), F.col("_amount"), F.col("_ratio"), F.col("_from"), F.col("_to"), F.col("_note")), F.col("_object").isNotNull())
+    return rows, some(triple(F.col("_subject"), GUARANTEES_DEBT_OF, F.col("_g_object"), F.col("_g_amount"), F.col("_g_ratio"), F.col("_g_from"), F.col("_g_to"), F.col("_g_note")), F.col("_g_object").isNotNull())
 
 
 def shareholders(rows: DataFrame) -> tuple[DataFrame, Column]:
     """One relation for each person named in the section of individual changes; the first block of a name counts."""
-    doc = F.col("_doc")
-    rows = rows.withColumns({"_section": X.first_at(doc, "개인별 세부변동사항"), "_relations": F.filter(doc, lambda x: x["form"] == "최대주주 및 발행회사와의 관계")})
-    rows = rows.withColumns({"_start": F.coalesce("_section", F.lit(1)), "_end": F.when(F.col("_section").isNull(), F.size(doc) + 1).otherwise(X.section_end(doc, F.col("_section")))})
-    rows = rows.withColumn("_blocks", F.filter(doc, lambda x: (x["form"] == "성명") & (x["i"] >= F.col("_start")) & (x["i"] < F.col("_end")) & x["value"].isNotNull()))
-    first = F.filter("_blocks", lambda p: p["i"] == F.get(F.filter("_blocks", lambda q: q["value"] == p["value"]), F.lit(0))["i"])
-    note = lambda p: F.get(F.filter("_relations", lambda r: r["i"] >= p["i"]), F.lit(0))["raw"]
-    rows = rows.withColumn("_people", F.transform(first, lambda p: F.struct(p["value"].alias("name"), note(p).alias("note"))))
+    doc = _own(SHAREHOLDER)
+    rows = rows.withColumns({"_p_section": X.first_at(doc, "개인별 세부변동사항"), "_p_relations": F.filter(doc, lambda x: x["form"] == "최대주주 및 발행회사와의 관계")})
+    rows = rows.withColumns({"_p_start": F.coalesce("_p_section", F.lit(1)), "_p_end": F.when(F.col("_p_section").isNull(), F.size(doc) + 1).otherwise(X.section_end(doc, F.col("_p_section")))})
+    rows = rows.withColumn("_p_blocks", F.filter(doc, lambda x: (x["form"] == "성명") & (x["i"] >= F.col("_p_start")) & (x["i"] < F.col("_p_end")) & x["value"].isNotNull()))
+    first = F.filter("_p_blocks", lambda p: p["i"] == F.get(F.filter("_p_blocks", lambda q: q["value"] == p["value"]), F.lit(0))["i"])
+    note = lambda p: F.get(F.filter("_p_relations", lambda r: r["i"] >= p["i"]), F.lit(0))["raw"]
+    rows = rows.withColumn("_p_people", F.transform(first, lambda p: F.struct(p["value"].alias("name"), note(p).alias("note"))))
 
     def kind(note: Column) -> Column:
         flat = F.replace(note, F.lit(" "))
         return F.when(flat.contains("임원") & ~flat.contains("계열사"), OFFICER_OF).otherwise(RELATED_PARTY_OF)
 
-    return rows, F.transform("_people", lambda p: triple(p["name"], kind(p["note"]), F.col("_subject"), note=p["note"]))
+    return rows, F.transform("_p_people", lambda p: triple(p["name"], kind(p["note"]), F.col("_subject"), note=p["note"]))
+
+
+PARSERS = {SUPPLY: supply, STAKE: stake, GUARANTEE: guarantee, SHAREHOLDER: shareholders}
 
 
 def parse_filings(filings: DataFrame, name_col: str = "corp_name", report_col: str = "report_nm", text_col: str = "doc_text") -> DataFrame:
     """filings with one row for each relation found, as columns subject, predicate, object, amount_krw, ratio_pct, start_date, end_date, note and seq.
 
-    The forms are four filtered branches, so that each projection stays small enough for generated code."""
+    One pass over the table: a filing's fields are looked for with its own form's labels only, as the other forms see no document."""
     rows = filings.withColumn("_filer", X.strip(F.coalesce(name_col, F.lit("")))).withColumn("_report", F.coalesce(report_col, F.lit("")))
     rows = rows.where((F.col("_filer") != "") & (F.coalesce(text_col, F.lit("")) != ""))
     rows = rows.withColumn("_all", X.labelled(X.lines(F.col(text_col))))
@@ -89,17 +96,16 @@ def parse_filings(filings: DataFrame, name_col: str = "corp_name", report_col: s
     rows = rows.withColumn("_sub", F.when(F.col("_sub") != F.col("_filer"), F.col("_sub"))).withColumn("_subject", F.coalesce("_sub", "_filer"))
     parent = some(triple(F.col("_sub"), SUBSIDIARY_OF, F.col("_filer")), F.col("_sub").isNotNull())
     form = F.when(F.col("_report").rlike(NEGATIVE), "none")
-    for keyword in (SUPPLY, STAKE, GUARANTEE, SHAREHOLDER):
+    for keyword in PARSERS:
         form = form.when(F.col("_report").contains(keyword), keyword)
     rows = rows.withColumn("_form", form.otherwise("none"))
-    parsers = {SUPPLY: supply, STAKE: stake, GUARANTEE: guarantee, SHAREHOLDER: shareholders}
-    out = None
-    for keyword, parser in [*parsers.items(), ("none", None)]:
-        own = rows.where(F.col("_form") == keyword)
-        own, found = parser(own) if parser else (own, F.array().cast(f"array<{TRIPLE}>"))
-        own = own.select(*filings.columns, F.posexplode(F.concat(parent, found)).alias("seq", "_t")).select(*filings.columns, "seq", "_t.*")
-        out = own if out is None else out.unionByName(own)
-    return out
+    none = F.array().cast(f"array<{TRIPLE}>")
+    found = F.when(F.col("_form") == "none", none)
+    for keyword, parser in PARSERS.items():
+        rows, own = parser(rows)
+        found = found.when(F.col("_form") == keyword, own)
+    out = rows.select(*filings.columns, F.posexplode(F.concat(parent, F.coalesce(found, none))).alias("seq", "_t"))
+    return out.select(*filings.columns, "seq", "_t.*")
 
 
 def targets(filings: DataFrame, report_col: str = "report_nm") -> DataFrame:

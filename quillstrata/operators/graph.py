@@ -14,22 +14,63 @@ PRIORITY = ["SUPPLIES_TO", "INVESTS_IN", "OWNS_STAKE", "GUARANTEES_DEBT_OF", "SU
 SEEDS, PATHS = 3, 60
 
 
-def nodes(triples: DataFrame) -> DataFrame:
-    """(name, aliases): one node for each canonical name, with all spellings."""
-    ends = triples.select(F.col("subject").alias("raw")).unionByName(triples.select(F.col("object").alias("raw"))).distinct()
-    return ends.withColumn("name", canonical_name(F.col("raw"))).groupBy("name").agg(F.array_sort(F.collect_set("raw")).alias("aliases"))
+def names_of(*columns: DataFrame) -> DataFrame:
+    """(raw, name): the different spellings in tables of one column each, and their canonical names, worked out once for each."""
+    ends = [c.toDF("raw") for c in columns]
+    both = ends[0]
+    for more in ends[1:]:
+        both = both.unionByName(more)
+    return both.where("raw IS NOT NULL").distinct().withColumn("name", canonical_name(F.col("raw")))
+
 
+def spellings(triples: DataFrame) -> DataFrame:
+    return names_of(triples.select("subject"), triples.select("object"))
 
-def event_edges(triples: DataFrame, order: str, props: list[str]) -> DataFrame:
-    """One edge for each (subject, predicate, object, filing); of each property the last that isn't null."""
+
+def nodes(triples: DataFrame) -> DataFrame:
+    """(name, aliases): one node for each canonical name, with all spellings."""
+    return spellings(triples).groupBy("name").agg(F.array_sort(F.collect_set("raw")).alias("aliases"))
+
+
+def canonical(triples: DataFrame) -> DataFrame:
+    """triples with canonical names as subject and object; rows without one of them are dropped, as they are no edges."""
+    names = spellings(triples)
+    for end in ("subject", "object"):
+        triples = triples.join(names.select(F.col("raw").alias(end), F.col("name").alias("_name")), end).withColumn(end, F.col("_name")).drop("_name")
+    return triples
+
+
+def load_graph(triples: DataFrame, companies: DataFrame | None = None, order: str = "triple_id", props: tuple[str, ...] = ("amount_krw", "ratio_pct", "start_date", "end_date", "note")) -> tuple[DataFrame, DataFrame]:
+    """Stored relations and the followed companies to (nodes, edges), between canonical names.
+
+    nodes: (name, aliases, corp_code, stock_code, in_universe); companies (corp_code, corp_name, stock_code, in_universe) that are followed and have a
+    stock code are nodes even without a relation. edges: (eid, src, rel, dst, rcept_no, *props, n_support): event relations one for each filing, with the last value of each
+    property that isn't null; state relations one for each pair, with filing and properties of the first. order: the column that says which row comes first."""
+    rows = canonical(triples)
+    events = event_edges(rows, order, list(props), clean=True)
+    states = state_edges(rows, [order, "rcept_no", *props], clean=True).drop(order)
+    edges = events.unionByName(states).select(F.concat_ws("|", "subject", "predicate", "object", F.when(~F.col("predicate").isin(*STATES), F.col("rcept_no").cast("string"))).alias("eid"), F.col("subject").alias("src"), F.col("predicate").alias("rel"), F.col("object").alias("dst"), "rcept_no", *props, "n_support")
+    found = spellings(triples).withColumns({"corp_code": F.lit(None).cast("string"), "stock_code": F.lit(None).cast("string"), "in_universe": F.lit(None).cast("boolean")})
+    if companies is not None:
+        own = companies.where("in_universe AND stock_code IS NOT NULL").select(F.col("corp_name").alias("raw"), F.col("corp_code").cast("string").alias("corp_code"), F.col("stock_code").cast("string").alias("stock_code"))
+        found = found.unionByName(own.select("raw", canonical_name(F.col("raw")).alias("name"), "corp_code", "stock_code", F.lit(True).alias("in_universe")))
+    last = F.max(F.when(F.col("in_universe"), F.struct("corp_code", "stock_code")))
+    made = found.groupBy("name").agg(F.array_sort(F.collect_set("raw")).alias("aliases"), last.alias("_c"))
+    return made.select("name", "aliases", "_c.corp_code", "_c.stock_code", F.col("_c").isNotNull().alias("in_universe")), edges
+
+
+def event_edges(triples: DataFrame, order: str, props: list[str], clean: bool = False) -> DataFrame:
+    """One edge for each (subject, predicate, object, filing) of canonical names; of each property the last that isn't null. clean: names are canonical already."""
     keys = ["subject", "predicate", "object", "rcept_no"]
     rows = triples.where(~F.col("predicate").isin(*STATES))
+    rows = rows if clean else canonical(rows)
     return rows.groupBy(*keys).agg(*(F.max_by(p, F.when(F.col(p).isNotNull(), F.col(order))).alias(p) for p in props), F.count("*").alias("n_support"))
 
 
-def state_edges(triples: DataFrame, order: list[str]) -> DataFrame:
-    """One edge for each (subject, predicate, object), with its earliest evidence."""
+def state_edges(triples: DataFrame, order: list[str], clean: bool = False) -> DataFrame:
+    """One edge for each (subject, predicate, object) of canonical names, with its earliest evidence. clean: names are canonical already."""
     rows = triples.where(F.col("predicate").isin(*STATES))
+    rows = rows if clean else canonical(rows)
     keys = ["subject", "predicate", "object"]
     first = rows.groupBy(*keys).agg(F.min(F.struct(*order)).alias("_first"), F.count("*").alias("n_support"))
     return first.select(*keys, "_first.*", "n_support")
@@ -42,16 +83,23 @@ def both_ways(edges: DataFrame) -> DataFrame:
     return there.unionByName(back)
 
 
-def paths(edges: DataFrame, seeds: DataFrame, hops: int = 2) -> DataFrame:
-    """Different undirected paths of 1 to hops (at most 2) edges from the seeds (name), ends apart, no edge twice: (depth, names, rels, starts, rcepts)."""
+def paths(edges: DataFrame, seeds: DataFrame, hops: int = 2, by: str | None = None) -> DataFrame:
+    """Different undirected paths of 1 to hops (at most 2) edges from the seeds (name), ends apart, no edge twice: (depth, names, rels, starts, rcepts).
+
+    by: a column of the seeds that tells questions apart; each question's paths begin at its own seeds, and have its value in that column."""
     hops = max(1, min(2, hops))
     u = both_ways(edges)
-    own = u.join(F.broadcast(seeds.select(F.col("name").alias("a")).orderBy(F.desc(F.length("a")), "a").limit(SEEDS)), "a")
-    one = own.where("a <> b").select(F.lit(1).alias("depth"), F.array("a", "b").alias("names"), F.array("rel").alias("rels"), F.array("start").alias("starts"), F.array("rcept_no").alias("rcepts"))
+    of = [by] if by else []
+    if by:
+        seeds = mentioned(seeds, by).select(by, F.col("name").alias("a"))
+    else:
+        seeds = F.broadcast(seeds.select(F.col("name").alias("a")).orderBy(F.desc(F.length("a")), "a").limit(SEEDS))
+    own = u.join(seeds, "a")
+    one = own.where("a <> b").select(*of, F.lit(1).alias("depth"), F.array("a", "b").alias("names"), F.array("rel").alias("rels"), F.array("start").alias("starts"), F.array("rcept_no").alias("rcepts"))
     if hops == 1:
         return one.distinct()
     second = u.select(F.col("eid").alias("eid2"), F.col("a").alias("b"), F.col("b").alias("c"), F.col("rel").alias("rel2"), F.col("start").alias("start2"), F.col("rcept_no").alias("rcept2"))
-    two = own.join(second, "b").where("eid <> eid2 AND a <> c").select(F.lit(2).alias("depth"), F.array("a", "b", "c").alias("names"), F.array("rel", "rel2").alias("rels"), F.array("start", "start2").alias("starts"), F.array("rcept_no", "rcept2").alias("rcepts"))
+    two = own.join(second, "b").where("eid <> eid2 AND a <> c").select(*of, F.lit(2).alias("depth"), F.array("a", "b", "c").alias("names"), F.array("rel", "rel2").alias("rels"), F.array("start", "start2").alias("starts"), F.array("rcept_no", "rcept2").alias("rcepts"))
     return one.unionByName(two).distinct()
 
 
@@ -78,17 +126,30 @@ def search(edges: DataFrame, seeds: DataFrame, hops: int = 2, limit: int = PATHS
     return once.select("text", "_k.*", "entities", "rel_types").orderBy("depth", "rank", "text").limit(limit)
 
 
+def search_each(edges: DataFrame, seeds: DataFrame, by: str, hops: int = 2, limit: int = PATHS) -> DataFrame:
+    """As search, for many questions at once: seeds (by, name) to (by, pos, text, rcept_no), at most `limit` texts a question."""
+    found = paths(edges, seeds, hops, by).select(by, render(F.col("names"), F.col("rels"), F.col("starts")).alias("text"), "depth", rank(F.col("rels")).alias("rank"), citation(F.col("rcepts")).alias("rcept_no"))
+    once = found.groupBy(by, "text").agg(F.min(F.struct("depth", "rank", "rcept_no")).alias("_k")).select(by, "text", "_k.*")
+    return once.withColumn("pos", F.row_number().over(W.partitionBy(by).orderBy("depth", "rank", "text"))).where(F.col("pos") <= limit).select(by, "pos", "text", "rcept_no")
+
+
 def link(questions: DataFrame, names: DataFrame, text: str = "question", name: str = "name") -> DataFrame:
     """(question row, name): names that a question mentions, by their whole key or, from four characters on, by its first four.
 
-    A theta join: the names are the broadcast side while their bytes are within 32 MB, else Spark streams them."""
+    Either way the question holds the key's first four characters, or the whole shorter key, so the join is one of equal pieces: each
+    question gives its pieces of these lengths once. The names are broadcast while their bytes are within 32 MB."""
     bare = lambda c: F.regexp_replace(c, r"(?U)[\s()]+", "")
     n = names.select(F.col(name).alias("name"), bare(F.col(name)).alias("_key")).where(F.length("_key") >= 2).distinct()
-    size = n.agg(F.sum(F.length("_key") + F.length("name") + 16)).first()[0] or 0
-    n = F.broadcast(n) if size <= 32 << 20 else n
-    q = questions.withColumn("_q", bare(F.col(text)))
-    hit = F.contains(F.col("_q"), F.col("_key")) | ((F.length("_key") >= 4) & F.contains(F.col("_q"), F.substring("_key", 1, 4)))
-    return q.join(n, hit).drop("_q", "_key")
+    n = n.select("name", F.substring("_key", 1, 4).alias("_piece"))
+    size, *there = n.agg(F.sum(F.length("_piece") + F.length("name") + 16), *(F.max(F.length("_piece") == k) for k in (2, 3, 4))).first()
+    n = F.broadcast(n) if (size or 0) <= 32 << 20 else n
+    q = F.col("_q")
+    cuts = lambda k: F.transform(F.sequence(F.lit(1), F.greatest(F.lit(1), F.length(q) - (k - 1))), lambda at: F.substring(q, at, F.lit(k)))
+    pieces = [cuts(k) for k, some in zip((2, 3, 4), there) if some]
+    if not pieces:
+        return questions.join(n, F.lit(False)).drop("_piece")
+    cut = questions.withColumn("_q", bare(F.col(text))).withColumn("_piece", F.explode(F.array_distinct(F.concat(*pieces))))
+    return cut.join(n, "_piece").drop("_q", "_piece")
 
 
 def mentioned(linked: DataFrame, by: str, most: int = SEEDS) -> DataFrame:
@@ -103,14 +164,11 @@ def with_both(evidence: DataFrame, a: str, b: str) -> DataFrame:
     return evidence.where(has(a) & has(b))
 
 
-def partners(edges: DataFrame, name: str) -> DataFrame:
-    ends = both_ways(edges)
-    return ends.where((F.col("a") == name) & (F.col("b") != name)).select(F.col("b").alias("name")).distinct()
-
-
-def shared_partners(edges: DataFrame, a: str, b: str) -> DataFrame:
-    """Who deals with both."""
-    return partners(edges, a).intersect(partners(edges, b)).where(~F.col("name").isin(a, b))
+def shared_partners(evidence: DataFrame, a: str, b: str) -> DataFrame:
+    """Names that stand in evidence (entities) of both: an entity belongs to a company if it holds the name, blanks aside; the two themselves don't count."""
+    holds = lambda e, x: F.contains(F.replace(e, F.lit(" ")), F.lit(x.replace(" ", "")))
+    side = lambda x: evidence.where(F.exists("entities", lambda e: holds(e, x))).select(F.explode("entities").alias("name")).distinct()
+    return side(a).intersect(side(b)).where(~holds(F.col("name"), a) & ~holds(F.col("name"), b))
 
 
 def degrees(edges: DataFrame) -> DataFrame:

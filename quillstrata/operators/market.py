@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -21,6 +23,21 @@ def factors(prices: DataFrame, code: str = "stock_code", date: str = "trade_date
     return out.na.drop(subset=[f"mom_{SHORT}"])
 
 
+def factors_pandas(prices: DataFrame, code: str = "stock_code", date: str = "trade_date", close: str = "close_price", value: str = "trade_value") -> DataFrame:
+    """(code, date, daily_ret, mom_20, mom_60, vol_20, turnover_20) of the same rows as factors, by pandas within each security; to hold the two against each other."""
+    names = ["daily_ret", f"mom_{SHORT}", f"mom_{LONG}", f"vol_{AVERAGED}", f"turnover_{AVERAGED}"]
+
+    def work(part: pd.DataFrame) -> pd.DataFrame:
+        part = part.sort_values(date)
+        price = part[close].astype(float)
+        change = lambda k: price / price.shift(k).replace(0, np.nan) - 1
+        out = part[[code, date]].assign(**dict(zip(names, (change(1), change(SHORT), change(LONG), change(1).rolling(AVERAGED, min_periods=2).std(), part[value].astype(float).rolling(AVERAGED, min_periods=1).mean()))))
+        return out[out[names[1]].notna()]
+
+    kinds = dict(prices.dtypes)
+    return prices.select(code, date, close, value).groupBy(code).applyInPandas(work, f"{code} {kinds[code]}, {date} {kinds[date]}, " + ", ".join(f"{n} double" for n in names))
+
+
 def in_period(df: DataFrame, date: str, begin, end) -> DataFrame:
     return df.where(F.col(date).between(begin, end))
 

@@ -88,6 +88,11 @@ def encoder(dims: int = 64, load: Callable = hashing_model, batch: int = 32):
     return encode
 
 
+def encoder_of(model: Callable[[list[str]], list]):
+    """A pandas UDF from text to vectors, of a model that is at hand already."""
+    return encoder(0, lambda _: model)
+
+
 def hybrid(graph: DataFrame, vector: DataFrame) -> DataFrame:
     """Graph evidence, then vector evidence, in their own orders: (axis, pos, text)."""
     return graph.select(F.lit(0).alias("axis"), "pos", "text").unionByName(vector.select(F.lit(1).alias("axis"), "pos", "text"))

@@ -8,14 +8,17 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..operators.documents import stored_triples
+from ..operators.documents import chunk_documents, props, stored_triples
 from ..operators.forms import parse_filings, targets
+from ..operators.graph import load_graph
 from ..operators.ingest import insert_absent, latest_watermark, run_record, upsert_last, valid_filings
+from ..operators.vectors import encoder
 
 CORP = "corp_code string, corp_name string, stock_code string, modify_date string, in_universe boolean"
 FILING = "rcept_no string, corp_code string, corp_name string, stock_code string, report_nm string, rcept_dt string, flr_nm string, rm string, raw_json string, doc_text string, doc_fetched_at timestamp"
 PRICE = "stock_code string, trade_date date, open_price long, high_price long, low_price long, close_price long, volume long, trade_value decimal(20,0), change_rate decimal(8,4)"
 TRIPLE = "rcept_no string, subject_name string, predicate string, object_name string, props_json string, model string, was_cut boolean"
+CHUNK = "rcept_no string, chunk_idx int, content string, embedding array<double>"
 RUN = "job_name string, watermark string, row_count long, status string, started_at timestamp, finished_at timestamp, error_msg string"
 # First days of a first run.
 FIRST_FILINGS, FIRST_PRICES = datetime.date(2023, 1, 1), datetime.date(2021, 1, 1)
@@ -25,21 +28,37 @@ class Store:
     def __init__(self, spark: SparkSession, root: str):
         self.spark, self.root = spark, root
 
+    def _versions(self, name: str) -> list[int]:
+        """Numbers of a replaced table's whole versions; a version is whole once Spark has put its success file there."""
+        jvm, conf = self.spark._jvm, self.spark._jsc.hadoopConfiguration()
+        path = jvm.org.apache.hadoop.fs.Path(f"{self.root}/{name}")
+        fs = path.getFileSystem(conf)
+        found = [s.getPath() for s in fs.listStatus(path)] if fs.exists(path) else []
+        whole = [p for p in found if p.getName().startswith("v") and p.getName()[1:].isdigit() and fs.exists(jvm.org.apache.hadoop.fs.Path(p, "_SUCCESS"))]
+        return sorted(int(p.getName()[1:]) for p in whole)
+
     def read(self, name: str, schema: str) -> DataFrame:
         try:
-            return self.spark.read.schema(schema).parquet(f"{self.root}/{name}")
+            return self.spark.read.schema(schema).parquet(self.path(name))
         except Exception as e:
             if "PATH_NOT_FOUND" not in str(e):
                 raise
             return self.spark.createDataFrame([], schema)
 
+    def path(self, name: str) -> str:
+        versions = self._versions(name)
+        return f"{self.root}/{name}" + (f"/v{versions[-1]}" if versions else "")
+
     def append(self, name: str, rows: DataFrame) -> None:
         rows.write.mode("append").parquet(f"{self.root}/{name}")
 
     def replace(self, name: str, rows: DataFrame) -> None:
-        """A table that is read for its own new state is written beside it first."""
-        rows.write.mode("overwrite").parquet(f"{self.root}/_{name}")
-        self.spark.read.parquet(f"{self.root}/_{name}").write.mode("overwrite").parquet(f"{self.root}/{name}")
+        """Writes the table's next version beside the last; readers take the last whole one, so a job that dies in between changes nothing. The one before the last is kept, older ones go."""
+        versions = self._versions(name)
+        rows.write.mode("overwrite").parquet(f"{self.root}/{name}/v{versions[-1] + 1 if versions else 1}")
+        for old in versions[:-1]:
+            path = self.spark._jvm.org.apache.hadoop.fs.Path(f"{self.root}/{name}/v{old}")
+            path.getFileSystem(self.spark._jsc.hadoopConfiguration()).delete(path, True)
 
 
 def since_last(store: Store, job: str, backfill: datetime.date, today: datetime.date, work: Callable[[datetime.date, datetime.date], int]) -> int | None:
@@ -125,4 +144,28 @@ def extract_relations(store: Store, limit: int | None = None) -> int:
         found.unpersist()
 
 
-__all__ = ["Store", "extract_relations", "ingest_filings", "ingest_prices", "insert_absent", "since_last", "sync_companies"]
+def load_relations(store: Store) -> tuple[int, int]:
+    """The graph's tables from stored relations and followed companies: numbers of nodes and edges."""
+    rows = store.read("kg_triple", TRIPLE)
+    t = rows.select(F.concat_ws("|", "rcept_no", F.xxhash64(*rows.columns)).alias("triple_id"), F.col("subject_name").alias("subject"), "predicate", F.col("object_name").alias("object"), "rcept_no", props(F.col("props_json")).alias("_p")).select("*", "_p.*").drop("_p")
+    nodes, edges = load_graph(t, store.read("corp", CORP))
+    store.replace("graph_node", nodes)
+    store.replace("graph_edge", edges)
+    return store.spark.read.parquet(store.path("graph_node")).count(), store.spark.read.parquet(store.path("graph_edge")).count()
+
+
+def embed_filings(store: Store, encode=None) -> int:
+    """Chunks and vectors of filings that have text and no chunks yet."""
+    docs = store.read("filing", FILING).where("doc_text IS NOT NULL")
+    have = store.read("doc_chunk", CHUNK)
+    made = chunk_documents(docs.join(have.select("rcept_no").distinct(), "rcept_no", "left_anti")).withColumn("embedding", (encode or encoder())("content")).persist()
+    try:
+        count = made.count()
+        if count:
+            store.append("doc_chunk", made)
+        return count
+    finally:
+        made.unpersist()
+
+
+__all__ = ["Store", "embed_filings", "load_relations", "extract_relations", "ingest_filings", "ingest_prices", "insert_absent", "since_last", "sync_companies"]

@@ -26,12 +26,10 @@ def price_factors(spark, d):
     return rounded(out, "mom_20", "mom_60", "vol_20").withColumn("turnover_20", F.round("turnover_20", 2)).select("stock_code", "trade_date", "close_price", "mom_20", "mom_60", "vol_20", "turnover_20")
 
 
-@query("daily_returns", f"""WITH {PRICES} SELECT stock_code, trade_date, round(close_price / lag(close_price) OVER (PARTITION BY stock_code ORDER BY trade_date) - 1, 6) AS daily_ret FROM prices""")
+@query("daily_returns", f"""WITH {PRICES}, r AS (SELECT stock_code, trade_date, close_price / lag(close_price) OVER w - 1 AS daily_ret, lag(close_price, 20) OVER w AS early FROM prices WINDOW w AS (PARTITION BY stock_code ORDER BY trade_date))
+    SELECT stock_code, trade_date, round(daily_ret, 6) AS daily_ret FROM r WHERE early IS NOT NULL""")
 def daily_returns(spark, d):
-    from pyspark.sql import Window as W
-
-    w = W.partitionBy("stock_code").orderBy("trade_date")
-    return prices(spark, d).select("stock_code", "trade_date", F.round(F.try_divide(F.col("close_price"), F.lag("close_price").over(w)) - 1, 6).alias("daily_ret"))
+    return rounded(market.factors(prices(spark, d)), "daily_ret").select("stock_code", "trade_date", "daily_ret")
 
 
 @query("period_return", f"""WITH {PRICES} SELECT stock_code, min(trade_date) AS first_date, max(trade_date) AS last_date, count(*) AS days, round(arg_max(close_price, trade_date) / arg_min(close_price, trade_date) - 1, 6) AS period_return
@@ -47,19 +45,21 @@ def price_head_tail(spark, d):
 
 
 @query("filings_in_period", f"""WITH {FILINGS}, r AS (SELECT *, row_number() OVER (PARTITION BY corp_code ORDER BY rcept_dt, rcept_no) AS rank, count(*) OVER (PARTITION BY corp_code) AS "of" FROM filings WHERE rcept_dt BETWEEN '19960101' AND '19991231')
-    SELECT corp_code, rcept_no, rcept_dt, report_nm, rank, "of" FROM r WHERE rank <= 5""")
+    SELECT corp_code, rcept_no, rcept_dt, report_nm, rank, "of" FROM r WHERE rank <= 30""")
 def filings_in_period(spark, d):
     own = market.in_period(filings(spark, d), "rcept_dt", "19960101", "19991231")
-    return market.first_of(own, "corp_code", [F.col("rcept_dt"), F.col("rcept_no")], 5).select("corp_code", "rcept_no", "rcept_dt", "report_nm", "rank", "of")
+    return market.first_of(own, "corp_code", [F.col("rcept_dt"), F.col("rcept_no")]).select("corp_code", "rcept_no", "rcept_dt", "report_nm", "rank", "of")
 
 
-@query("prices_with_filings", f"""WITH {PRICES}, {FILINGS}, d AS (SELECT strptime(rcept_dt, '%Y%m%d')::DATE AS day, count(*) AS n_filings, sum(CAST(round(amount * 100) AS BIGINT)) AS cents FROM filings GROUP BY 1)
-    SELECT stock_code, trade_date, close_price, coalesce(n_filings, 0) AS n_filings, CAST(coalesce(cents, 0) AS BIGINT) AS cents FROM prices LEFT JOIN d ON day = trade_date WHERE trade_date BETWEEN DATE '1997-01-01' AND DATE '1997-03-31'""")
+@query("prices_with_filings", f"""WITH {PRICES}, {FILINGS}, p AS (SELECT stock_code, count(*) AS days, max(close_price) AS highest FROM prices WHERE trade_date BETWEEN DATE '1997-01-01' AND DATE '1997-12-31' GROUP BY 1),
+    f AS (SELECT corp_code AS stock_code, count(*) AS n_filings, min(rcept_no) AS first_filing, CAST(sum(CAST(round(amount * 100) AS BIGINT)) AS BIGINT) AS cents FROM filings WHERE rcept_dt BETWEEN '19970101' AND '19971231' GROUP BY 1)
+    SELECT stock_code, days, highest, coalesce(n_filings, 0) AS n_filings, first_filing, coalesce(cents, 0) AS cents FROM p LEFT JOIN f USING (stock_code)""")
 def prices_with_filings(spark, d):
-    own = market.in_period(prices(spark, d), "trade_date", F.lit("1997-01-01").cast("date"), F.lit("1997-03-31").cast("date"))
-    day = filings(spark, d).groupBy(F.to_date("rcept_dt", "yyyyMMdd").alias("trade_date")).agg(F.count("*").alias("n_filings"), F.sum(F.round(F.col("amount") * 100).cast("bigint")).alias("cents"))
-    out = own.join(day, "trade_date", "left")
-    return out.select("stock_code", "trade_date", "close_price", F.coalesce("n_filings", F.lit(0)).alias("n_filings"), F.coalesce("cents", F.lit(0)).alias("cents"))
+    """Of each security the period's prices and the same company's filings of the period. Both sides are one row a company before they meet."""
+    own = market.in_period(prices(spark, d), "trade_date", F.lit("1997-01-01").cast("date"), F.lit("1997-12-31").cast("date")).groupBy("stock_code").agg(F.count("*").alias("days"), F.max("close_price").alias("highest"))
+    listed = market.in_period(filings(spark, d), "rcept_dt", "19970101", "19971231").groupBy(F.col("corp_code").alias("stock_code"))
+    listed = listed.agg(F.count("*").alias("n_filings"), F.min("rcept_no").alias("first_filing"), F.sum(F.round(F.col("amount") * 100).cast("bigint")).alias("cents"))
+    return own.join(listed, "stock_code", "left").select("stock_code", "days", "highest", F.coalesce("n_filings", F.lit(0)).alias("n_filings"), "first_filing", F.coalesce("cents", F.lit(0)).alias("cents"))
 
 
 @query("dedupe_keep_last", "SELECT l_orderkey, l_linenumber, arg_max(l_partkey, key) AS l_partkey, arg_max(l_quantity, key) AS l_quantity FROM (SELECT *, row(l_shipdate, l_partkey, l_quantity, l_extendedprice) AS key FROM lineitem) GROUP BY 1, 2")
@@ -139,20 +139,65 @@ def filing_lines(spark, d):
     return j.groupBy(F.col("o_orderpriority").alias("report_nm")).agg(F.count("*").alias("n"), F.sum(F.round(F.col("l_extendedprice") * 100).cast("bigint")).alias("cents"))
 
 
-@query("document_marks", """SELECT d.doc_id, CASE WHEN l.doc_id IS NOT NULL AND quality = 1 THEN left(text, 1000) END AS doc_text, l.doc_id IS NOT NULL AS tried FROM documents d LEFT JOIN labels l USING (doc_id)""")
+@query("document_marks", """SELECT d.doc_id, CASE WHEN l.doc_id IS NOT NULL AND quality = 1 THEN left(text, 400000) END AS doc_text, l.doc_id IS NOT NULL AS tried FROM documents d LEFT JOIN labels l USING (doc_id)""")
 def document_marks(spark, d):
     docs = table(spark, d, "documents").select(F.col("doc_id").alias("rcept_no"), F.lit(None).cast("string").alias("doc_text"), F.lit(None).cast("timestamp").alias("doc_fetched_at"), "text")
     got = docs.join(table(spark, d, "labels").withColumnRenamed("doc_id", "rcept_no"), "rcept_no").select("rcept_no", F.when(F.col("quality") == 1, F.col("text")).alias("text"))
-    out = ingest.mark_fetched(docs.drop("text"), got, F.lit("2026-01-01").cast("timestamp"), 1000)
+    out = ingest.mark_fetched(docs.drop("text"), got, F.lit("2026-01-01").cast("timestamp"))
     return out.select(F.col("rcept_no").alias("doc_id"), "doc_text", F.col("doc_fetched_at").isNotNull().alias("tried"))
 
 
-@query("factor_agreement", """WITH x AS (SELECT count(*) AS n FROM (SELECT l_suppkey, CAST(l_shipdate AS DATE) AS t FROM lineitem GROUP BY 1, 2)) SELECT n, 0.0::DOUBLE AS close_price_error FROM x""")
+FACTORS = ["daily_ret", "mom_20", "mom_60", "vol_20", "turnover_20"]
+
+
+@query("factor_agreement", f"""WITH {PRICES}, r AS (SELECT *, close_price / lag(close_price, 20) OVER w - 1 AS mom_20 FROM prices WINDOW w AS (PARTITION BY stock_code ORDER BY trade_date))
+    SELECT count(*) AS n, {", ".join(f"true AS {c}_same" for c in FACTORS)} FROM r WHERE mom_20 IS NOT NULL""")
 def factor_agreement(spark, d):
-    """Prices by two ways, the largest relative difference."""
-    a = prices(spark, d).select("stock_code", "trade_date", "close_price")
-    li = table(spark, d, "lineitem").select(F.col("l_suppkey").alias("stock_code"), F.col("l_shipdate").cast("date").alias("trade_date"), F.col("l_extendedprice").alias("close_price"))
-    return market.relative_error(a, ingest.keep_last(li.withColumn("k", F.col("close_price")), ["stock_code", "trade_date"], "k"), ["stock_code", "trade_date"], ["close_price"])
+    """Factors by windows and by pandas: rows in both, and whether the largest relative error of each is below 10**-9."""
+    rows = prices(spark, d)
+    out = market.relative_error(market.factors(rows), market.factors_pandas(rows), ["stock_code", "trade_date"], FACTORS)
+    return out.select("n", *((F.col(f"{c}_error") < 1e-9).alias(f"{c}_same") for c in FACTORS))
+
+
+@query("pandas_factors", f"""WITH {PRICES},
+    r AS (SELECT *, close_price / lag(close_price, 1) OVER w - 1 AS daily_ret, close_price / lag(close_price, 20) OVER w - 1 AS mom_20 FROM prices WINDOW w AS (PARTITION BY stock_code ORDER BY trade_date)),
+    v AS (SELECT *, stddev_samp(daily_ret) OVER f AS vol_20 FROM r WINDOW f AS (PARTITION BY stock_code ORDER BY trade_date ROWS 19 PRECEDING))
+    SELECT stock_code, trade_date, round(mom_20, 6) AS mom_20, round(vol_20, 6) AS vol_20 FROM v WHERE mom_20 IS NOT NULL""")
+def pandas_factors(spark, d):
+    return rounded(market.factors_pandas(prices(spark, d)), "mom_20", "vol_20").select("stock_code", "trade_date", "mom_20", "vol_20")
+
+
+@query("ohlcv_rename", "SELECT lpad(CAST(l_suppkey AS VARCHAR), 6, '0') AS stock_code, CAST(l_shipdate AS DATE) AS trade_date, true AS no_open, CAST(floor(l_extendedprice) AS BIGINT) AS close_price, CAST(l_quantity AS BIGINT) AS volume, CASE WHEN l_linenumber <> 3 THEN CAST(l_discount AS DECIMAL(8,4)) END AS change_rate FROM lineitem")
+def ohlcv_rename(spark, d):
+    """A price table with Korean headers, some columns missing, some values not numbers."""
+    from ..sources import clean_prices
+
+    li = table(spark, d, "lineitem")
+    raw = li.select(F.col("l_suppkey").cast("string").alias("code"), F.col("l_shipdate").alias("날짜"), F.floor("l_extendedprice").alias("종가"), F.col("l_quantity").alias("거래량"), F.when(F.col("l_linenumber") == 3, F.lit("NaN")).otherwise(F.col("l_discount").cast("string")).alias("등락률"))
+    return clean_prices(raw, F.col("code")).select("stock_code", "trade_date", F.col("open_price").isNull().alias("no_open"), "close_price", "volume", "change_rate")
+
+
+@query("filing_pages", "SELECT lpad(CAST(o_orderkey AS VARCHAR), 14, '0') AS rcept_no, CAST(o_custkey AS VARCHAR) AS corp_code, strftime(o_orderdate, '%Y%m%d') AS rcept_dt FROM orders WHERE o_orderkey % 11 <> 0")
+def filing_pages(spark, d):
+    """A paged filing list, one answer for each day and one state; days without data give nothing."""
+    from ..sources import filings_from_pages
+
+    o = table(spark, d, "orders").withColumn("ok", F.col("o_orderkey") % 11 != 0)
+    row = F.struct(F.lpad(F.col("o_orderkey").cast("string"), 14, "0").alias("rcept_no"), F.col("o_custkey").cast("string").alias("corp_code"), F.date_format("o_orderdate", "yyyyMMdd").alias("rcept_dt"))
+    pages = o.groupBy("o_orderdate", "ok").agg(F.collect_list(row).alias("list")).select(F.to_json(F.struct(F.when(F.col("ok"), "000").otherwise("013").alias("status"), F.lit(1).alias("total_page"), "list")).alias("body"))
+    return filings_from_pages(pages).select("rcept_no", "corp_code", "rcept_dt")
+
+
+@query("price_series", f"""WITH {PRICES}, r AS (SELECT *, row_number() OVER (ORDER BY trade_date) AS rank, count(*) OVER () AS "of" FROM prices WHERE stock_code = 7 AND trade_date BETWEEN DATE '1994-01-01' AND DATE '1997-12-31')
+    SELECT trade_date, close_price, rank, "of", (SELECT round(arg_max(close_price, trade_date) / arg_min(close_price, trade_date) - 1, 6) FROM r) AS period_return FROM r WHERE "of" <= 250 OR rank <= 10 OR rank > "of" - 10""")
+def price_series(spark, d):
+    """What a client gets for one security's prices."""
+    from ..api import Engine
+
+    listed = filings(spark, d).withColumn("stock_code", F.col("corp_code").cast("string"))
+    got = Engine(spark, None, prices=prices(spark, d).withColumn("stock_code", F.col("stock_code").cast("string")), filings=listed).get_price_series("7", "1994-01-01", "1997-12-31")
+    total = rounded(got["summary"], "period_return").where("stock_code = '7'").select("period_return")
+    return got["prices"].join(F.broadcast(total)).select("trade_date", "close_price", "rank", "of", "period_return")  # one row on the right
 
 
 @query("length_between", "SELECT doc_id, length(text) AS chars FROM documents WHERE length(text) BETWEEN 1000 AND 20000")

@@ -8,7 +8,7 @@ from ..operators import evals as E
 from ..sources.views import table
 from .registry import query
 
-BOUNDS = [0.0, 1.0, 3.0, 5.0, 10.0, 25.0, 50.0, 100.0]
+BOUNDS = E.RESULT_BUCKETS
 BUCKETS = "h AS (SELECT event_type, le, count(*) FILTER (WHERE value <= le) AS n FROM events, (SELECT unnest([0.0, 1.0, 3.0, 5.0, 10.0, 25.0, 50.0, 100.0, 'inf'::DOUBLE]) AS le) GROUP BY 1, 2)"
 
 
@@ -39,11 +39,23 @@ def calls_by_status(spark, d):
     return e.agg(F.count("*").alias("n"), F.round(F.sum(F.round(F.col("value") * 100).cast("bigint")) / 100.0 / F.greatest(F.count("*"), F.lit(0.001)), 6).alias("mean_value"))
 
 
-@query("rate_5m", """SELECT event_type, w AS window_start, count(*) AS n, round(count(*) / 300.0, 6) AS rate FROM (SELECT event_type, unnest([date_trunc('minute', ts) - INTERVAL 1 MINUTE * k FOR k IN range(0, 5)]) AS w, ts FROM events) GROUP BY 1, 2""")
+@query("rate_5m", """SELECT event_type, w AS window_start, count(*) AS n, round(count(*) / 300.0, 6) AS rate FROM (SELECT event_type, unnest([time_bucket(INTERVAL 15 SECOND, ts) - INTERVAL 15 SECOND * k FOR k IN range(0, 20)]) AS w, ts FROM events) GROUP BY 1, 2""")
 def rate_5m(spark, d):
-    e = table(spark, d, "events").select("event_type", F.col("ts").cast("timestamp").alias("ts"))
-    out = e.groupBy("event_type", F.window("ts", "5 minutes", "1 minute")).agg(F.count("*").alias("n"))
-    return out.select("event_type", F.col("window.start").cast("timestamp_ntz").alias("window_start"), "n", F.round(F.col("n") / 300.0, 6).alias("rate"))
+    """The streaming operator on a table: windows of five minutes, one every 15 seconds."""
+    from ..streaming import rates
+
+    out = rates(table(spark, d, "events"), ["event_type"], slide="15 seconds")
+    return out.select("event_type", F.col("window_start").cast("timestamp_ntz").alias("window_start"), "n", F.round("rate", 6).alias("rate"))
+
+
+@query("counter_rate", """WITH s AS (SELECT event_type, ts, event_id % 5000 AS v, lag(event_id % 5000) OVER (PARTITION BY event_type ORDER BY ts, event_id) AS b FROM events),
+    t AS (SELECT event_type, sum(CASE WHEN v < b THEN v ELSE v - b END) AS increase, (max(epoch_us(ts)) - min(epoch_us(ts))) / 1e6 AS seconds FROM s GROUP BY 1)
+    SELECT event_type, CAST(increase AS BIGINT) AS increase, round(increase / seconds, 6) AS rate FROM t""")
+def counter_rate(spark, d):
+    """A counter that begins anew now and then."""
+    samples = table(spark, d, "events").select("event_type", F.struct("ts", "event_id").alias("at"), "ts", (F.col("event_id") % 5000).alias("v"))
+    out = E.counter_rate(samples, ["event_type"], "ts", "v", order="at")
+    return out.select("event_type", "increase", F.round("rate", 6).alias("rate"))
 
 
 @query("error_rate_by_segment", "SELECT source, count(*) AS n, round(avg(1.0 - quality), 6) AS error_rate FROM documents JOIN labels USING (doc_id) GROUP BY source")
@@ -77,12 +89,10 @@ def weighted_precision(spark, d):
     return E.weighted_precision(judged, docs.groupBy("lang").agg(F.count("*").alias("n")), "lang", "quality").withColumn("precision", F.round("precision", 6))
 
 
-@query("throughput", "SELECT lang, count(*) AS docs, CAST(sum(length(text)) AS BIGINT) AS chars, round(sum(length(text)) / 3600.0, 6) AS chars_per_s, round(sum(length(text)) / CAST(max(sum(length(text))) OVER () AS DOUBLE), 6) AS of_best FROM documents GROUP BY lang")
+@query("throughput", """WITH t AS (SELECT event_type, count(*) AS n, (max(epoch_us(ts)) - min(epoch_us(ts))) / 1e6 AS seconds FROM events GROUP BY 1), r AS (SELECT *, n / nullif(seconds, 0) AS per_second, 1000 * seconds / n AS ms_each FROM t)
+    SELECT event_type, n, round(per_second, 6) AS per_second, round(ms_each, 6) AS ms_each, round(per_second / max(per_second) OVER (), 6) AS of_best FROM r""")
 def throughput(spark, d):
-    from pyspark.sql import Window as W
-
-    g = table(spark, d, "documents").groupBy("lang").agg(F.count("*").alias("docs"), F.sum(F.length("text")).alias("chars"))
-    return g.select("lang", "docs", "chars", F.round(F.col("chars") / 3600.0, 6).alias("chars_per_s"), F.round(F.col("chars") / F.max("chars").over(W.partitionBy()), 6).alias("of_best"))
+    return E.throughput(table(spark, d, "events"), ["event_type"], "ts").select("event_type", "n", *(F.round(c, 6).alias(c) for c in ("per_second", "ms_each", "of_best")))
 
 
 @query("fold_counters", "SELECT count(*) AS total, count(*) FILTER (WHERE quality = 1) AS parsed, count(*) FILTER (WHERE quality IS NULL) AS misses FROM documents LEFT JOIN labels USING (doc_id)")

@@ -41,9 +41,15 @@ def canonical_names(spark, d):
     return raw.select(X.canonical_name(F.col("raw")).alias("canonical"), X.match_key(F.col("raw")).alias("key")).distinct()
 
 
-@query("keyword_or_like", "SELECT doc_id FROM documents WHERE text LIKE '%stupid%' OR text LIKE '%password%' OR text LIKE '%token%' OR text LIKE '%License%'")
+REPORTS = ["단일판매ㆍ공급계약체결", "주주총회소집결의", "유상증자결정", "회사합병결정", "사업보고서"]
+
+
+@query("keyword_or_like", f"""SELECT o_orderkey, report_nm FROM (SELECT o_orderkey, [{", ".join(f"'{r}'" for r in REPORTS)}][1 + o_orderkey % 5] AS report_nm FROM orders)
+    WHERE {" OR ".join(f"report_nm LIKE '%{k}%'" for k in forms.TARGET_KEYWORDS)}""")
 def keyword_or_like(spark, d):
-    return table(spark, d, "documents").where(F.col("text").rlike("stupid|password|token|License")).select("doc_id")
+    """Filings of the kinds that relations are taken from."""
+    named = table(spark, d, "orders").select("o_orderkey", F.get(F.array(*map(F.lit, REPORTS)), (F.col("o_orderkey") % 5).cast("int")).alias("report_nm"))
+    return forms.targets(named)
 
 
 @query("spaceless_ilike", "SELECT p_partkey, p_name FROM part WHERE replace(p_name, ' ', '') ILIKE '%REDRING%' OR replace(p_name, ' ', '') ILIKE '%bluebolt%'")
@@ -124,10 +130,23 @@ def parse_subsidiary(spark, d):
     return parsed(joined(spark, d), "단일판매ㆍ공급계약체결", text).select("o_orderkey", "subject", "predicate", "object")
 
 
-@query("parse_negative", "SELECT 0 AS n")
+@query("parse_negative", f"SELECT o_orderkey, c_name AS object {SOURCE} WHERE o_orderkey % 4 = 0")
 def parse_negative(spark, d):
-    text = lines_of("3. 계약상대", F.col("c_name"))
-    return parsed(joined(spark, d), "단일판매ㆍ공급계약해지", text).agg(F.count("*").cast("int").alias("n"))
+    """Contracts, of which three in four are ended, cancelled or sold: only the others give relations."""
+    rows = joined(spark, d)
+    report = F.get(F.array(*map(F.lit, ["단일판매ㆍ공급계약체결", "단일판매ㆍ공급계약해지", "공급계약 취소", "공급계약 처분"])), (F.col("o_orderkey") % 4).cast("int"))
+    docs = rows.select("o_orderkey", F.lit("Filer").alias("corp_name"), report.alias("report_nm"), lines_of("3. 계약상대", F.col("c_name")).alias("doc_text"))
+    return forms.parse_filings(docs).select("o_orderkey", "object")
+
+
+@query("parse_mixed", f"""SELECT o_orderkey, ['SUPPLIES_TO', 'GUARANTEES_DEBT_OF', 'INVESTS_IN', 'RELATED_PARTY_OF'][1 + o_orderkey % 4] AS predicate, CASE WHEN o_orderkey % 4 = 3 THEN c_name ELSE 'Filer' END AS subject, CASE WHEN o_orderkey % 4 = 3 THEN 'Filer' ELSE c_name END AS object {SOURCE}""")
+def parse_mixed(spark, d):
+    """Filings of all four forms in one table, read in one pass."""
+    rows, kind = joined(spark, d), (F.col("o_orderkey") % 4).cast("int")
+    report = F.get(F.array(*map(F.lit, ["단일판매ㆍ공급계약체결", "타인에대한채무보증결정", "타법인주식및출자증권취득결정", "최대주주등소유주식변동신고서"])), kind)
+    texts = [lines_of("3. 계약상대", F.col("c_name")), lines_of("1. 채무자", F.col("c_name")), lines_of("1. 발행회사", "회사명", F.col("c_name")), lines_of("1. 개인별 세부변동사항", "성명", F.col("c_name"), "최대주주 및 발행회사와의 관계", "친인척")]
+    docs = rows.select("o_orderkey", F.lit("Filer").alias("corp_name"), report.alias("report_nm"), F.get(F.array(*texts), kind).alias("doc_text"))
+    return forms.parse_filings(docs).select("o_orderkey", "predicate", "subject", "object")
 
 
 @query("parse_correction", f"SELECT o_orderkey, c_name AS object {SOURCE}")
@@ -142,10 +161,13 @@ def split_companies(spark, d):
     return table(spark, d, "customer").select("c_custkey", F.get(names, F.lit(0)).alias("first"), F.get(names, F.lit(1)).alias("second"), F.size(names).alias("n"))
 
 
-@query("evidence_window", """WITH f AS (SELECT doc_id, trim(regexp_replace(text, '\\s+', ' ', 'g')) AS t FROM documents), p AS (SELECT *, instr(t, 'stupid') AS pos FROM f)
-    SELECT doc_id, CASE WHEN pos > 0 THEN substring(t, greatest(1, pos - 40), least(length(t) + 1, pos + 46) - greatest(1, pos - 40)) ELSE left(t, 80) END AS shown, pos > 0 AS found FROM p""")
+@query("evidence_window", """WITH f AS (SELECT doc_id, trim(regexp_replace(text, '\\s+', ' ', 'g')) AS t FROM documents), p AS (SELECT *, instr(t, 'the') AS x, instr(t, 'sti') AS y FROM f),
+    s AS (SELECT *, greatest(1, x - 40) AS xa, least(length(t) + 1, x + 43) AS xb, greatest(1, y - 40) AS ya, least(length(t) + 1, y + 43) AS yb FROM p)
+    SELECT doc_id, CASE WHEN x = 0 AND y = 0 THEN left(t, 80) WHEN y = 0 THEN substring(t, xa, xb - xa) WHEN x = 0 THEN substring(t, ya, yb - ya)
+      WHEN greatest(xa, ya) <= least(xb, yb) THEN substring(t, least(xa, ya), greatest(xb, yb) - least(xa, ya)) WHEN xa < ya THEN substring(t, xa, xb - xa) || ' […] ' || substring(t, ya, yb - ya) ELSE substring(t, ya, yb - ya) || ' […] ' || substring(t, xa, xb - xa) END AS shown, x > 0 OR y > 0 AS found FROM s""")
 def evidence_window(spark, d):
-    w = X.evidence_window(F.col("text"), F.array(F.lit("stupid")), 40, 80)
+    """The surroundings of two names, which overlap in some texts and are apart in others."""
+    w = X.evidence_window(F.col("text"), F.array(F.lit("the"), F.lit("sti")), 40, 80)
     return table(spark, d, "documents").select("doc_id", w["text"].alias("shown"), w["found"].alias("found"))
 
 
@@ -155,9 +177,12 @@ def shorten_and_format(spark, d):
     return table(spark, d, "documents").select("doc_id", X.shorten(F.col("text")).alias("body"), X.dashed_date(raw).alias("day"))
 
 
-@query("decode_bytes", "SELECT doc_id, text FROM documents")
+@query("decode_bytes", "SELECT doc_id, CASE doc_id % 3 WHEN 0 THEN text WHEN 1 THEN doc_id || ' 가온' ELSE doc_id || ' ' || chr(65533) || chr(65533) || '!' END AS text FROM documents")
 def decode_bytes(spark, d):
-    return table(spark, d, "documents").select("doc_id", X.decode_bytes(F.col("text").cast("binary")).alias("text"))
+    """UTF-8, cp949, and bytes that are neither."""
+    number, kind = F.concat(F.col("doc_id").cast("string"), F.lit(" ")).cast("binary"), F.col("doc_id") % 3
+    raw = F.when(kind == 0, F.col("text").cast("binary")).when(kind == 1, F.concat(number, F.unhex(F.lit("B0A1BFC2")))).otherwise(F.concat(number, F.unhex(F.lit("FFFF21"))))
+    return table(spark, d, "documents").select("doc_id", X.decode_bytes(raw).alias("text"))
 
 
 @query("store_triples", f"""SELECT o_orderkey AS rcept_no, left(repeat(c_name, 15), 200) AS subject_name, 'SUPPLIES_TO' AS predicate, c_mktsegment AS object_name,
@@ -189,5 +214,5 @@ def like_parameter(spark, d):
 @query("strict_zip", "SELECT p_partkey, unnest(string_split(p_name, ' ')) AS word, unnest(range(1, len(string_split(p_name, ' ')) + 1)) AS pos FROM part")
 def strict_zip(spark, d):
     words = F.split("p_name", " ")
-    zipped = F.arrays_zip(words.alias("word"), F.sequence(F.lit(1).cast("long"), F.size(words).cast("long")).alias("pos"))
+    zipped = X.zip_strict(words, F.sequence(F.lit(1).cast("long"), F.size(words).cast("long")), ("word", "pos"))
     return table(spark, d, "part").select("p_partkey", F.explode(zipped).alias("z")).select("p_partkey", "z.word", "z.pos")

@@ -67,6 +67,24 @@ def retrieval_eval(spark, d):
     return out.select("type", F.round("hit_at_k", 6).alias("hit_at_k"), F.round("recall", 6).alias("recall"), "n")
 
 
+@query("retrieval_modes", f"""WITH {SCORED}, r AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, id) AS rank FROM s),
+    f AS (SELECT query_id, ql, CASE WHEN ql < 5 THEN 'multi_hop' ELSE 'single_hop' END AS type, max(CAST(label = ql AS INTEGER)) AS v1, max(CAST(label = (ql + 1) % 10 AS INTEGER)) AS v2, CAST(ql % 2 = 0 AS INTEGER) AS g FROM r WHERE rank <= 5 GROUP BY 1, 2),
+    m AS (SELECT type, 'vector' AS mode, v1, v2 FROM f UNION ALL SELECT type, 'graph', g, g FROM f UNION ALL SELECT type, 'hybrid', greatest(v1, g), greatest(v2, g) FROM f)
+    SELECT type, mode, round(avg(greatest(v1, v2)), 6) AS hit_at_k, round(avg((v1 + v2) / 2.0), 6) AS recall, count(*) AS n FROM (SELECT * FROM m UNION ALL SELECT 'all', mode, v1, v2 FROM m) GROUP BY 1, 2""")
+def retrieval_modes(spark, d):
+    """Questions about a topic and the one after it, by vectors, by a graph in which every other topic has an edge to the next, and by both."""
+    from ..operators import graph as G
+
+    name = lambda x: F.concat(F.lit("topic "), x.cast("string"), F.lit(" end"))
+    labels = chunk_vectors(spark, d).select("vec_id", "label")
+    edges = labels.select("label").distinct().where("label % 2 = 0").select(F.col("label").cast("string").alias("eid"), name(F.col("label")).alias("src"), F.lit("SUPPLIES_TO").alias("rel"), name((F.col("label") + 1) % 10).alias("dst"), F.lit("r").alias("rcept_no"))
+    q = labels.where("vec_id % 50 = 0").select(F.col("vec_id").alias("query_id"), F.when(F.col("label") < 5, "multi_hop").otherwise("single_hop").alias("type"), F.array(name(F.col("label")), name((F.col("label") + 1) % 10)).alias("gold"), "label")
+    seeds = q.where("label % 2 = 0").select("query_id", name(F.col("label")).alias("name"))
+    near = nearest(spark, d).join(labels, F.col("id") == F.col("vec_id")).select("query_id", F.col("rank").alias("pos"), name(F.col("label")).alias("text"))
+    scored = E.score_modes(q.drop("label"), {"vector": near, "graph": G.search_each(edges, seeds, "query_id", 1).select("query_id", "pos", "text")}, "query_id")
+    return E.summarise(scored, ["type", "mode"]).select("type", "mode", F.round("hit_at_k", 6).alias("hit_at_k"), F.round("recall", 6).alias("recall"), "n")
+
+
 @query("embed_chunks")
 def embed_chunks(spark, d):
     """Chunks of every document with their hashed vectors."""

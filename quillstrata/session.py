@@ -41,10 +41,14 @@ def session(name: str = "quillstrata", master: str | None = None, shuffle_partit
 
 
 def checkpoints(spark: SparkSession) -> None:
-    """A checkpoint folder: the cluster's spark.checkpoint.dir, or one of our own where that is unset."""
+    """A checkpoint folder: the cluster's spark.checkpoint.dir; where that is unset and all runs on one machine, a temporary one. On a cluster without the setting it is an error."""
     sc = spark.sparkContext
-    if not sc._jsc.sc().getCheckpointDir().isDefined():
-        sc.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="quillstrata-checkpoint-"))
+    if sc._jsc.sc().getCheckpointDir().isDefined():
+        return
+    folder = spark.conf.get("spark.checkpoint.dir", None)
+    if not folder and not sc.master.startswith("local"):
+        raise RuntimeError("spark.checkpoint.dir: a folder that the driver and all executors share")
+    sc.setCheckpointDir(folder or tempfile.mkdtemp(prefix="quillstrata-checkpoint-"))
 
 
 def ship(spark: SparkSession | None = None) -> None:

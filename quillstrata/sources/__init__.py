@@ -8,7 +8,9 @@ import time
 import urllib.parse
 import urllib.request
 import zipfile
-from collections.abc import Iterator
+import zlib
+from collections.abc import Callable, Iterator
+from xml.etree import ElementTree
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -36,21 +38,26 @@ def with_retries(call, attempts: int = 3, most_wait: float = 10.0, sleep=time.sl
             sleep(min(most_wait, 2.0**k))
 
 
-def _get(url: str, params: dict) -> dict:
-    with urllib.request.urlopen(f"{url}?{urllib.parse.urlencode(params)}", timeout=30) as r:
-        return json.loads(r.read())
+def get_bytes(url: str, params: dict, timeout: int = 30) -> bytes:
+    """GET with up to three attempts; answers of errors, too, are attempts that failed."""
+
+    def call() -> bytes:
+        with urllib.request.urlopen(f"{url}?{urllib.parse.urlencode(params)}", timeout=timeout) as r:
+            return r.read()
+
+    return with_retries(call)
 
 
 def pages_of(fetch, params: dict) -> Iterator[dict]:
-    """Rows of all pages: fetch(params with page_no) gives {status, total_page, message, list}. No data gives nothing; other states are errors."""
+    """Rows of all pages: fetch(params with page_no) gives {status, total_page, message, list}. No data, or a page without a list, gives nothing; other states are errors."""
     page, total = 1, 1
     while page <= total:
         got = fetch(params | {"page_no": page, "page_count": 100})
-        if got["status"] == NO_DATA:
+        if got.get("status", "") == NO_DATA:
             return
-        if got["status"] != OK:
-            raise RuntimeError(f"filing list: {got['status']} {got.get('message', '')}")
-        yield from got["list"]
+        if got.get("status", "") != OK:
+            raise RuntimeError(f"filing list: {got.get('status', '')} {got.get('message', '')}")
+        yield from got.get("list") or []
         total = int(got.get("total_page", 1))
         page += 1
 
@@ -61,25 +68,32 @@ class _Part(InputPartition):
 
 
 class FilingReader(DataSourceReader):
-    """One partition for each company and filing type; pages are read within it."""
+    """One partition for each company and filing type; pages are read within it.
+
+    Options: url, begin, end, corp_codes and types (lists with commas); credential and credential_name, the parameter that carries it; and
+    begin_name, end_name, corp_name, type_name where a service calls these parameters something else."""
 
     def __init__(self, options: dict):
         self.url = options["url"]
-        self.base = {k: options[k] for k in ("begin", "end") if k in options}
+        named = lambda k, usual: options.get(f"{k}_name") or usual
+        self.base = {named(k, k): options[k] for k in ("begin", "end") if k in options}
+        if options.get("credential"):
+            self.base[named("credential", "key")] = options["credential"]
+        self.corp, self.type = named("corp", "corp_code"), named("type", "type")
         self.corps = (options.get("corp_codes") or "").split(",")
         self.types = (options.get("types") or "").split(",")
 
     def partitions(self) -> list[InputPartition]:
-        return [_Part(self.base | ({"corp_code": c} if c else {}) | ({"type": t} if t else {})) for c in self.corps for t in self.types]
+        return [_Part(self.base | ({self.corp: c} if c else {}) | ({self.type: t} if t else {})) for c in self.corps for t in self.types]
 
     def read(self, partition):
         names = [x.split(" ")[0] for x in FILING.split(", ")]
         if self.url.startswith("file:"):  # recorded answers: a JSON list of pages
             with open(self.url[5:], encoding="utf-8") as f:
                 recorded = json.load(f)
-            fetch = lambda p: recorded[p["page_no"] - 1]
+            fetch = lambda p: recorded[p["page_no"] - 1] if p["page_no"] <= len(recorded) else {"status": NO_DATA}
         else:
-            fetch = lambda p: with_retries(lambda: _get(self.url, p))
+            fetch = lambda p: json.loads(get_bytes(self.url, p))
         for row in pages_of(fetch, partition.params):
             yield tuple(row.get(n) for n in names)
 
@@ -113,32 +127,87 @@ def filings_from_pages(pages: DataFrame, body: str = "body") -> DataFrame:
     return got.select(F.explode(rows).alias("f")).select("f.*")
 
 
+def _records(raw: bytes) -> Iterator[tuple]:
+    """The master's records, from XML or a zip archive whose first member is it."""
+    if raw[:2] == b"PK":
+        with zipfile.ZipFile(io.BytesIO(raw)) as z:
+            raw = z.read(z.namelist()[0])
+    for _, el in ElementTree.iterparse(io.BytesIO(raw)):
+        if el.tag == "list":
+            yield tuple(el.findtext(c) for c in ("corp_code", "corp_name", "stock_code", "modify_date"))
+            el.clear()
+
+
 def read_company_master(spark: SparkSession, path: str) -> DataFrame:
-    """Company master XML; blank codes are null, of several records of one company the last counts."""
-    rows = spark.read.format("xml").option("rowTag", "list").schema("corp_code string, corp_name string, stock_code string, modify_date string").load(path)
-    rows = rows.select(*(strip(F.col(c)).alias(c) for c in rows.columns)).withColumn("stock_code", F.nullif(F.col("stock_code"), F.lit("")))
-    last = rows.withColumn("_at", F.monotonically_increasing_id())
-    return last.groupBy("corp_code").agg(F.max_by(F.struct("corp_name", "stock_code", "modify_date"), "_at").alias("r")).select("corp_code", "r.*").where(F.length("corp_code") == 8)
+    """Company master, XML or zipped XML; blank codes are null, of several records of one company the last in the file counts. Company codes that aren't 8 characters long are an error."""
+    ship(spark)
+    files = spark.read.format("binaryFile").load(path).select("path", "content")
+
+    def parse(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for part in parts:
+            for name, content in part.itertuples(index=False):
+                rows = [(name, at, *r) for at, r in enumerate(_records(content))]
+                for k in range(0, len(rows), 10_000):
+                    yield pd.DataFrame(rows[k : k + 10_000], columns=["path", "at", "corp_code", "corp_name", "stock_code", "modify_date"])
+
+    rows = files.mapInPandas(parse, "path string, at long, corp_code string, corp_name string, stock_code string, modify_date string")
+    rows = rows.select("path", "at", *(strip(F.col(c)).alias(c) for c in ("corp_code", "corp_name", "stock_code", "modify_date")))
+    rows = rows.withColumns({"stock_code": F.nullif(F.col("stock_code"), F.lit("")), "corp_code": F.coalesce("corp_code", F.lit(""))})
+    last = rows.groupBy("corp_code").agg(F.max_by(F.struct("corp_name", "stock_code", "modify_date"), F.struct("path", "at")).alias("r"))
+    code = F.when(F.length("corp_code") == 8, F.col("corp_code")).otherwise(F.raise_error(F.concat(F.lit("company code of the master: "), "corp_code")))
+    return last.select(code.alias("corp_code"), "r.*")
+
+
+def unzipped(number: str, content: bytes) -> tuple[bytes | None, str | None]:
+    """(document, error) of an archive: the member that begins with the number, else the largest; none gives an empty document. What can't be read gives its reason, or its first 300 bytes."""
+    try:
+        with zipfile.ZipFile(io.BytesIO(content)) as z:
+            own = [i for i in z.infolist() if i.filename.startswith(number)] or sorted(z.infolist(), key=lambda i: -i.file_size)
+            return (z.read(own[0]) if own else b""), None
+    except zipfile.BadZipFile:
+        return None, content[:300].decode("utf-8", "replace")
+    except (ValueError, RuntimeError, NotImplementedError, EOFError, OSError, zlib.error) as e:  # damaged, encrypted or unknown members
+        return None, f"{type(e).__name__}: {e}"
+
+
+_DOCUMENT = "rcept_no string, raw binary, error string"
 
 
 def read_documents(spark: SparkSession, path: str) -> DataFrame:
-    """Zipped documents to (rcept_no, raw, error): the member that begins with the number in the archive's name, else the largest; broken archives give the first 300 bytes as an error."""
+    """Zipped documents to (rcept_no, raw, error); the number is in the archive's name. Archives that can't be read give a row with an error."""
+    ship(spark)
     files = spark.read.format("binaryFile").load(path).select(F.regexp_extract("path", r"([0-9A-Za-z_]+)\.[^./]*$", 1).alias("rcept_no"), "content")
 
     def unzip(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for part in parts:
-            rows = []
-            for number, content in part.itertuples(index=False):
+            yield pd.DataFrame([(n, *unzipped(n, c)) for n, c in part.itertuples(index=False)], columns=["rcept_no", "raw", "error"])
+
+    return files.mapInPandas(unzip, _DOCUMENT)
+
+
+def document_service(url: str, credential: str, credential_name: str = "key", number_name: str = "rcept_no") -> Callable[[str], bytes]:
+    """fetch(number) of a service that gives one document's archive."""
+    return lambda number: get_bytes(url, {credential_name: credential, number_name: number})
+
+
+def fetch_documents(spark: SparkSession, numbers: DataFrame, fetch: Callable[[str], bytes], pause: float = 0.2) -> DataFrame:
+    """(rcept_no, raw, error) of the numbers (rcept_no), by fetch(number). A document that fails gives a row with an error and the others go on.
+
+    Calls run on the executors, one after another within a partition, and once only: what they gave is checkpointed."""
+    ship(spark)
+    checkpoints(spark)
+
+    def call(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for part in parts:
+            for number in part["rcept_no"]:
                 try:
-                    with zipfile.ZipFile(io.BytesIO(content)) as z:
-                        own = [i for i in z.infolist() if i.filename.startswith(number)]
-                        chosen = own[0] if own else max(z.infolist(), key=lambda i: i.file_size)
-                        rows.append((number, z.read(chosen), None))
-                except (zipfile.BadZipFile, ValueError):
-                    rows.append((number, None, content[:300].decode("utf-8", "replace")))
-            yield pd.DataFrame(rows, columns=["rcept_no", "raw", "error"])
-
-    return files.mapInPandas(unzip, "rcept_no string, raw binary, error string")
+                    row = (number, *unzipped(number, fetch(number)))
+                except Exception as e:
+                    row = (number, None, str(e) or type(e).__name__)
+                yield pd.DataFrame([row], columns=["rcept_no", "raw", "error"])
+                time.sleep(pause)
+
+    return numbers.select("rcept_no").mapInPandas(call, _DOCUMENT).checkpoint()
 
 
 def clean_prices(raw: DataFrame, stock_code: str | Column) -> DataFrame:

@@ -79,3 +79,28 @@ def test_relations(spark, tmp_path):
     assert D.extract_relations(store) == 1 and D.extract_relations(store) == 0
     r = store.read("kg_triple", D.TRIPLE).first()
     assert (r["subject_name"], r["predicate"], r["object_name"], r["props_json"]) == ("가온", "SUPPLIES_TO", "나래", "{}")
+
+
+def test_replaced_tables_are_whole(spark, tmp_path):
+    """A version that was not finished is not read; the last but one is kept."""
+    import os
+
+    store = D.Store(spark, str(tmp_path))
+    assert store.read("corp", D.CORP).count() == 0
+    for k in (1, 2, 3):
+        store.replace("corp", spark.range(k).selectExpr("cast(id as string) AS corp_code", "'' AS corp_name", "'' AS stock_code", "'' AS modify_date", "true AS in_universe"))
+        assert store.read("corp", D.CORP).count() == k
+    os.mkdir(tmp_path / "corp" / "v4")
+    assert store.read("corp", D.CORP).count() == 3 and sorted(os.listdir(tmp_path / "corp")) == ["v2", "v3", "v4"]
+
+
+def test_graph_and_chunks_of_stored_filings(spark, tmp_path):
+    store = D.Store(spark, str(tmp_path))
+    text = "3. 계약상대\n(주)나래\n계약금액(원)\n1,000"
+    store.append("filing", spark.createDataFrame([(f"{k:014}", "1", "가온", "000010", "단일판매ㆍ공급계약체결", "20260101", None, None, "{}", text if k < 2 else None, None) for k in range(3)], D.FILING))
+    store.append("corp", spark.createDataFrame([("1", "주식회사 가온", "000010", "x", True)], D.CORP))
+    assert D.extract_relations(store) == 2 and D.extract_relations(store) == 0
+    assert D.load_relations(store) == (2, 2)
+    edge = spark.read.parquet(store.path("graph_edge")).first()
+    assert (edge["src"], edge["dst"], int(edge["amount_krw"])) == ("가온", "나래", 1000)
+    assert D.embed_filings(store) == 2 and D.embed_filings(store) == 0

@@ -71,10 +71,71 @@ def test_link_takes_the_longest_names(spark):
 def test_edges_and_nodes(spark):
     t = spark.createDataFrame([(1, "(주)A", "SUPPLIES_TO", "B", "r1", 5), (2, "(주)A", "SUPPLIES_TO", "B", "r1", None), (3, "A", "OFFICER_OF", "B", "r2", None), (4, "A", "OFFICER_OF", "B", "r1", None)], "triple_id int, subject string, predicate string, object string, rcept_no string, amount int")
     assert rows(graph.nodes(t), "name") == [("A", ["(주)A", "A"]), ("B", ["B"])]
-    assert rows(graph.event_edges(t, "triple_id", ["amount"])) == [("(주)A", "SUPPLIES_TO", "B", "r1", 5, 2)]
+    assert rows(graph.event_edges(t, "triple_id", ["amount"])) == [("A", "SUPPLIES_TO", "B", "r1", 5, 2)]
     assert rows(graph.state_edges(t, ["rcept_no", "triple_id"])) == [("A", "OFFICER_OF", "B", "r1", 4, 2)]
 
 
+def test_load_graph(spark):
+    """Spellings meet in one node, events are kept for each filing with the last known values, states once with the first evidence; followed companies are there without relations."""
+    t = [(1, "(주)A", "SUPPLIES_TO", " B  Inc.", "r1", 5, None), (2, "A", "SUPPLIES_TO", "B", "r1", None, "n"), (3, "A Co., Ltd.", "SUPPLIES_TO", "B", "r2", 7, None), (5, "A", "SUBSIDIARY_OF", "B", "r1", 9, "x"), (4, "㈜A", "SUBSIDIARY_OF", "B", "r9", None, None), (6, None, "SUPPLIES_TO", "B", "r1", 1, None)]
+    triples = spark.createDataFrame(t, "triple_id int, subject string, predicate string, object string, rcept_no string, amount int, note string")
+    companies = spark.createDataFrame([("1", "주식회사 A", "000010", True), ("2", "C", "000020", True), ("3", "D", None, True), ("4", "E", "000040", False)], "corp_code string, corp_name string, stock_code string, in_universe boolean")
+    nodes, edges = graph.load_graph(triples, companies, props=("amount", "note"))
+    assert rows(nodes.select("name", "stock_code", "in_universe", F.size("aliases")), "name") == [("A", "000010", True, 5), ("B", None, False, 2), ("C", "000020", True, 1)]
+    assert rows(edges.drop("eid"), "rel", "rcept_no") == [("A", "SUBSIDIARY_OF", "B", "r9", None, None, 2), ("A", "SUPPLIES_TO", "B", "r1", 5, "n", 2), ("A", "SUPPLIES_TO", "B", "r2", 7, None, 1)]
+    assert edges.select("eid").distinct().count() == 3
+    found = graph.search(edges, spark.createDataFrame([("A",)], "name string"), 1)
+    assert [r["text"] for r in found.collect()] == ["A -[SUPPLIES_TO]-> B", "A -[SUBSIDIARY_OF]-> B"]
+
+
+def test_link_equals_brute_force(spark):
+    names = ["Gam", "Ga", "Gamma Ray", "Al pha", "Alphabet", "B", "(주) 가온", "가온전선", "na"]
+    asked = ["who owns gam?", "Gamma", "is Alpha there", "가온 (주)", "", "Ga", "banana"]
+    bare = lambda x: "".join(c for c in x if not c.isspace() and c not in "()")
+    want = {(i, n) for i, q in enumerate(asked) for n in names if len(bare(n)) >= 2 and (bare(n) in bare(q) or (len(bare(n)) >= 4 and bare(n)[:4] in bare(q)))}
+    df = spark.createDataFrame(list(enumerate(asked)), "id int, question string")
+    got = [(r["id"], r["name"]) for r in graph.link(df, spark.createDataFrame([(n,) for n in names], "name string")).collect()]
+    assert len(got) == len(want) and set(got) == want
+    assert graph.link(df, spark.createDataFrame([("B",)], "name string")).count() == 0
+    assert "NestedLoop" not in graph.link(df, spark.createDataFrame([("Gamma",)], "name string"))._jdf.queryExecution().executedPlan().toString()
+
+
+def test_connections_and_relations(spark):
+    e = [("e1", "Alpha Co", "SUPPLIES_TO", "Hub", "r1"), ("e2", "Beta", "SUPPLIES_TO", "Hub", "r2"), ("e3", "Alpha Co", "OWNS_STAKE", "Gamma", "r3"), ("e4", "Delta", "SUPPLIES_TO", "Other", "r4")]
+    edges = spark.createDataFrame(e, "eid string, src string, rel string, dst string, rcept_no string")
+    engine = Engine(spark, edges, universe=spark.createDataFrame([("1", "Nobody", "x")], "stock_code string, corp_name string, sector string"))
+    assert [r["text"] for r in engine.get_company_relations("Alpha", 1).collect()] == ["Alpha Co -[SUPPLIES_TO]-> Hub", "Alpha Co -[OWNS_STAKE]-> Gamma"]
+    assert "Alpha Co -[SUPPLIES_TO]-> Hub <-[SUPPLIES_TO]- Beta" in [r["text"] for r in engine.find_connection("AlphaCo", "Beta").collect()]
+    assert engine.find_connection("Alpha", "Delta").count() == 0
+    shared = graph.shared_partners(spark.createDataFrame([(["Alpha Co", "Hub"],), (["Hub", "B eta"],), (["Alpha Co", "X"],)], "entities array<string>"), "AlphaCo", "Beta")
+    assert rows(shared) == [("Hub",)]
+    assert rows(engine.graph_overview())[0] == (6, "Alpha Co")  # nobody followed is in the graph
+    assert as_text(engine.find_connection("Alpha", "Delta"), "text", "no connection") == "no connection"
+
+
+def test_three_ways_of_searching(spark, edges):
+    model = vectors.hashing_model(64)
+    chunks = spark.createDataFrame([(i, "n", t, [float(x) for x in model([t])[0]]) for i, t in enumerate(["Zeta makes steel", "a bank loan"])], "chunk_id int, corp_name string, content string, embedding array<double>")
+    named = edges.withColumns({c: F.concat(F.lit("Firm"), c) for c in ("src", "dst")})
+    q = spark.createDataFrame([("1", "multi_hop", "whom does FirmA supply", ["FirmB"]), ("2", "single_hop", "who makes steel", ["Zeta"])], "id string, type string, question string, gold array<string>")
+    got = {(r["type"], r["mode"]): (r["hit_at_k"], r["n"]) for r in Engine(spark, named, chunks).evaluate(q, 1).collect()}
+    assert got == {(t, m): (x, n) for t, n, hits in (("multi_hop", 1, (0, 1, 1)), ("single_hop", 1, (1, 0, 1)), ("all", 2, (0.5, 0.5, 1))) for m, x in zip(("vector", "graph", "hybrid"), hits)}
+
+
+def test_counter_rate(spark):
+    s = spark.createDataFrame([("a", datetime.datetime(2024, 1, 1, 0, 0, k), v) for k, v in enumerate([5, 9, 2, 4])] + [("b", datetime.datetime(2024, 1, 1), 3)], "k string, ts timestamp, v int")
+    assert rows(evals.counter_rate(s, ["k"], "ts", "v"), "k") == [("a", 8, 3.0, 8 / 3), ("b", 0, 0.0, None)]
+
+
+def test_strict_zip(spark):
+    from quillstrata.functions.text import zip_strict
+
+    df = spark.createDataFrame([([1, 2], ["a", "b"]), (None, ["a"])], "a array<int>, b array<string>")
+    assert [r[0] and [tuple(x) for x in r[0]] for r in df.select(zip_strict(F.col("a"), F.col("b"), ("x", "y"))).collect()] == [[(1, "a"), (2, "b")], None]
+    with pytest.raises(Exception, match="arrays of 1 and 2"):
+        spark.createDataFrame([([1], ["a", "b"])], "a array<int>, b array<string>").select(zip_strict(F.col("a"), F.col("b"), ("x", "y"))).collect()
+
+
 def test_top_k_is_exact(spark):
     rng = np.random.default_rng(2)
     v = rng.normal(size=(200, 8))
@@ -126,6 +187,11 @@ def test_filing_source(spark, tmp_path):
     assert list(S.pages_of(lambda p: {"status": "013"}, {})) == []
     with pytest.raises(RuntimeError):
         list(S.pages_of(lambda p: {"status": "020", "message": "limit"}, {}))
+    assert list(S.pages_of(lambda p: {"status": "000"}, {})) == []
+    (tmp_path / "short.json").write_text(json.dumps([page(1)]), encoding="utf-8")  # says two pages, has one
+    assert S.read_filing_list(spark, f"file:{tmp_path}/short.json").count() == 1
+    options = {"url": "u", "begin": "20260101", "end": "20260131", "corp_codes": "1,2", "types": "I", "credential": "s", "credential_name": "crtfc", "begin_name": "bgn", "end_name": "fin", "type_name": "ty"}
+    assert [p.params for p in S.FilingReader(options).partitions()] == [{"bgn": "20260101", "fin": "20260131", "crtfc": "s", "corp_code": c, "ty": "I"} for c in "12"]
     pages = spark.createDataFrame([(json.dumps(page(3)),), ('{"status":"013"}',)], "body string")
     assert [r["rcept_no"] for r in S.filings_from_pages(pages).collect()] == ["00000000000003"]
 
@@ -148,6 +214,46 @@ def test_company_master(spark, tmp_path):
     assert rows(S.read_company_master(spark, f"{tmp_path}/c.xml"), "corp_code") == [("00000001", "new", "000010", "20260101"), ("00000002", "x", None, "20260101")]
 
 
+def test_zipped_company_master(spark, tmp_path):
+    rec = "<list><corp_code> {} </corp_code><corp_name>{}</corp_name><stock_code> </stock_code></list>"
+    with zipfile.ZipFile(tmp_path / "c.zip", "w") as z:
+        z.writestr("C.xml", "<result>" + "".join(rec.format(f"{k % 50:08}", f"n{k}") for k in range(120)) + "</result>")
+    got = {r["corp_code"]: r["corp_name"] for r in S.read_company_master(spark, f"{tmp_path}/c.zip").collect()}
+    assert got == {f"{k % 50:08}": f"n{k}" for k in range(120)}
+    (tmp_path / "bad.xml").write_text("<result>" + rec.format("123", "x") + "</result>", encoding="utf-8")
+    with pytest.raises(Exception, match="company code of the master: 123"):
+        S.read_company_master(spark, f"{tmp_path}/bad.xml").collect()
+
+
+def test_documents_by_number(spark, tmp_path):
+    def fetch(number):
+        import io
+        import zipfile as zf
+
+        if number == "3":
+            raise OSError("no answer")
+        out = io.BytesIO()
+        with zf.ZipFile(out, "w") as z:
+            if number != "2":
+                z.writestr("a.xml", "long" * 9)
+                z.writestr(f"{number}.xml", "own")
+        return b"<status>" if number == "4" else out.getvalue()
+
+    got = S.fetch_documents(spark, spark.createDataFrame([(x,) for x in "1234"], "rcept_no string"), fetch, pause=0)
+    assert [(r["rcept_no"], r["raw"] if r["raw"] is None else bytes(r["raw"]), r["error"]) for r in got.orderBy("rcept_no").collect()] == [("1", b"own", None), ("2", b"", None), ("3", None, "no answer"), ("4", None, "<status>")]
+    good = bytearray(fetch("1"))
+    at = good.index(b"own")
+    good[at : at + 3] = b"xxx"
+    assert S.unzipped("1", bytes(good))[0] is None and S.unzipped("1", bytes(good))[1].startswith("Bad") or S.unzipped("1", bytes(good))[1]
+
+
+def test_json_and_jdbc(spark, tmp_path):
+    S.write_json(spark.range(3), f"{tmp_path}/json")
+    assert spark.read.json(f"{tmp_path}/json").count() == 3
+    with pytest.raises(Exception, match="(?i)driver"):  # no database here: the call gets as far as looking for its driver
+        S.read_jdbc(spark, "jdbc:none://x", "t", "id", 0, 9, 3)
+
+
 def test_documents(spark, tmp_path):
     with zipfile.ZipFile(tmp_path / "20260101000001.zip", "w") as z:
         z.writestr("big.xml", "x" * 99)
