@@ -20,6 +20,7 @@ scores. A label row with a null id or null label is not used; an id with several
 
 from __future__ import annotations
 
+import ctypes
 from collections.abc import Iterator
 
 import numpy as np
@@ -337,8 +338,16 @@ class Machine:
         return 1 / (1 + np.exp(-(self.slope * best_words(texts, self.table) + self.shift)))
 
 
+def give_back() -> None:
+    """Returns freed memory to the system, where the C library can."""
+    try:
+        ctypes.CDLL(None).malloc_trim(0)
+    except (AttributeError, OSError):
+        pass
+
+
 def train(docs: DataFrame, labels: DataFrame, learn: Column, id_col: str, text_col: str, label_col: str, most_toxic: int, most_clean: int, most_chars: int) -> Machine:
-    """Fits the machine on a bounded sample; at most (most_toxic + most_clean) * most_chars code points come to the driver."""
+    """Fits the machine on a bounded sample, in one task: at most (most_toxic + most_clean) * most_chars code points come together there, and only ids and the fitted table to the driver."""
     known = labels.select(F.col(id_col).cast("long").alias(id_col), F.col(label_col).cast("int").alias("y")).where(F.col(id_col).isNotNull() & F.col("y").isNotNull() & learn)
     known = known.groupBy(id_col).agg(F.max("y").alias("y"))
     chosen = []
@@ -348,9 +357,19 @@ def train(docs: DataFrame, labels: DataFrame, learn: Column, id_col: str, text_c
         return Machine([], [])
     few = docs.sparkSession.createDataFrame(chosen, f"{id_col} long, _y int")
     texts = docs.select(F.col(id_col).cast("long").alias(id_col), F.col(text_col).cast("string").alias("_text")).where(F.length("_text") <= most_chars)
-    rows = texts.join(F.broadcast(few), id_col).dropDuplicates([id_col]).collect()
-    rows.sort(key=lambda r: r[id_col])
-    return Machine([r["_text"] for r in rows], [r["_y"] for r in rows])
+    rows = texts.join(F.broadcast(few), id_col).dropDuplicates([id_col]).select(id_col, "_text", "_y")
+
+    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        sample = sorted(row for b in batches for row in zip(*(c.to_pylist() for c in b.columns)))
+        m = Machine([text for _, text, _ in sample], [y for *_, y in sample])
+        kinds = (pa.bool_(), pa.float64(), pa.float64(), pa.binary())
+        give_back()  # this worker goes on to score texts beside others
+        yield pa.RecordBatch.from_arrays([pa.array([x], k) for x, k in zip((m.able, m.slope, m.shift, m.table.tobytes()), kinds)], ["able", "slope", "shift", "weights"])
+
+    made, out = rows.repartition(1).mapInArrow(work, "able boolean, slope double, shift double, weights binary").collect(), Machine([], [])
+    if made:
+        out.able, out.slope, out.shift, out.table = made[0]["able"], made[0]["slope"], made[0]["shift"], np.frombuffer(made[0]["weights"], np.float64)
+    return out
 
 
 def toxicity(docs: DataFrame, labels: DataFrame, learn: Column, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic", most_toxic: int = 800, most_clean: int = 1200, most_chars: int = 20_000, out_col: str = "toxicity") -> DataFrame:
