@@ -46,7 +46,7 @@ def checkpoints(spark: SparkSession) -> None:
     if sc._jsc.sc().getCheckpointDir().isDefined():
         return
     folder = spark.conf.get("spark.checkpoint.dir", None)
-    if not folder and not sc.master.startswith("local"):
+    if not folder and not (sc.master == "local" or sc.master.startswith("local[")):
         raise RuntimeError("spark.checkpoint.dir: a folder that the driver and all executors share")
     sc.setCheckpointDir(folder or tempfile.mkdtemp(prefix="quillstrata-checkpoint-"))
 
