@@ -89,7 +89,7 @@ def _send(batches: Iterator[pa.RecordBatch], owners: int) -> Iterator[pa.RecordB
 
 
 def _answer(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Rows come sorted by owner; one owner's codes are held at a time, and the owners' number follows the input."""
+    """Rows come sorted by owner; one owner's codes are held at a time; there are four owners for each shuffle partition."""
     held: list[tuple] = []
 
     def out() -> pa.RecordBatch:

@@ -8,8 +8,9 @@ The search works on distinct fingerprints, so exact copies cost one row. A pivot
 Hamming distances to PIVOTS fixed reference fingerprints, one byte each. By the triangle inequality two fingerprints
 within `max_bits` have distances within `max_bits` to every pivot: pairs whose largest coordinate difference is more are
 discarded, and what survives is verified by XOR and bit count. To meet, pairs are dealt by pigeonhole keys: of
-`max_bits`+2 blocks of bits at least two agree, so every pair of blocks is one key. Keys with very many
-fingerprints are cut into slots, and every pair of slots meets in one tile, so no task holds a whole hot key. A tile
+`max_bits`+2 blocks of bits at least two agree, so every pair of blocks is one key; beyond some 10**8 fingerprints
+there are more and smaller blocks, of which more must agree, so that pairs by chance stay few. Any number of blocks finds all
+links. Keys with very many fingerprints are cut into slots, and every pair of slots meets in one tile, so no task holds a whole hot key. A tile
 gives the spanning forest of its links, never all pairs; distributed star rounds join the forests.
 
 Null and blank texts have fingerprint zero and link like others. Repeated rows give repeated result rows. A null id is
@@ -20,6 +21,7 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 from itertools import combinations
+from math import comb
 
 import numpy as np
 import pyarrow as pa
@@ -34,6 +36,8 @@ PIVOTS = 16
 SLOT = 1024
 #: Shingles hashed at a time, so that a very long text needs little memory.
 SPAN = 1 << 18
+#: Pairs that are tested in the time that one more row for a key takes; sets the number of blocks.
+PAIRS_A_ROW = 32
 _BITS = ((np.arange(256)[:, None] >> np.arange(8)) & 1).astype(np.int64)
 _LANE = np.arange(8, dtype=np.int64) * 256
 
@@ -81,12 +85,22 @@ def _signed(x: int) -> int:
     return x - 2**64 if x >= 2**63 else x
 
 
-def masks(max_bits: int) -> list[int]:
+def blocks_for(n: int, max_bits: int) -> int:
+    """The number of bit blocks, of max_bits+2 to max_bits+5, with the least rows and expected pairs for n fingerprints."""
+
+    def work(blocks: int) -> float:
+        agree = blocks - max_bits
+        return comb(blocks, agree) * (1 + n / 2 ** (64 * agree / blocks) / PAIRS_A_ROW)
+
+    return min(range(max_bits + 2, max_bits + 6), key=work)
+
+
+def masks(max_bits: int, blocks: int | None = None) -> list[int]:
     """Masks of which at least one has no differing bit, for any two fingerprints with at most max_bits differing bits."""
-    n = max_bits + 2
+    n = blocks or max_bits + 2
     cuts = [round(64 * k / n) for k in range(n + 1)]
     own = [sum(1 << b for b in range(cuts[k], cuts[k + 1])) for k in range(n)]
-    return [_signed(own[x] | own[y]) for x, y in combinations(range(n), 2)]
+    return [_signed(sum(x)) for x in combinations(own, n - max_bits)]
 
 
 def _forest(g: np.ndarray, fp: np.ndarray, table: np.ndarray, max_bits: int) -> tuple[np.ndarray, np.ndarray]:
@@ -150,12 +164,13 @@ def _links(batches: Iterator[pa.RecordBatch], max_bits: int, hold: int = 200_000
         yield from work(pa.Table.from_batches(kept))
 
 
-def links(prints: DataFrame, max_bits: int = 4) -> DataFrame:
-    """Distinct fingerprints (fp) to forest edges (a, b): their components are those of all links."""
+def links(prints: DataFrame, max_bits: int = 4, blocks: int | None = None) -> DataFrame:
+    """Distinct fingerprints (fp) to forest edges (a, b): their components are those of all links. blocks: bit blocks for the keys; by the number of fingerprints if None."""
     spark = prints.sparkSession
+    blocks = blocks or blocks_for(prints.count(), max_bits)
     p = pivots()
     packed = [sum((F.shiftleft(F.bit_count(F.col("fp").bitwiseXOR(F.lit(x))).cast("long"), 8 * k) for k, x in enumerate(p[at + 1 : at + 8], 1)), F.bit_count(F.col("fp").bitwiseXOR(F.lit(p[at]))).cast("long")) for at in (0, 8)]
-    keys = F.array(*(F.xxhash64(F.lit(k), F.col("fp").bitwiseAND(F.lit(m))) for k, m in enumerate(masks(max_bits))))
+    keys = F.array(*(F.xxhash64(F.lit(k), F.col("fp").bitwiseAND(F.lit(m))) for k, m in enumerate(masks(max_bits, blocks))))
     rows = prints.select("fp", packed[0].alias("near"), packed[1].alias("far"), F.explode(keys).alias("key"))
     hot = rows.groupBy("key").count().where(F.col("count") > 2 * SLOT).select("key", F.ceil(F.col("count") / SLOT).cast("long").alias("slots"))
     rows = rows.join(hot, "key", "left").withColumn("slots", F.coalesce("slots", F.lit(1).cast("long")))

@@ -101,6 +101,22 @@ def test_simhash_chain_and_hot_key(spark, monkeypatch):
     assert sorted(map(sorted, got.values())) == sorted(map(sorted, want.values()))
 
 
+def test_simhash_blocks_of_any_number_find_all_links(spark):
+    rng = np.random.default_rng(3)
+    base = rng.integers(0, 2**63, 150, dtype=np.uint64)
+    near = [int(x) ^ sum(1 << int(b) for b in rng.choice(64, rng.integers(1, 7), replace=False)) for x in base]
+    prints = sorted({*map(int, base), *near})
+    want = components(list(enumerate(prints)))
+    for blocks in (6, 7, 8, 9):
+        assert all(any((int(a) ^ b) & m == 0 for m in simhash.masks(4, blocks)) for a, b in zip(base, near) if (int(a) ^ b).bit_count() <= 4)
+        df = spark.createDataFrame([(simhash._signed(x),) for x in prints], "fp long")
+        roots = {r["node"]: r["root"] for r in common.components(simhash.links(df, blocks=blocks)).collect()}
+        got = [roots.get(simhash._signed(x), simhash._signed(x)) for x in prints]
+        assert len(set(got)) == len(set(want)) and len(set(zip(got, want))) == len(set(want))
+    chosen = [simhash.blocks_for(10**k, 4) for k in range(13)]
+    assert chosen == sorted(chosen) and chosen[0] == 6 and chosen[-1] == 9
+
+
 def test_simhash_empty(empty):
     assert simhash.simhash_components(empty).count() == 0
 
