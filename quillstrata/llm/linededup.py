@@ -22,6 +22,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
+from pyspark import StorageLevel
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -98,12 +99,14 @@ def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     text = docs.select(F.col(text_col).cast("string").alias("text"))
     twice = spark.sparkContext.broadcast(hit_twice(text.mapInArrow(lambda it: _seen(it, min_chars), "seg int, once binary, twice binary")))
     numbered = docs.select(F.coalesce(F.col(id_col).cast("long"), F.lit(NO_ID)).alias("id"), F.col(text_col).cast("string").alias("text"))
-    suspects = cut(numbered.mapInArrow(lambda it: _suspects(it, min_chars, twice), "id long, key binary"))
+    # held on the executors' disks for the two jobs below, not in a file of the shared folder for each partition; a lost executor's part is scanned again
+    suspects = numbered.mapInArrow(lambda it: _suspects(it, min_chars, twice), "id long, key binary").persist(StorageLevel.DISK_ONLY)
     # cut, so that the join below has an exchange on either side and Spark can split a hot line's rows
     repeated = cut(suspects.groupBy("key").agg(F.min("id").alias("first"), F.max("id").alias("last")).where("first <> last").select("key", "first"), few=True)
     own, drop = fresh(docs, "_id"), fresh(docs, "_drop")
     # cut for the same reason: rows without an id share one
     drops = cut(suspects.join(repeated, "key").where("id <> first").groupBy(F.col("id").alias(own)).agg(F.collect_set("key").alias(drop)), few=True)
+    suspects.unpersist()
     joined = docs.withColumn(own, F.coalesce(F.col(id_col).cast("long"), F.lit(NO_ID))).join(drops, own, "left").select(*docs.columns, drop)
     schema = T.StructType([*(f if f.name != text_col else T.StructField(text_col, T.StringType()) for f in docs.schema.fields), *(T.StructField(c, T.LongType()) for c in out_cols)])
     at = docs.columns.index(text_col)
