@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..operators import evals as E
+from ..operators import vector_index as VI
 from ..operators import vectors as V
 from ..sources.views import chunk_vectors, table
 from .registry import query
@@ -92,3 +93,9 @@ def embed_chunks(spark, d):
 
     rows = table(spark, d, "documents").select("doc_id", F.posexplode(chunks(F.col("text"))).alias("chunk_idx", "content"))
     return rows.select("doc_id", "chunk_idx", F.length("content").alias("chars"), V.encoder(64)("content").alias("embedding"))
+
+
+@query("knn_index")
+def knn_index(spark, d):
+    """The nearest by cells of the index; no SQL, as it is approximate (tests measure its recall against the exact scan)."""
+    return VI.search(VI.build(chunk_vectors(spark, d)), queries_of(spark, d)).withColumn("score", F.round("score", 4))

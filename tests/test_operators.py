@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 from quillstrata import sources as S
 from quillstrata import streaming as T
 from quillstrata.api import Engine, as_text, price_lines
-from quillstrata.operators import evals, graph, ingest, market, vectors
+from quillstrata.operators import evals, graph, ingest, market, vector_index, vectors
 
 
 def rows(df, *order):
@@ -334,3 +334,37 @@ def test_top_k_of_many_queries_in_blocks(spark, monkeypatch):
     whole = sorted(map(tuple, vectors.top_k(rows, queries, 3).collect()))
     monkeypatch.setattr(vectors, "QUERY_BYTES", 1000)
     assert len(whole) == 180 and sorted(map(tuple, vectors.top_k(rows, queries, 3).collect())) == whole
+
+
+@pytest.fixture(scope="module")
+def clustered(spark):
+    """600 vectors around 12 centres; a third of all rows are copies of one vector; a null and one of another length."""
+    rng = np.random.default_rng(3)
+    around = np.repeat(rng.normal(size=(12, 16)), 50, axis=0) + 0.4 * rng.normal(size=(600, 16))
+    made = [(k, [float(x) for x in v]) for k, v in enumerate(around)] + [(1000 + k, [float(x) for x in around[7]]) for k in range(300)]
+    return spark.createDataFrame([*made, (5000, None), (5001, [1.0])], "vec_id long, embedding array<double>")
+
+
+def test_vector_index_holds_every_row_and_finds_the_nearest(spark, clustered, tmp_path):
+    queries = clustered.where("vec_id % 10 = 3 and vec_id < 600").select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("query"))
+    index = vector_index.build(clustered)
+    assert sorted(r[0] for r in index.rows.where("cell is not null").select("vec_id").collect()) == sorted(r[0] for r in clustered.select("vec_id").collect())
+    assert index.probes < len(index.centroids)
+    true = {(r["query_id"], r["id"]) for r in vectors.top_k(clustered, queries, 5).collect()}
+    found = vector_index.search(index, queries, 5).collect()
+    assert len(found) == len(true) and len(true & {(r["query_id"], r["id"]) for r in found}) >= 0.9 * len(true)
+    vector_index.save(index, str(tmp_path / "index"))
+    again = vector_index.load(spark, str(tmp_path / "index"))
+    assert again.probes == index.probes and sorted(map(tuple, vector_index.search(again, queries, 5).select("query_id", "id", "rank").collect())) == sorted((r["query_id"], r["id"], r["rank"]) for r in found)
+
+
+def test_vector_index_filter_blocks_and_empty_tables(spark, clustered, monkeypatch):
+    index = vector_index.build(clustered)
+    queries = clustered.where("vec_id < 40").select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("query"))
+    only = vector_index.search(index, queries, 3, where=F.col("vec_id") < 20)
+    assert {r["id"] for r in only.collect()} <= set(range(20))
+    whole = sorted(map(tuple, vector_index.search(index, queries, 3).collect()))
+    monkeypatch.setattr(vector_index, "QUERY_BYTES", 20_000)
+    assert sorted(map(tuple, vector_index.search(index, queries, 3).collect())) == whole
+    none = vector_index.build(clustered.limit(0))
+    assert vector_index.search(none, queries, 3).count() == 0 and vector_index.search(index, queries.limit(0), 3).count() == 0
