@@ -171,6 +171,31 @@ def shared_partners(evidence: DataFrame, a: str, b: str) -> DataFrame:
     return side(a).intersect(side(b)).where(~holds(F.col("name"), a) & ~holds(F.col("name"), b))
 
 
+def pattern_path(edges: DataFrame, first: str, second: str) -> DataFrame:
+    """(start, via, end): a -[first]-> b -[second]-> c along the edges' directions, each once: what the parent of a company supplies, say."""
+    a = edges.where(F.col("rel") == first).select(F.col("src").alias("start"), F.col("dst").alias("via")).distinct()
+    b = edges.where(F.col("rel") == second).select(F.col("src").alias("via"), F.col("dst").alias("end")).distinct()
+    return a.join(b, "via").where("start <> end").select("start", "via", "end")
+
+
+def pattern_both(edges: DataFrame, one: str, other: str, turned: bool = False) -> DataFrame:
+    """(src, dst): pairs that are linked by both relations, the second from dst to src if turned: subsidiaries that their parent guarantees, say.
+
+    One aggregation over the edges of both kinds, as a join would need two."""
+    kept = edges.where(F.col("rel").isin(one, other))
+    flip = F.lit(turned) & (F.col("rel") == other)
+    pairs = kept.select(F.when(flip, F.col("dst")).otherwise(F.col("src")).alias("src"), F.when(flip, F.col("src")).otherwise(F.col("dst")).alias("dst"), "rel")
+    return pairs.groupBy("src", "dst").agg(F.max(F.col("rel") == one).alias("_a"), F.max(F.col("rel") == other).alias("_b")).where("_a AND _b").select("src", "dst")
+
+
+def pattern_common(edges: DataFrame, rel: str, names: list[str], incoming: bool = False) -> DataFrame:
+    """(name): what all the names have the relation to, or, if incoming, what has it to all of them: companies that supply two customers, say."""
+    near, far = ("dst", "src") if incoming else ("src", "dst")
+    wanted = sorted(set(names))
+    found = edges.where((F.col("rel") == rel) & F.col(near).isin(wanted)).groupBy(F.col(far).alias("name")).agg(F.count_distinct(near).alias("_n"))
+    return found.where(F.col("_n") == len(wanted)).select("name")
+
+
 def degrees(edges: DataFrame) -> DataFrame:
     return edges.select(F.explode(F.array("src", "dst")).alias("name"), "rel").groupBy("name", "rel").agg(F.count("*").alias("degree"))
 

@@ -107,6 +107,16 @@ def ingest_filings(store: Store, fetch: Callable[[datetime.date, datetime.date],
     return since_last(store, "filings", FIRST_FILINGS, today, work)
 
 
+#: When the jobs run, as cron lines: fixed values.
+SCHEDULE = {"filings": "0 20 * * 1-5", "prices": "30 18 * * 1-5"}
+
+
+def daily_filings(store: Store, master: Callable[[], DataFrame], fetch: Callable[[datetime.date, datetime.date], DataFrame], today: datetime.date) -> int | None:
+    """The company master, then filings; filings wait for the next day if the master can't be had."""
+    sync_companies(store, master())
+    return ingest_filings(store, fetch, today)
+
+
 def ingest_prices(store: Store, fetch: Callable[[datetime.date, datetime.date], tuple[DataFrame, DataFrame]], today: datetime.date) -> int | None:
     """Prices by fetch(begin, end), which gives rows and errors by code: the rows of the codes that worked are kept, then errors are raised."""
 
@@ -168,4 +178,4 @@ def embed_filings(store: Store, encode=None) -> int:
         made.unpersist()
 
 
-__all__ = ["Store", "embed_filings", "load_relations", "extract_relations", "ingest_filings", "ingest_prices", "insert_absent", "since_last", "sync_companies"]
+__all__ = ["SCHEDULE", "Store", "daily_filings", "embed_filings", "load_relations", "extract_relations", "ingest_filings", "ingest_prices", "insert_absent", "since_last", "sync_companies"]

@@ -187,6 +187,26 @@ def pattern_supplier_of_nation(spark, d):
     return a.join(b, "supplier").distinct().select("supplier", "nation", "customer")
 
 
+@query("pattern_parent_of_parent", WHOLE + " SELECT DISTINCT a.src AS start, a.dst AS via, b.dst AS end FROM e a JOIN e b ON a.dst = b.src WHERE a.rel = 'OFFICER_OF' AND b.rel = 'SUBSIDIARY_OF' AND a.src <> b.dst")
+def pattern_parent_of_parent(spark, d):
+    return G.pattern_path(graph(spark, d), "OFFICER_OF", "SUBSIDIARY_OF")
+
+
+@query("pattern_home_market", f"""WITH {SUPPLY}, {STATE}, sold AS (SELECT DISTINCT s.subject AS src, n_name AS dst FROM supply s JOIN customer ON s.object = c_name JOIN nation ON c_nationkey = n_nationkey)
+    SELECT src, dst FROM sold INTERSECT SELECT src, dst FROM state WHERE rel = 'OFFICER_OF'""")
+def pattern_home_market(spark, d):
+    """Suppliers that sell to customers of their own nation: pairs linked by both relations, of which one points from the nation."""
+    c, n = table(spark, d, "customer"), table(spark, d, "nation")
+    home = c.join(n, c.c_nationkey == n.n_nationkey).select(F.col("c_name").alias("dst"), "n_name")
+    sold = graph(spark, d).where("rel = 'SUPPLIES_TO'").join(home, "dst").select(F.col("n_name").alias("src"), F.lit("BUYS_FROM").alias("rel"), F.col("src").alias("dst"))
+    return G.pattern_both(graph(spark, d).select("src", "rel", "dst").unionByName(sold), "OFFICER_OF", "BUYS_FROM", turned=True)
+
+
+@query("pattern_common_customers", WHOLE + f" SELECT dst AS name FROM e WHERE rel = 'SUPPLIES_TO' AND src IN ('{SEED}', 'Supplier#000000002') GROUP BY dst HAVING count(DISTINCT src) = 2")
+def pattern_common_customers(spark, d):
+    return G.pattern_common(graph(spark, d), "SUPPLIES_TO", [SEED, "Supplier#000000002"])
+
+
 NAMES = "n AS (SELECT DISTINCT p_name AS name, regexp_replace(p_name, '[\\s()]+', '', 'g') AS k FROM part WHERE length(regexp_replace(p_name, '[\\s()]+', '', 'g')) >= 2)"
 QUESTIONS = "q AS (SELECT l_orderkey * 10 + l_linenumber AS id, min('who makes ' || p_name || ' for ' || l_returnflag) AS question FROM lineitem JOIN part ON p_partkey = l_partkey GROUP BY 1)"
 

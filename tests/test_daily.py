@@ -51,6 +51,23 @@ def test_companies(spark, tmp_path):
     assert sorted((r["corp_name"], r["in_universe"]) for r in store.read("corp", D.CORP).collect()) == [("new", True), ("x", False)]
 
 
+def test_filings_wait_for_the_master(spark, tmp_path):
+    store, asked = D.Store(spark, str(tmp_path)), []
+
+    def fetch(begin, end):
+        asked.append(store.read("corp", D.CORP).count())
+        return filings(spark, "20260101000001")
+
+    def away():
+        raise OSError("service away")
+
+    with pytest.raises(OSError):
+        D.daily_filings(store, away, fetch, DAY(2026, 1, 5))
+    assert not asked and store.read("filing", D.FILING).count() == 0
+    master = lambda: spark.createDataFrame([("00000001", "x", None, "20260101")], "corp_code string, corp_name string, stock_code string, modify_date string")
+    assert D.daily_filings(store, master, fetch, DAY(2026, 1, 5)) == 1 and asked == [1]
+
+
 def test_prices_keep_what_worked(spark, tmp_path):
     store = D.Store(spark, str(tmp_path))
 

@@ -368,3 +368,12 @@ def test_vector_index_filter_blocks_and_empty_tables(spark, clustered, monkeypat
     assert sorted(map(tuple, vector_index.search(index, queries, 3).collect())) == whole
     none = vector_index.build(clustered.limit(0))
     assert vector_index.search(none, queries, 3).count() == 0 and vector_index.search(index, queries.limit(0), 3).count() == 0
+
+
+def test_patterns_of_relations(spark):
+    e = spark.createDataFrame([("p", "GUARANTEES", "s"), ("s", "SUBSIDIARY_OF", "p"), ("p", "GUARANTEES", "x"), ("y", "SUBSIDIARY_OF", "p"), ("p", "SUPPLIES_TO", "c"), ("q", "SUPPLIES_TO", "c"), ("q", "SUPPLIES_TO", "d"), ("q", "SUPPLIES_TO", "d"), ("p", "SUPPLIES_TO", "y")], "src string, rel string, dst string")
+    assert rows(graph.pattern_both(e, "GUARANTEES", "SUBSIDIARY_OF", turned=True)) == [("p", "s")]
+    assert rows(graph.pattern_both(e, "GUARANTEES", "SUBSIDIARY_OF")) == []
+    assert rows(graph.pattern_path(e, "SUBSIDIARY_OF", "SUPPLIES_TO"), "start", "end") == [("s", "p", "c"), ("s", "p", "y"), ("y", "p", "c")]
+    assert rows(graph.pattern_common(e, "SUPPLIES_TO", ["p", "q", "q"])) == [("c",)]
+    assert rows(graph.pattern_common(e, "SUPPLIES_TO", ["c", "d"], incoming=True)) == [("q",)]
