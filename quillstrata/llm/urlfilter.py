@@ -37,6 +37,8 @@ SEEDS = (
 PLAIN = "blog buy cash cheap click deal deals fast free game games get best home live luck mail money news now offer online page play shop site store top web world www".split()
 #: Letters of the longest word, and of the shortest seed that counts within a longer run.
 LONGEST, LEAST_INSIDE = 24, 4
+#: Letters at which a run's pieces begin that are made at a time; longer runs give several rows.
+PART = 1000
 #: Cost of an unknown stretch, and of each of its letters.
 UNKNOWN_COST, LETTER_COST = 12.0, 2.2
 #: Of so many words one is a seed, for each seed that the text lacks.
@@ -78,17 +80,21 @@ def unigrams(pages: DataFrame, html_col: str) -> DataFrame:
 
 def segmented(runs: DataFrame, words: DataFrame) -> DataFrame:
     """Different runs (run) to (run, words); words: (w, cost)."""
-    at = F.sequence(F.lit(1), F.length("run") - 1)
-    pieces = F.flatten(F.transform(at, lambda k: F.transform(F.sequence(F.lit(2), F.least(F.lit(LONGEST), F.length("run") - k + 1)), lambda m: F.substring("run", k, m))))
-    known = runs.where(F.length("run") > 1).select("run", F.explode(F.array_distinct(pieces)).alias("w")).join(words, "w")
-    known = known.groupBy("run").agg(F.collect_list(F.struct("w", "cost")).alias("known"))
+    # a run is named by its hash, so that long ones are not repeated for every word; two runs of one hash would share words, and a word that a run lacks does no harm
+    rid = F.xxhash64("run").alias("rid")
+    parts_ = F.transform(F.sequence(F.lit(1), F.length("run"), F.lit(PART)), lambda at: F.substring("run", at, F.lit(PART + LONGEST - 1)))
+    each = runs.where(F.length("run") > 1).select(rid, F.explode(parts_).alias("part")).where(F.length("part") > 1)
+    at = F.sequence(F.lit(1), F.length("part") - 1)
+    pieces = F.flatten(F.transform(at, lambda k: F.transform(F.sequence(F.lit(2), F.least(F.lit(LONGEST), F.length("part") - k + 1)), lambda m: F.substring("part", k, m))))
+    known = each.select("rid", F.explode(F.array_distinct(pieces)).alias("w")).join(words, "w")
+    known = known.groupBy("rid").agg(F.collect_set(F.struct("w", "cost")).alias("known"))
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             found = [viterbi(run, {x["w"]: x["cost"] for x in have or ()}) for run, have in zip(*(c.to_pylist() for c in b.columns))]
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(found, pa.list_(pa.string()))], ["run", "words"])
 
-    return cut(runs.join(known, "run", "left").select("run", "known").mapInArrow(work, "run string, words array<string>"))
+    return cut(runs.select("run", rid).join(known, "rid", "left").select("run", "known").mapInArrow(work, "run string, words array<string>"))
 
 
 def parts(url) -> tuple:
