@@ -80,13 +80,32 @@ def unescape(text: Column) -> Column:
     return F.when(~other, plain).otherwise(_unescape(F.when(other, text)))
 
 
-def strip_markup(text: Column) -> Column:
-    """Text of a marked-up document: no style, script or head, no comments; tags end lines; entities resolved; blank lines dropped."""
-    t = F.regexp_replace(text, r"(?is)<(style|script|head)\b[^>]*>.*?</\1\s*>", " ")
+# The entities of pages; the ampersand comes last, so that nothing is resolved twice.
+PAGE_ENTITIES = {"&lt;": "<", "&gt;": ">", "&quot;": '"', "&nbsp;": "\u00a0", "&copy;": "©", "&middot;": "·", "&amp;": "&"}
+#: The blanks (Unicode Zs) that SQL's trim takes off; no tabs or line breaks.
+BLANKS = " \u00a0\u1680\u2000\u2001\u2002\u2003\u2004\u2005\u2006\u2007\u2008\u2009\u200a\u202f\u205f\u3000"
+
+
+def strip_markup(text: Column, entities: dict[str, str] | None = None) -> Column:
+    """Text of a marked-up document: no style, script or head, no comments; tags end lines; entities resolved; blank lines dropped.
+
+    Without `entities` all of HTML's are resolved, those cut off before the semicolon too, and blanks of any kind count. With them it is as SQL
+    has it: only these are resolved, in their order; style goes first, then script, then head; only blanks and tabs are squeezed, only BLANKS trimmed."""
+    if entities is None:
+        t = F.regexp_replace(text, r"(?is)<(style|script|head)\b[^>]*>.*?</\1\s*>", " ")
+    else:
+        t = text
+        for name in ("[sſ]tyle", "[sſ]cript", "head"):  # RE2 folds ſ to s; its word and space characters are ASCII, without \v
+            t = F.regexp_replace(t, rf"(?is)<{name}(?![0-9A-Za-z_])[^>]*>.*?</{name}[ \t\n\f\r]*>", " ")
     t = F.regexp_replace(t, r"(?s)<!--.*?-->", " ")
     t = F.regexp_replace(t, r"(?s)<[^>]+>", "\n")
-    t = F.regexp_replace(unescape(t), "[ \t 　]+", " ")
-    kept = F.filter(F.transform(F.split(t, "\n"), strip), lambda x: x != "")
+    if entities is None:
+        t, trim = F.regexp_replace(unescape(t), "[ \t 　]+", " "), strip
+    else:
+        for name, sign in entities.items():
+            t = F.replace(t, F.lit(name), F.lit(sign))
+        t, trim = F.regexp_replace(t, "[ \t]+", " "), lambda x: F.btrim(x, F.lit(BLANKS))
+    kept = F.filter(F.transform(F.split(t, "\n"), trim), lambda x: x != "")
     return F.array_join(kept, "\n")
 
 

@@ -73,6 +73,25 @@ def test_markup(spark):
     assert one(spark, None, X.strip_markup) is None
 
 
+def test_pages_equal_their_sql(spark, tmp_path):
+    """Cut-off, nested and unknown entities, other blanks and line ends, blocks in blocks, odd tag names."""
+    import duckdb
+
+    from quillstrata.plans.registry import ORACLES, QUERIES
+
+    rng = random.Random(11)
+    parts = [
+        "<style>", "</style>", "<script x>", "</script >", "</script\x0b>", "<head>", "</head\n>", "<STYLE\n>", "<ſtyle>", "<styleé>", "<styles>", "<header>", "<!--", "-->", "<p>", "<", ">", "<>", "a", "b c", "é", "\n", "\r\n", "\r", "\t", " ", "  ", "\f", "\x0b",
+        "\x85", "\u2028", "\u00a0", "\u3000", "\u200b", "&amp", "&amp;", "&lt;", "&lt", "&gt;", "&quot;", "&nbsp;", "&copy;", "&copy", "&middot;", "&apos;", "&eacute;", "&#39;", "&#x41;", "amp;", "lt;", "&", "$1", "\\1", "한",
+    ]
+    pages = ["<title>x and&amp</title>", "", None, " \n ", *("".join(rng.choices(parts, k=rng.randint(1, 40))) for _ in range(3000))]
+    spark.createDataFrame(list(enumerate(pages)), "page_id long, html string").write.parquet(f"{tmp_path}/pages.parquet")
+    c = duckdb.connect()
+    c.execute(f"create view pages as select * from '{tmp_path}/pages.parquet/*.parquet'")
+    got = {r["page_id"]: r["body"] for r in QUERIES["strip_markup"](spark, str(tmp_path)).collect()}
+    assert got[0] == "x and&amp" and got == dict(c.execute(ORACLES["strip_markup"]).fetchall())
+
+
 def test_decode(spark):
     rows = [(b"plain",), ("한글".encode(),), ("한글".encode("cp949"),), (b"\xff\xff",), (None,)]
     got = [r[0] for r in spark.createDataFrame(rows, "b binary").select(X.decode_bytes(F.col("b"))).collect()]
