@@ -50,7 +50,7 @@ def cosine_agreement(spark, d):
 def hybrid_union(spark, d):
     n, r = table(spark, d, "nation"), table(spark, d, "region")
     g = n.join(r, n.n_regionkey == r.r_regionkey).select(F.col("n_nationkey").alias("pos"), F.concat("n_name", F.lit(" -[SUBSIDIARY_OF]-> "), "r_name").alias("text"))
-    v = nearest(spark, d).where("query_id = 0").select(F.col("rank").cast("int").alias("pos"), F.concat(F.lit("vector "), F.col("id").cast("string")).alias("text"))
+    v = V.top_k(chunk_vectors(spark, d), queries_of(spark, d).where("query_id = 0")).select(F.col("rank").cast("int").alias("pos"), F.concat(F.lit("vector "), F.col("id").cast("string")).alias("text"))
     return V.hybrid(g, v)
 
 

@@ -3,9 +3,11 @@
 import datetime
 import json
 import zipfile
+from collections import Counter
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -336,6 +338,44 @@ def test_top_k_of_many_queries_in_blocks(spark, monkeypatch):
     assert len(whole) == 180 and sorted(map(tuple, vectors.top_k(rows, queries, 3).collect())) == whole
 
 
+def test_top_k_of_odd_vectors_equals_every_pair_scored(spark, monkeypatch):
+    """Nulls, lengths, zeros, tiny and huge vectors, no numbers, copies, opposite and nearly equal ones, null and repeated ids; as the expressions score them."""
+    rng = np.random.default_rng(9)
+    base = rng.normal(size=(40, 5))
+    made = [list(map(float, x)) for x in np.concatenate([base, base[:20], -base[:9], base[:20] * 3, base[:20] + rng.normal(size=(20, 5)) * 1e-8, base[:5] * 1e-9, base[:5] * 1e-4, base[:5] * 1e150, np.zeros((9, 5))])]
+    made += [None, [], [1.0], [1.0, 2.0], [None] * 5, [1.0, None, 1.0, 1.0, 1.0], [float("nan")] * 5, [float("inf"), 1.0, 0.0, 0.0, 0.0]] * 2
+    ids = [int(x) for x in rng.permutation(len(made))]
+    rows = spark.createDataFrame([(None if i == 7 else i // 2 if i > 140 else i, v) for i, v in zip(ids, made)], "vec_id int, embedding array<double>").repartition(3)
+    queries = spark.createDataFrame(list(enumerate(made)), "query_id int, query array<double>")
+    plain = lambda df: Counter((r["query_id"], r["id"], repr(r["score"]), r["rank"]) for r in df.collect())
+    tables = [pa.Table.from_batches(x.combine_chunks().to_batches(max_chunksize=50)) for x in (rows.select(F.col("vec_id").cast("long"), "embedding").where(f"pmod(hash(vec_id), 2) = {n}").toArrow() for n in (0, 1))]
+    for k in (1, 4, 200):
+        want = plain(vectors._nearest_by_any_id(rows, queries, k, "vec_id", "embedding"))
+        assert plain(vectors._nearest(rows, queries, k, "vec_id", "embedding")) == want
+        for first, queries_at_once in ((4, 7), (16, 512)):
+            monkeypatch.setattr(vectors, "FIRST_ROWS", first)
+            monkeypatch.setattr(vectors, "BLOCK_QUERIES", queries_at_once)
+            best = pa.Table.from_batches([b for t in tables for b in vectors._search(iter(t.to_batches()), queries.toArrow().combine_chunks(), k)]).combine_chunks()
+            assert plain(vectors._ranked(spark.createDataFrame(best), k)) == want
+
+
+def test_top_k_scores_few_pairs_one_by_one(spark, monkeypatch):
+    """Most pairs are left out by blocks of products: a search over 20 M pairs takes seconds."""
+    import time
+
+    rows = spark.range(40_000).selectExpr("id AS vec_id", "transform(sequence(1, 16), x -> sin(id * x * 0.37 + x)) AS embedding").localCheckpoint()
+    queries = rows.where("vec_id % 80 = 0").selectExpr("vec_id AS query_id", "embedding AS query")
+    seen = []
+    put = vectors._Best._put
+    monkeypatch.setattr(vectors._Best, "_put", lambda self, held, *a: (seen.append(sum(len(x) for x, _ in held)), put(self, held, *a))[1])
+    table = rows.toArrow().combine_chunks()
+    found = list(vectors._search(iter(table.to_batches(max_chunksize=10_000)), queries.toArrow().combine_chunks(), 5))
+    assert sum(seen) < 0.01 * 500 * 40_000 and sum(b.num_rows for b in found) == 2500
+    began = time.monotonic()
+    assert vectors.top_k(rows, queries, 5).where("rank = 1 AND query_id = id").count() == 500
+    assert time.monotonic() - began < 20
+
+
 @pytest.fixture(scope="module")
 def clustered(spark):
     """600 vectors around 12 centres; a third of all rows are copies of one vector; a null and one of another length."""
