@@ -35,7 +35,7 @@ def drop_repeated_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Da
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each group of near copies (0.8 of their five-word shingles in common) the smallest doc_id stays."""
+    """Of each group of near copies, found by SimHash and MinHash and checked for 0.8 of their five-word shingles in common, the smallest doc_id stays."""
     return keep_first(docs).select(*docs.columns)
 
 

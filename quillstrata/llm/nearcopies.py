@@ -1,12 +1,13 @@
-"""Near copies by the Jaccard similarity of five-word shingles.
+"""Near copies by SimHash with pivots, MinHash and the Jaccard similarity of five-word shingles.
 
 A document's set holds the 48-bit hashes of its different shingles, the words split and lower-cased as in `token_hashes`; a text
 of fewer words is one shingle. Two documents link when their sets have `similarity` or more of their union in common, which is
 counted exactly; of each connected component the smallest document id stays.
 
-Equal sets cost one row. To meet, two sets must agree in one of BANDS keys, each of WIDTH MinHash minimums: at similarity 0.8
-a pair misses all keys with a chance of 4 in 10**4, at 0.85 of 2 in 10**6; nothing else is approximate. Sets with a key in common,
-joined through the smallest of them, form groups, so every pair that shares a key is in one group. A set is sent to its group, once for a
+Equal sets cost one row. Sets meet in two ways. Each has a SimHash fingerprint, the majority bits of its shingles; `simhash.links` finds the fingerprints at NEAR_BITS or fewer differing bits by block keys,
+the table of their distances to pivots, and an XOR. As fingerprints of sets at a similarity of 0.8 differ by 10 bits on average, that finds the nearest only; so sets that agree in one of BANDS keys, each of WIDTH
+MinHash minimums, meet too: at similarity 0.8 a pair misses all keys with a chance of 4 in 10**4, at 0.85 of 2 in 10**6; nothing else is approximate. Sets that meet,
+joined through the smallest of them, form groups, so every pair that meets is in one group. A set is sent to its group, once for a
 group of up to SLOT sets or SLOT_BYTES; larger groups are cut into slots, and every pair of slots meets in one tile. In a tile a
 search goes from set to set over those not reached yet, so many near copies of one text cost little more than their number.
 
@@ -25,20 +26,23 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import blocks, components, cut, mix64, prepare, scan_parts, text_bytes, token_hashes, without
+from .simhash import fingerprint_of, links
 
 BANDS, WIDTH = 20, 5
+#: Differing bits of fingerprints up to which sets meet.
+NEAR_BITS = 4
 #: Sets, and bytes of them, that a slot of a large group holds on average; a tile holds two slots.
 SLOT, SLOT_BYTES = 1024, 8 << 20
 BLOCK = 1 << 20
 #: Shingles whose minimums are taken at a time.
 SPAN = 1 << 12
-#: Bytes up to which the rows that share a key are broadcast to the sets.
+#: Bytes up to which the rows that meet others are broadcast to the sets.
 SMALL = 48 << 20
 _RNG = np.random.default_rng(20261126)
 _FACTORS = _RNG.integers(1, 2**63, BANDS * WIDTH, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 _ADDED = _RNG.integers(1, 2**63, BANDS * WIDTH, dtype=np.uint64)
 _STEP = np.uint64(0x9E3779B97F4A7C15)
-_SETS = "row long, doc_id long, h long, n int, keys array<long>, grams binary"
+_SETS = "row long, doc_id long, h long, n int, fp long, keys array<long>, grams binary"
 
 
 def _mixed(parts: Iterator[np.ndarray]) -> np.ndarray:
@@ -87,16 +91,17 @@ def _unpack(raw: bytes) -> np.ndarray:
 def _sets(batches: Iterator[pa.RecordBatch], shingle: int) -> Iterator[pa.RecordBatch]:
     row = TaskContext.get().partitionId() << 33
     for b in blocks(batches, "text", BLOCK):
-        h, n, keys, packed = [], [], [], []
+        h, n, fp, keys, packed = [], [], [], [], []
         for grams in shingle_sets(text_bytes(b.column("text")), shingle):
             packed.append(_pack(grams))
             h.append(xxhash.xxh64_intdigest(packed[-1], 42))
             n.append(len(grams))
+            fp.append(fingerprint_of(mix64(grams)))
             keys.append(band_keys(grams) if len(grams) else np.zeros(0, np.int64))
         where = pa.array(np.cumsum([0, *map(len, keys)]), pa.int32())
-        cols = [pa.array(row + np.arange(b.num_rows)), b.column("doc_id"), pa.array(np.array(h, np.uint64).view(np.int64)), pa.array(n, pa.int32()), pa.ListArray.from_arrays(where, pa.array(np.concatenate(keys))), pa.array(packed, pa.binary())]
+        cols = [pa.array(row + np.arange(b.num_rows)), b.column("doc_id"), pa.array(np.array(h, np.uint64).view(np.int64)), pa.array(n, pa.int32()), pa.array(np.array(fp, np.uint64).view(np.int64)), pa.ListArray.from_arrays(where, pa.array(np.concatenate(keys))), pa.array(packed, pa.binary())]
         row += b.num_rows
-        yield pa.RecordBatch.from_arrays(cols, ["row", "doc_id", "h", "n", "keys", "grams"])
+        yield pa.RecordBatch.from_arrays(cols, ["row", "doc_id", "h", "n", "fp", "keys", "grams"])
 
 
 def _reached(sets: list[np.ndarray], similarity: float) -> Iterator[tuple[int, int]]:
@@ -150,13 +155,23 @@ def _links(batches: Iterator[pa.RecordBatch], similarity: float) -> Iterator[pa.
         yield work()
 
 
+def print_links(classes: DataFrame) -> DataFrame:
+    """Edges (a, b) between sets whose fingerprints are the same or differ by NEAR_BITS or fewer bits; their components are those of all such pairs."""
+    sets = classes.where("n > 0").select("h", "fp")
+    # cut, so that the joins have an exchange on either side and Spark can split the sets of a common fingerprint
+    prints = cut(sets.groupBy("fp").agg(F.min("h").alias("m")), few=True)
+    same = sets.join(prints, "fp").where("h <> m").select(F.col("h").alias("a"), F.col("m").alias("b"))
+    a, b = (prints.select(F.col("fp").alias(x), F.col("m").alias(f"m{x}")) for x in "ab")
+    return same.union(links(prints.select("fp"), NEAR_BITS).join(a, "a").join(b, "b").select("ma", "mb"))
+
+
 def near_links(rows: DataFrame, classes: DataFrame, similarity: float) -> DataFrame:
     """Forest edges (a, b) of the different sets that link; rows: one of them for each class has its set."""
     spark = rows.sparkSession
     keyed = classes.where("n > 0").select("h", F.explode("keys").alias("key"))
     # cut, so that the join has an exchange on either side and Spark can split the rows of a common key
     least = cut(keyed.groupBy("key").agg(F.min("h").alias("m"), F.count("*").alias("c")).where("c > 1").select("key", "m"), few=True)
-    groups = components(keyed.join(least, "key").where("h <> m").select(F.col("h").alias("a"), F.col("m").alias("b")))
+    groups = components(keyed.join(least, "key").where("h <> m").select(F.col("h").alias("a"), F.col("m").alias("b")).union(print_links(classes)))
     groups = groups.union(groups.select("root", "root").distinct())  # components leaves the smallest node of each out
     groups = cut(groups.join(classes.select(F.col("h").alias("node"), "n", F.col("first_row").alias("row")), "node").select("row", "root", "n"), few=True)
     size = groups.groupBy("root").agg(F.count("*").alias("c"), F.sum(F.col("n") * 6).alias("bytes"))
@@ -177,7 +192,7 @@ def keep_first(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     prepare(docs.sparkSession)
     texts = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
     rows = cut(texts.mapInArrow(lambda it: _sets(it, shingle), _SETS))
-    classes = cut(rows.groupBy("h").agg(F.min("doc_id").alias("first_id"), F.min("row").alias("first_row"), F.first("n").alias("n"), F.first("keys").alias("keys")), few=True)
+    classes = cut(rows.groupBy("h").agg(F.min("doc_id").alias("first_id"), F.min("row").alias("first_row"), F.first("n").alias("n"), F.first("fp").alias("fp"), F.first("keys").alias("keys")), few=True)
     roots = components(near_links(rows, classes, similarity))
     classes = classes.join(roots, classes.h == roots.node, "left").select("h", "first_id", F.coalesce("root", "h").alias("root"))
     # cut, so that the join has an exchange on either side and Spark can split a giant component

@@ -42,6 +42,22 @@ _BITS = ((np.arange(256)[:, None] >> np.arange(8)) & 1).astype(np.int64)
 _LANE = np.arange(8, dtype=np.int64) * 256
 
 
+def _ones(hashes: np.ndarray) -> np.ndarray:
+    """How many of the hashes have each bit."""
+    lanes = hashes.astype("<u8", copy=False).view(np.uint8).reshape(-1, 8) + _LANE
+    seen = np.bincount(lanes.ravel(), minlength=2048).reshape(8, 256)
+    return (seen @ _BITS).ravel()
+
+
+def _majority(ones: np.ndarray, n: int) -> int:
+    return int(np.packbits(ones * 2 > n, bitorder="little").view("<u8")[0])
+
+
+def fingerprint_of(hashes: np.ndarray) -> int:
+    """The 64-bit SimHash of 64-bit hashes; 0 without one."""
+    return _majority(sum((_ones(hashes[at : at + SPAN]) for at in range(0, len(hashes), SPAN)), np.zeros(64, np.int64)), len(hashes))
+
+
 def fingerprint(text: bytes, shingle: int = 4) -> int:
     """The 64-bit SimHash of a UTF-8 text; 0 without a word."""
     words = text.lower().split()
@@ -57,10 +73,8 @@ def fingerprint(text: bytes, shingle: int = 4) -> int:
         else:
             m = len(part) - shingle + 1
             hashes = np.fromiter((digest(x, 42) for x in map(b" ".join, zip(*(part[k:] for k in range(shingle))))), np.uint64, m)
-        lanes = hashes.astype("<u8", copy=False).view(np.uint8).reshape(-1, 8) + _LANE
-        seen = np.bincount(lanes.ravel(), minlength=2048).reshape(8, 256)
-        ones += (seen @ _BITS).ravel()
-    return int(np.packbits(ones * 2 > n, bitorder="little").view("<u8")[0])
+        ones += _ones(hashes)
+    return _majority(ones, n)
 
 
 def _fingerprints(batches: Iterator[pa.RecordBatch], shingle: int) -> Iterator[pa.RecordBatch]:

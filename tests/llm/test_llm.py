@@ -153,6 +153,31 @@ def test_near_copies_edited_in_many_places(spark, monkeypatch):
     assert Counter(r["doc_id"] for r in nearcopies.keep_first(df).collect()) == want
 
 
+def test_near_copies_meet_by_fingerprints_alone(spark):
+    """Sets without a common key: those at 4 or fewer differing bits of SimHash meet, and link where the exact similarity is 0.8."""
+    rng = np.random.default_rng(3)
+    texts = []
+    for _ in range(40):
+        base = [f"w{x}" for x in rng.integers(0, 5000, 600)]
+        for edits in (0, 1, 3, 12):
+            w = list(base)
+            for at in rng.choice(600, edits, replace=False):
+                w[at] = f"x{rng.integers(0, 10**6)}"
+            texts.append(" ".join(w))
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    rows = df.mapInArrow(lambda it: nearcopies._sets(it, 5), nearcopies._SETS).cache()
+    classes = rows.select("h", F.col("doc_id").alias("first_id"), F.col("row").alias("first_row"), "n", "fp", F.array("h").alias("keys"))
+    sets = {r["h"]: (set(nearcopies._unpack(bytes(r["grams"])).tolist()), r["fp"] % 2**64) for r in rows.collect()}
+    assert len(sets) == 160
+    for grams, fp in sets.values():
+        mixed = [int(x) for x in common.mix64(np.array(sorted(grams), np.uint64))]
+        assert fp == sum(1 << k for k in range(64) if 2 * sum(x >> k & 1 for x in mixed) > len(mixed))
+    near = {(a, b) for a, (x, p) in sets.items() for b, (y, q) in sets.items() if a < b and (p ^ q).bit_count() <= 4 and len(x & y) >= 0.8 * len(x | y)}
+    apart = {(a, b) for a, (x, _) in sets.items() for b, (y, _) in sets.items() if a < b and not x & y}
+    root = {r["node"]: r["root"] for r in common.components(nearcopies.near_links(rows, classes, 0.8)).collect()}
+    assert len(near) > 60 and all(root.get(a, a) == root.get(b, b) for a, b in near) and not any(root.get(a, a) == root.get(b, b) for a, b in apart)
+
+
 # --- 2 ---
 
 
