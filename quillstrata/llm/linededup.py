@@ -9,7 +9,8 @@ has at most 2**30 bits (128 MB), a bound that does not depend on the input: with
 through. Second scan: lines whose positions are all in the twice-seen filter are suspects. Suspects alone are
 shuffled, as (key, id), to be confirmed on the key itself and to choose the first document; the least and greatest id of a key suffice and
 are combined before the shuffle, so a line that a third of all documents hold is no hot spot. The lines to drop
-return to their documents by id.
+return to their documents by id. The second scan is made twice, for the choice and for the lines to drop: it is cheaper
+than what holding the suspects takes in files or disk, and nothing but the filter is worked out before the result is asked for.
 
 Null or empty text is one empty line. A null id comes after all ids; rows with one id count as one document. Input columns other than
 id and text are kept; columns named as out_cols are replaced.
@@ -22,12 +23,11 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark import StorageLevel
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import NO_ID, POSITION_BITS, by_segment, cut, fresh, hit_twice, prepare, text_bytes
+from .common import NO_ID, POSITION_BITS, by_segment, fresh, hit_twice, prepare, text_bytes
 
 STRIP = b" \t\n\x0b\x0c\r"
 #: Hashes that a partition gathers before it gives away its filter positions.
@@ -99,15 +99,16 @@ def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     text = docs.select(F.col(text_col).cast("string").alias("text"))
     twice = spark.sparkContext.broadcast(hit_twice(text.mapInArrow(lambda it: _seen(it, min_chars), "seg int, once binary, twice binary")))
     numbered = docs.select(F.coalesce(F.col(id_col).cast("long"), F.lit(NO_ID)).alias("id"), F.col(text_col).cast("string").alias("text"))
-    # held on the executors' disks for the two jobs below, not in a file of the shared folder for each partition; a lost executor's part is scanned again
-    suspects = numbered.mapInArrow(lambda it: _suspects(it, min_chars, twice), "id long, key binary").persist(StorageLevel.DISK_ONLY)
-    # cut, so that the join below has an exchange on either side and Spark can split a hot line's rows
-    repeated = cut(suspects.groupBy("key").agg(F.min("id").alias("first"), F.max("id").alias("last")).where("first <> last").select("key", "first"), few=True)
-    own, drop = fresh(docs, "_id"), fresh(docs, "_drop")
-    # cut for the same reason: rows without an id share one
-    drops = cut(suspects.join(repeated, "key").where("id <> first").groupBy(F.col("id").alias(own)).agg(F.collect_set("key").alias(drop)), few=True)
-    suspects.unpersist()
-    joined = docs.withColumn(own, F.coalesce(F.col(id_col).cast("long"), F.lit(NO_ID))).join(drops, own, "left").select(*docs.columns, drop)
+
+    def suspects() -> DataFrame:
+        return numbered.mapInArrow(lambda it: _suspects(it, min_chars, twice), "id long, key binary")
+
+    # the joins below have a second column, so that what comes grouped by the first one is dealt anew and Spark can split the rows of a hot line, or of no id, on the other side
+    repeated = suspects().groupBy("key").agg(F.min("id").alias("first"), F.max("id").alias("last")).where("first <> last").select("key", F.xxhash64("key").alias("h"), "first")
+    own, twin, drop = fresh(docs, "_id"), fresh(docs, "_twin"), fresh(docs, "_drop")
+    drops = suspects().withColumn("h", F.xxhash64("key")).join(repeated, ["key", "h"]).where("id <> first").groupBy(F.col("id").alias(own)).agg(F.collect_set("key").alias(drop))
+    keyed = docs.withColumn(own, F.coalesce(F.col(id_col).cast("long"), F.lit(NO_ID)))
+    joined = keyed.withColumn(twin, F.xxhash64(own)).join(drops.withColumn(twin, F.xxhash64(own)), [own, twin], "left").select(*docs.columns, drop)
     schema = T.StructType([*(f if f.name != text_col else T.StructField(text_col, T.StringType()) for f in docs.schema.fields), *(T.StructField(c, T.LongType()) for c in out_cols)])
     at = docs.columns.index(text_col)
 

@@ -5,6 +5,7 @@ from __future__ import annotations
 import datetime
 import hashlib
 import math
+import os
 import re
 import zlib
 from collections import Counter
@@ -326,6 +327,27 @@ def test_line_dedup_with_a_full_filter(docs, monkeypatch):
     assert Counter(tuple(r) for r in linededup.dedup_lines(docs).select("doc_id", "text").collect()) == want
 
 
+def test_line_dedup_writes_no_files(spark, docs):
+    """On a local disk each file that an executor makes starts short processes; neither files nor held rows are needed, and both sides of every join are dealt for it."""
+    common.prepare(spark)
+    docs.count()  # cached now, if not before
+    folder = spark.sparkContext._jsc.sc().getCheckpointDir().get().removeprefix("file:")
+    files = lambda: sum(len(names) for _, _, names in os.walk(folder))
+    before, held = files(), spark.sparkContext._jsc.getPersistentRDDs().size()
+    most = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        got = linededup.dedup_lines(docs)
+        plan = [x.lstrip(" :+-") for x in got._jdf.queryExecution().executedPlan().toString().splitlines()]
+        assert got.where("n_dropped > 0").count()
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", most)
+    assert files() == before and spark.sparkContext._jsc.getPersistentRDDs().size() == held
+    assert sum(x.startswith("SortMergeJoin") for x in plan) == 2
+    sorts = [plan[k + 1] for k, x in enumerate(plan) if x.startswith("Sort [")]
+    assert len(sorts) == 4 and all(x.startswith("Exchange hashpartitioning") for x in sorts)
+
+
 def test_line_dedup_empty(empty):
     assert linededup.dedup_lines(empty).count() == 0
 
