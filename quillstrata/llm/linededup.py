@@ -9,8 +9,8 @@ has at most 2**30 bits (128 MB), a bound that does not depend on the input: with
 through. Second scan: lines whose positions are all in the twice-seen filter are suspects. Suspects alone are
 shuffled, as (key, id), to be confirmed on the key itself and to choose the first document; the least and greatest id of a key suffice and
 are combined before the shuffle, so a line that a third of all documents hold is no hot spot. The lines to drop
-return to their documents by id. The second scan is made twice, for the choice and for the lines to drop: it is cheaper
-than what holding the suspects takes in files or disk, and nothing but the filter is worked out before the result is asked for.
+return to their documents by id. The second scan is made twice, for the choice and for the lines to drop, so that
+suspects need neither files nor disk; nothing but the filter is worked out before the result is asked for.
 
 Null or empty text is one empty line. A null id comes after all ids; rows with one id count as one document. Input columns other than
 id and text are kept; columns named as out_cols are replaced.
